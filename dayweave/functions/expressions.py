@@ -177,7 +177,7 @@ def epoch_to_timestamp(value, unit: str = "s") -> Column:
         return F.timestamp_millis(v)
     if unit == "us":
         return F.timestamp_micros(v)
-    return F.timestamp_micros(F.floor(v / F.lit(1000)).cast("long")) if unit == "ns" else F.lit(None)
+    return F.timestamp_micros(F.call_function("div", v, F.lit(1000)))  # nanoseconds
 
 
 def local_time(ts, zone) -> Column:
@@ -230,10 +230,11 @@ def _any_inside(text: Column, words: Sequence[str]) -> Column:
 
 def one_hot(array_col: str, names: Sequence[str], prefix: str = "") -> list[Column]:
     """How often each name occurs in an array column, one column per name."""
-    return [
-        F.coalesce(F.size(F.filter(array_col, lambda v, n=n: v == F.lit(n))), F.lit(0)).cast("long").alias(prefix + n)
-        for n in names
-    ]
+    def count(name: str) -> Column:
+        hits = F.filter(array_col, lambda v: v == F.lit(name))
+        return F.coalesce(F.size(hits), F.lit(0)).cast("long").alias(prefix + name)
+
+    return [count(name) for name in names]
 
 
 def mood_score(label, modifier=None) -> Column:

@@ -13,7 +13,10 @@ from dayweave.operators import calendar as cal
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; zone-less timestamps are read as UTC instants."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    local = [f.name for f in df.schema.fields if f.dataType.simpleString() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
 
 def r(col: Column | str, digits: int = 6) -> Column:
@@ -48,8 +51,8 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
         "entity",
         "day",
         F.col("n").cast("double").alias("a"),
-        (F.col("cents") / F.lit(1.1e5)).alias("b"),
-        (F.col("cents").cast("double") / F.col("n") / F.lit(1.1e5)).alias("pain"),
+        (F.col("cents") / F.lit(131071.0)).alias("b"),
+        (F.col("cents").cast("double") / F.col("n") / F.lit(131071.0)).alias("pain"),
     )
     return cal.fill_calendar(base, ["entity"], "day", {"a": 0.0, "b": 0.0, "pain": 0.0})
 
@@ -66,8 +69,8 @@ spine AS (
 daily AS (
   SELECT s.entity, s.day, s.pos,
          CAST(coalesce(n, 0) AS DOUBLE) AS a,
-         coalesce(cents, 0) / 1.1e5 AS b,
-         coalesce(CAST(cents AS DOUBLE) / n / 1.1e5, 0) AS pain
+         coalesce(cents, 0) / 131071.0 AS b,
+         coalesce(CAST(cents AS DOUBLE) / n / 131071.0, 0) AS pain
   FROM spine s LEFT JOIN order_days o ON s.entity = o.entity AND s.day = o.day)"""
 )
 
@@ -78,7 +81,7 @@ def sparse_daily(spark: SparkSession, sf: str) -> DataFrame:
         "entity",
         "day",
         F.col("n").cast("double").alias("a"),
-        (F.col("cents").cast("double") / F.col("n") / F.lit(1.1e5)).alias("pain"),
+        (F.col("cents").cast("double") / F.col("n") / F.lit(131071.0)).alias("pain"),
     )
     return cal.fill_calendar(base, ["entity"], "day")
 
@@ -87,7 +90,7 @@ SPARSE = (
     DAILY
     + """,
 sparse AS (
-  SELECT s.entity, s.day, s.pos, CAST(n AS DOUBLE) AS a, CAST(cents AS DOUBLE) / n / 1.1e5 AS pain
+  SELECT s.entity, s.day, s.pos, CAST(n AS DOUBLE) AS a, CAST(cents AS DOUBLE) / n / 131071.0 AS pain
   FROM spine s LEFT JOIN order_days o ON s.entity = o.entity AND s.day = o.day)"""
 )
 
@@ -99,14 +102,14 @@ def devices(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_returnflag").alias("entity"), F.to_date("l_shipdate").alias("day")).agg(
         F.sum("l_quantity").alias("main"),
-        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.lit(1.1e5)).alias("other"),
+        (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.lit(131071.0)).alias("other"),
         F.count(F.lit(1)).alias("lines"),
     )
 
 
 DEVICES = """devices AS (
   SELECT l_returnflag AS entity, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS main,
-         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 1.1e5 AS other,
+         CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) / 131071.0 AS other,
          count(*) AS lines
   FROM lineitem GROUP BY 1, 2)"""
 
