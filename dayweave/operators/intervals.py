@@ -115,37 +115,41 @@ def prorate_in_intervals(
     plus its elapsed share, so each interval needs the owner at its two edges.
     """
     keys = list(keys)
-    owned = ordered.next_row(samples, keys, ["ts", tie], ["ts"], time_bucket("ts", bucket_seconds))
-    owned = ordered.previous_row(owned, keys, ["ts", tie], [tie], time_bucket("ts", bucket_seconds))
-    owned = ordered.running_sum(owned, keys, ["ts", tie], [value], time_bucket("ts", bucket_seconds), "_run")
-    owner = F.struct(
-        F.col("ts").alias("t"),
-        F.col("ts_next").alias("next"),
-        F.col(value).cast("double").alias("v"),
-        (F.col(f"{value}_run") - F.coalesce(F.col(value), F.lit(0.0))).cast("double").alias("before"),
-        F.col(f"{tie}_prev").isNull().alias("is_first"),
-    )
-    points = owned.select(
+    value_col = F.col(value).cast("double")
+    points = samples.select(
         *keys,
         F.lit(None).cast(intervals.schema[interval_id].dataType).alias(interval_id),
         F.lit(None).cast("int").alias("sign"),
         "ts",
         F.lit(1).alias("rank"),
         F.col(tie).cast("long").alias("_tie"),
-        owner.alias("owner"),
+        F.lit(1).cast("long").alias("_k"),
+        F.coalesce(value_col, F.lit(0.0)).alias("_v"),
+        F.struct(F.col("ts").alias("t"), F.coalesce(value_col, F.lit(0.0)).alias("v")).alias("owner"),
     )
     edges = _edges(intervals, keys, interval_id, 2, 2).withColumns(
-        {"_tie": F.lit(0).cast("long"), "owner": F.lit(None).cast(points.schema["owner"].dataType)}
+        {
+            "_tie": F.lit(0).cast("long"),
+            "_k": F.lit(0).cast("long"),
+            "_v": F.lit(0.0),
+            "owner": F.lit(None).cast(points.schema["owner"].dataType),
+        }
     )
-    merged = points.unionByName(edges)
-    seen = ordered.carry_forward(
-        merged, keys, ["ts", "rank", "_tie"], ["owner"], time_bucket("ts", bucket_seconds), "_at"
+    seen = ordered.scan(
+        points.unionByName(edges),
+        keys,
+        ["ts", "rank", "_tie"],
+        time_bucket("ts", bucket_seconds),
+        sums={"_sum_v": "_v", "_rank_k": "_k"},
+        lasts={"at": "owner"},
+        after={"follow": "owner"},
     ).where(F.col("sign").isNotNull())
-    at = F.col("owner_at")
-    elapsed = F.try_divide(_seconds("ts") - _seconds(at["t"]), _seconds(at["next"]) - _seconds(at["t"]))
-    used = F.coalesce(at["before"] + F.coalesce(at["v"] * elapsed, F.lit(0.0)), F.lit(0.0))
-    starts_after = at.isNotNull() & at["next"].isNull()
-    ends_before = at.isNull() | (at["is_first"] & (at["t"] == F.col("ts")))
+    at, follow = F.col("at"), F.col("follow")
+    elapsed = F.try_divide(_seconds("ts") - _seconds(at["t"]), _seconds(follow["t"]) - _seconds(at["t"]))
+    before = F.col("_sum_v") - at["v"]
+    used = F.coalesce(before + F.coalesce(at["v"] * elapsed, F.lit(0.0)), F.lit(0.0))
+    starts_after = at.isNotNull() & follow.isNull()
+    ends_before = at.isNull() | ((F.col("_rank_k") == 1) & (at["t"] == F.col("ts")))
     outside = F.when(F.col("sign") == -1, starts_after).otherwise(ends_before)
     totals = seen.groupBy(*keys, interval_id).agg(
         F.sum(F.col("sign") * used).alias("_sum"), F.max(outside.cast("int")).alias("_out")
@@ -264,8 +268,9 @@ def greedy_next_match(
 ) -> DataFrame:
     """One-to-one matching of each left event with the next free right event.
 
-    Events further apart than the limit cannot interact, so every key is split
-    into islands at such gaps and each island is matched on its own.
+    A right event matches when it comes strictly later and within the limit.
+    Events at least the limit apart cannot interact, so every key is split into
+    islands at such gaps and only neighbouring islands share a task.
     """
     keys = list(keys)
     id_type = left.schema[left_id].dataType
@@ -278,29 +283,31 @@ def greedy_next_match(
     order = ["ts", "side", "_id"]
     bucket = time_bucket("ts", DAY)
     rows = ordered.previous_row(rows, keys, order, ["ts"], bucket)
-    gap = (_seconds("ts") - _seconds("ts_prev")) > F.lit(hours * 3600.0)
+    gap = (_seconds("ts") - _seconds("ts_prev")) >= F.lit(hours * 3600.0)
     rows = rows.withColumn("_new", F.when(gap, 1).otherwise(0))
     rows = ordered.running_sum(rows, keys, order, ["_new"], time_bucket("ts", DAY), "_island")
+    # neighbouring islands share a call: a pass over several gives the same pairs
+    rows = rows.withColumn("_chunk", F.floor(F.col("_new_island") / F.lit(64)).cast("long"))
     schema = T.StructType(
         [left.schema[k] for k in keys] + [T.StructField(left_id, id_type), T.StructField(right_id, rid_type)]
     )
 
+    limit = np.timedelta64(int(hours * 3600e6), "us")
+
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         free = pdf[pdf.side == 1]
         times = free.ts.to_numpy()
-        taken = np.zeros(len(free), dtype=bool)
-        out = []
+        out, used = [], 0
         for row in pdf[pdf.side == 0].itertuples():
-            i = np.searchsorted(times, np.datetime64(row.ts), side="left")
-            while i < len(times) and taken[i]:
-                i += 1
-            if i < len(times) and times[i] - np.datetime64(row.ts) <= np.timedelta64(int(hours * 3600e6), "us"):
-                taken[i] = True
+            # left rows come in time order, so everything before ``used`` is taken or past
+            i = max(used, int(np.searchsorted(times, np.datetime64(row.ts), side="left")))
+            if i < len(times) and times[i] - np.datetime64(row.ts) <= limit:
+                used = i + 1
                 out.append([*(getattr(row, k) for k in keys), row.l, free.r.iloc[i]])
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return rows.select(*keys, "_new_island", *order, "l", "r").groupBy(*keys, "_new_island").applyInPandas(match, schema)
+    return rows.select(*keys, "_chunk", *order, "l", "r").groupBy(*keys, "_chunk").applyInPandas(match, schema)
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order_left: Sequence[str], order_right: Sequence[str]) -> DataFrame:

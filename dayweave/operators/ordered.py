@@ -11,8 +11,6 @@ Results equal those of the plain window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,107 +22,90 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def _order(order: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in order]
-
-
-def _attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys and bucket; the summary has one row per pair."""
-    return df.join(summary, keys + [BUCKET], "left")
-
-
-def carry_forward(
+def scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    cols: list[str],
     bucket: Column,
-    suffix: str = "",
+    sums: dict[str, str] | None = None,
+    lasts: dict[str, str] | None = None,
+    before: dict[str, str] | None = None,
+    after: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Last non-null value of each column at or before the row."""
+    """Ordered per-entity columns in one two-level pass.
+
+    Each argument maps a new column to a source column: ``sums`` is the
+    inclusive running sum, ``lasts`` the last non-null value up to the row,
+    ``before`` / ``after`` the nearest non-null value strictly before / after.
+    ``bucket`` must not decrease along ``order``.
+    """
+    sums, lasts, before, after = sums or {}, lasts or {}, before or {}, after or {}
     df = df.withColumn(BUCKET, bucket)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order))
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    down = Window.partitionBy(*keys, BUCKET).orderBy(*[F.desc(c) for c in order])
+    upto = up.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = up.rowsBetween(Window.unboundedPreceding, -1)
+    later = down.rowsBetween(Window.unboundedPreceding, -1)
+
     position = F.struct(*order)
+    backward = sorted(set(lasts.values()) | set(before.values()))
+    forward = sorted(set(after.values()))
     summary = df.groupBy(*keys, BUCKET).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_s_{c}") for c in cols]
+        F.lit(1).alias("_one"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in sorted(set(sums.values()))],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in backward],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_first_{c}") for c in forward],
     )
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy(BUCKET)
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(
         *keys,
         BUCKET,
-        *[F.last(f"_s_{c}", ignorenulls=True).over(before).alias(f"_p_{c}") for c in cols],
+        *[F.sum(f"_sum_{c}").over(past).alias(f"_psum_{c}") for c in sorted(set(sums.values()))],
+        *[F.last(f"_last_{c}", ignorenulls=True).over(past).alias(f"_past_{c}") for c in backward],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(future).alias(f"_next_{c}") for c in forward],
+    )
+    local = df.select(
+        "*",
+        *[F.sum(c).over(upto).alias(f"_u_{n}") for n, c in sums.items()],
+        *[F.last(c, ignorenulls=True).over(upto).alias(f"_u_{n}") for n, c in lasts.items()],
+        *[F.last(c, ignorenulls=True).over(earlier).alias(f"_u_{n}") for n, c in before.items()],
+        *[F.last(c, ignorenulls=True).over(later).alias(f"_u_{n}") for n, c in after.items()],
     )
-    local = df.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_l_{c}") for c in cols])
-    joined = _attach(local, summary, keys)
-    for c in cols:
-        joined = joined.withColumn(c + suffix, F.coalesce(f"_l_{c}", f"_p_{c}"))
-    return joined.drop(BUCKET, *[f"_l_{c}" for c in cols], *[f"_p_{c}" for c in cols])
+    joined = local.join(summary, keys + [BUCKET], "left")
+    zero = F.lit(0)
+    new = {n: F.coalesce(f"_u_{n}", zero) + F.coalesce(f"_psum_{c}", zero) for n, c in sums.items()}
+    new.update({n: F.coalesce(f"_u_{n}", f"_past_{c}") for n, c in {**lasts, **before}.items()})
+    new.update({n: F.coalesce(f"_u_{n}", f"_next_{c}") for n, c in after.items()})
+    kept = [F.col(c) for c in df.columns if c != BUCKET and c not in new]
+    return joined.select(*kept, *[col.alias(n) for n, col in new.items()])
 
 
-def running_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    cols: list[str],
-    bucket: Column,
-    suffix: str = "_run",
-) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "_run") -> DataFrame:
     """Inclusive running sum of each column (NULL counts as nothing)."""
-    df = df.withColumn(BUCKET, bucket)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order))
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    summary = df.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(
-        *keys, BUCKET, *[F.sum(f"_s_{c}").over(before).alias(f"_p_{c}") for c in cols]
-    )
-    local = df.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in cols])
-    joined = _attach(local, summary, keys)
-    for c in cols:
-        joined = joined.withColumn(
-            c + suffix, F.coalesce(f"_l_{c}", F.lit(0)) + F.coalesce(f"_p_{c}", F.lit(0))
-        )
-    return joined.drop(BUCKET, *[f"_l_{c}" for c in cols], *[f"_p_{c}" for c in cols])
+    return scan(df, keys, order, bucket, sums={c + suffix: c for c in cols})
 
 
-def _neighbour(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    cols: list[str],
-    bucket: Column,
-    suffix: str,
-    forward: bool,
-) -> DataFrame:
-    df = df.withColumn(BUCKET, bucket)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*_order(order))
-    buckets = Window.partitionBy(*keys).orderBy(BUCKET)
-    packed = F.struct(*[F.col(c).alias(c) for c in cols])
-    pick = F.min_by if forward else F.max_by
-    shift = F.lead if forward else F.lag
-    edge = df.groupBy(*keys, BUCKET).agg(pick(packed, F.struct(*order)).alias("_edge"))
-    edge = edge.select(*keys, BUCKET, shift("_edge").over(buckets).alias("_far"))
-    local = df.withColumn("_near", shift(packed).over(inside))
-    joined = _attach(local, edge, keys)
-    chosen = F.coalesce("_near", "_far")
-    for c in cols:
-        joined = joined.withColumn(c + suffix, chosen[c])
-    return joined.drop(BUCKET, "_near", "_far")
-
-
-def next_row(
-    df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "_next"
-) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "") -> DataFrame:
+    """Last non-null value of each column at or before the row."""
+    return scan(df, keys, order, bucket, lasts={c + suffix: c for c in cols})
+
+
+def _neighbour(df, keys, order, cols, bucket, suffix, side) -> DataFrame:
+    packed = df.withColumn("_packed", F.struct(*cols))
+    out = scan(packed, keys, order, bucket, **{side: {"_near": "_packed"}})
+    return out.withColumns({c + suffix: F.col("_near")[c] for c in cols}).drop("_near", "_packed")
+
+
+def next_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "_next") -> DataFrame:
     """Columns of the following row of the same entity."""
-    return _neighbour(df, keys, order, cols, bucket, suffix, True)
+    return _neighbour(df, keys, order, cols, bucket, suffix, "after")
 
 
-def previous_row(
-    df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "_prev"
-) -> DataFrame:
+def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column, suffix: str = "_prev") -> DataFrame:
     """Columns of the preceding row of the same entity."""
-    return _neighbour(df, keys, order, cols, bucket, suffix, False)
+    return _neighbour(df, keys, order, cols, bucket, suffix, "before")
 
 
 def exact_quantiles(
