@@ -143,11 +143,12 @@ def confusion_counts(df: DataFrame, truth: str, guess: str, labels: Sequence[str
     return rows.groupBy(truth).pivot(guess, list(labels)).agg(F.count(F.lit(1))).fillna(0)
 
 
-def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10, y_width: float = 0.01) -> DataFrame:
+def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10, y_width: float = 0.01, bounded: bool = False) -> DataFrame:
     """Quartiles and spread of y in equal x bins over [0, max x).
 
-    Bins pool all rows of the key, so the quartiles use the two-level exact
-    quantile and never gather a bin in one task.
+    By default a bin may be of any size: the quartiles come from the two-level
+    exact quantile, which never gathers a bin in one task.  ``bounded`` says
+    that a key is one day-grain series, so a plain percentile is enough.
     """
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top"))
@@ -155,6 +156,12 @@ def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int
     width = F.col("_top") / F.lit(float(bins))
     rows = rows.withColumn("bin", F.floor(F.try_divide(F.col(x).cast("double"), width)).cast("int"))
     rows = rows.where((F.col(x) >= 0) & (F.col("bin") < bins) & F.col(y).isNotNull())
+    if bounded:
+        return rows.groupBy(*keys, "bin").agg(
+            F.count(y).alias("n_values"),
+            *[F.percentile(y, F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))],
+            F.stddev_pop(y).alias("sd"),
+        )
     quart = ordered.exact_quantiles(rows, keys + ["bin"], y, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, y_width)
     spread = rows.groupBy(*keys, "bin").agg(F.stddev_pop(y).alias("sd"))
     return quart.join(spread, keys + ["bin"])

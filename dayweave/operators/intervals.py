@@ -282,10 +282,10 @@ def greedy_next_match(
     rows = rows.withColumn("_id", F.coalesce(F.col("l").cast("long"), F.col("r").cast("long")))
     order = ["ts", "side", "_id"]
     bucket = time_bucket("ts", DAY)
-    rows = ordered.previous_row(rows, keys, order, ["ts"], bucket)
+    rows = ordered.scan(rows, keys, order, bucket, before={"ts_prev": "ts"}, keep_bucket=True)
     gap = (_seconds("ts") - _seconds("ts_prev")) >= F.lit(hours * 3600.0)
     rows = rows.withColumn("_new", F.when(gap, 1).otherwise(0))
-    rows = ordered.running_sum(rows, keys, order, ["_new"], time_bucket("ts", DAY), "_island")
+    rows = ordered.scan(rows, keys, order, bucket, sums={"_new_island": "_new"})
     # neighbouring islands share a call: a pass over several gives the same pairs
     rows = rows.withColumn("_chunk", F.floor(F.col("_new_island") / F.lit(64)).cast("long"))
     schema = T.StructType(

@@ -31,16 +31,19 @@ def scan(
     lasts: dict[str, str] | None = None,
     before: dict[str, str] | None = None,
     after: dict[str, str] | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Ordered per-entity columns in one two-level pass.
 
     Each argument maps a new column to a source column: ``sums`` is the
     inclusive running sum, ``lasts`` the last non-null value up to the row,
     ``before`` / ``after`` the nearest non-null value strictly before / after.
-    ``bucket`` must not decrease along ``order``.
+    ``bucket`` must not decrease along ``order``.  With ``keep_bucket`` the
+    bucket column stays, so a following scan finds its rows already in place
+    and the shuffle of the first one is reused.
     """
     sums, lasts, before, after = sums or {}, lasts or {}, before or {}, after or {}
-    df = df.withColumn(BUCKET, bucket)
+    df = df if BUCKET in df.columns else df.withColumn(BUCKET, bucket)
     up = Window.partitionBy(*keys, BUCKET).orderBy(*order)
     down = Window.partitionBy(*keys, BUCKET).orderBy(*[F.desc(c) for c in order])
     upto = up.rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +81,7 @@ def scan(
     new = {n: F.coalesce(f"_u_{n}", zero) + F.coalesce(f"_psum_{c}", zero) for n, c in sums.items()}
     new.update({n: F.coalesce(f"_u_{n}", f"_past_{c}") for n, c in {**lasts, **before}.items()})
     new.update({n: F.coalesce(f"_u_{n}", f"_next_{c}") for n, c in after.items()})
-    kept = [F.col(c) for c in df.columns if c != BUCKET and c not in new]
+    kept = [F.col(c) for c in df.columns if (keep_bucket or c != BUCKET) and c not in new]
     return joined.select(*kept, *[col.alias(n) for n, col in new.items()])
 
 

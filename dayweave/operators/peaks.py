@@ -561,21 +561,19 @@ def consistency_summary(tests: DataFrame, keys: Sequence[str], ratio: str = "rat
 def best_shift(df: DataFrame, keys: Sequence[str], strain: str, pain: str, shifts: int = 120, high: float = 0.8, day: str = "day") -> DataFrame:
     """Mean uncovered pain on high-pain days for each strain shift, and the best one.
 
-    All shifts are lag columns of one window and one aggregation.
+    The strain values of the last ``shifts`` days are gathered by one window
+    and unfolded into a partial aggregation; nothing is joined.
     """
     keys = list(keys)
     o = ordered(keys, day)
-    hot = F.when(F.col(pain) >= high, F.col(pain))
-    gaps = df.select(*keys, *[(hot - (F.lag(strain, s).over(o) if s else F.col(strain))).alias(f"g{s}") for s in range(shifts)])
-    sums = gaps.groupBy(*keys).agg(
-        *[F.avg(F.greatest(F.col(f"g{s}"), F.when(F.col(f"g{s}").isNotNull(), F.lit(0.0)))).alias(f"g{s}") for s in range(shifts)]
-    )
-    long = sums.select(
-        *keys,
-        F.inline(F.array(*[F.struct(F.lit(s).alias("shift"), F.col(f"g{s}").alias("uncovered")) for s in range(shifts)])),
-    )
-    best = F.min_by("shift", F.when(F.col("uncovered").isNotNull(), F.struct("uncovered", "shift"))).over(whole(keys))
-    return long.withColumn("best_shift", best)
+    df = df.withColumn("_pos", F.row_number().over(o))
+    gathered = F.collect_list(F.struct("_pos", F.col(strain).alias("_s"))).over(o.rowsBetween(-(shifts - 1), 0))
+    hot = df.select(*keys, "_pos", F.col(pain).alias("_p"), gathered.alias("_near")).where(F.col("_p") >= high)
+    pairs = hot.select(*keys, "_p", "_pos", F.explode("_near").alias("_n"))
+    gap = F.when(F.col("_n._s").isNotNull(), F.greatest(F.col("_p") - F.col("_n._s"), F.lit(0.0)))
+    curve = pairs.groupBy(*keys, (F.col("_pos") - F.col("_n._pos")).alias("shift")).agg(F.avg(gap).alias("uncovered"))
+    rank = F.when(F.col("uncovered").isNotNull(), F.struct("uncovered", "shift"))
+    return curve.withColumn("best_shift", F.min_by("shift", rank).over(whole(keys)))
 
 
 def additive_model(df: DataFrame, keys: Sequence[str], environment: Mapping[str, float], symptom: str, n: int = 7, lags: int = 15, low: float = 0.1, day: str = "day") -> DataFrame:

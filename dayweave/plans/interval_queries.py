@@ -86,7 +86,15 @@ def sums(spark, sf):
     return out.select("entity", "interval_id", "n", r("total", 4).alias("total"))
 
 
-@query("f08_greedy_next_match")
+@query(
+    "f08_greedy_next_match",
+    """WITH RECURSIVE v AS (SELECT user_id AS entity, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'view'),
+c AS (SELECT user_id AS entity, ts, event_id FROM events WHERE event_type = 'click'),
+rec AS (SELECT entity, CAST(0 AS BIGINT) AS k, TIMESTAMP '1970-01-01' AS last_ts, CAST(NULL AS TIMESTAMP) AS hit, CAST(NULL AS BIGINT) AS view_id FROM (SELECT DISTINCT entity FROM v)
+  UNION ALL SELECT r.entity, v.k, coalesce(min(c.ts), any_value(r.last_ts)), min(c.ts), any_value(v.event_id)
+  FROM rec r JOIN v ON v.entity = r.entity AND v.k = r.k + 1 LEFT JOIN c ON c.entity = r.entity AND c.ts > v.ts AND c.ts > r.last_ts AND c.ts < v.ts + INTERVAL 24 HOUR GROUP BY r.entity, v.k)
+SELECT rec.entity, view_id, c.event_id AS click_id FROM rec JOIN c ON c.entity = rec.entity AND c.ts = rec.hit""",
+)
 def greedy(spark, sf):
     ev = table(spark, sf, "events").withColumn("entity", F.col("user_id"))
     views = ev.where(F.col("event_type") == "view").select("entity", "ts", F.col("event_id").alias("view_id"))
