@@ -52,7 +52,7 @@ def j05(spark, sf):
     return warned(spark, sf).select("entity", *[F.col(c).cast("long").alias(c) for c in ("pos", "days_since", "sequence")])
 
 
-@query("j06_pain_against_recent", f"WITH {ALL} SELECT entity, pos, round(pain_shift, 4) AS pain_shift FROM d6")
+@query("j06_pain_against_recent", f"WITH {ALL} SELECT entity, pos, round(pain_shift, 4) + 0.0 AS pain_shift FROM d6")
 def j06(spark, sf):
     return warned(spark, sf).select("entity", F.col("pos").cast("long"), r("pain_shift", 4).alias("pain_shift"))
 
