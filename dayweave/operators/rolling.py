@@ -371,7 +371,8 @@ def tune_factors(df: DataFrame, keys, factors: dict[str, float], pain: str, n: i
 
     A rolling mean is linear, so the correlation for any factors follows from
     the covariances of the rolled columns: one aggregation in Spark, then a
-    finite-difference ascent on a (k+1) x (k+1) matrix per key.
+    finite-difference ascent on a (k+1) x (k+1) matrix per key.  The best
+    factors met on the way are returned.
     """
     names = list(factors)
     cols = names + [pain]
@@ -397,11 +398,17 @@ def tune_factors(df: DataFrame, keys, factors: dict[str, float], pain: str, n: i
             spread = np.sqrt((w @ m[:k, :k] @ w) * m[k, k])
             return float(w @ m[:k, k] / spread) if spread > 0 else 0.0
 
-        f = start.copy()
+        f, best = start.copy(), (corr(start), start)
         for _ in range(steps):
-            grad = np.array([(corr(f + eps * e) - corr(f - eps * e)) / (2 * eps) for e in np.eye(k)])
+            grad = np.zeros(k)
+            for i in range(k):
+                up, down = f.copy(), f.copy()
+                up[i] += eps
+                down[i] = max(f[i] - eps, eps / 10)  # factors stay positive
+                grad[i] = (corr(up) - corr(down)) / (up[i] - down[i])
             f = np.maximum(floor, f + rate * grad)
-        return [*f, corr(start), corr(f)]
+            best = max(best, (corr(f), f), key=lambda pair: pair[0])
+        return [*best[1], corr(start), best[0]]
 
     def batches(frames):
         for pdf in frames:

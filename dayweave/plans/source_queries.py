@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions import expressions as ex
 from dayweave.functions import vocab
+from dayweave.operators import ordered
 from dayweave.plans.base import r, table
 from dayweave.plans.registry import query
 from dayweave.sources import csv_exports as cx
@@ -179,11 +180,9 @@ def keys(spark, sf):
     "SELECT event_id, CAST(ts AS DATE) AS day FROM events",
 )
 def carry(spark, sf):
-    from pyspark.sql import Window
-
     # a log in event order that writes the day once, when it changes
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    ev = events(spark, sf).withColumn("p", F.lag("ts").over(w))
+    chunk = F.floor(F.col("event_id") / 1000).cast("long")
+    ev = ordered.scan(events(spark, sf), ["user_id"], ["event_id"], chunk, before={"p": "ts"})
 
     def part(fn):
         first = F.col("p").isNull() | (F.to_date("p") != F.to_date("ts"))
