@@ -152,7 +152,7 @@ def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int
     """
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top"))
-    rows = df.join(top, keys) if keys else df.crossJoin(F.broadcast(top))
+    rows = ordered.attach(df, keys, top)
     width = F.col("_top") / F.lit(float(bins))
     rows = rows.withColumn("bin", F.floor(F.try_divide(F.col(x).cast("double"), width)).cast("int"))
     rows = rows.where((F.col(x) >= 0) & (F.col("bin") < bins) & F.col(y).isNotNull())
@@ -171,7 +171,7 @@ def histogram_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int =
     """Counts on an equal grid over [0, max|x|] x [-max|y|, max|y|]; upper edges closed."""
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(F.abs(x)).alias("_tx"), F.max(F.abs(y)).alias("_ty"))
-    rows = df.join(top, keys) if keys else df.crossJoin(F.broadcast(top))
+    rows = ordered.attach(df, keys, top)
     n = F.lit(float(bins))
     xb = F.least(F.floor(F.try_divide(F.col(x).cast("double") * n, F.col("_tx"))), F.lit(bins - 1))
     yb = F.least(F.floor(F.try_divide((F.col(y) + F.col("_ty")) * n, F.col("_ty") * 2)), F.lit(bins - 1))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayweave.operators.ordered import attach
 
 # --- spine -------------------------------------------------------------
 
@@ -45,12 +46,12 @@ def fill_calendar(
     """Add the missing days of every entity and fill columns with defaults.
 
     With ``shared_range`` all entities get the overall first..last day,
-    otherwise each its own.  The range table is one row (or one per entity).
+    otherwise each its own.
     """
     keys = list(keys)
     if shared_range:
         span = df.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-        who = df.select(*keys).distinct().crossJoin(F.broadcast(span))  # a single row
+        who = attach(df.select(*keys).distinct(), [], span)
     else:
         who = df.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
     spine = calendar_spine(who, keys, F.col("_lo"), F.col("_hi"), day=day)
@@ -63,8 +64,7 @@ def complete_days(df: DataFrame, keys: Sequence[str], day: str = "day", per_enti
     """Drop the last, still incomplete, day."""
     keys = list(keys) if per_entity else []
     last = df.groupBy(*keys).agg(F.max(day).alias("_last"))
-    joined = df.join(last, keys) if keys else df.crossJoin(F.broadcast(last))
-    return joined.where(F.col(day) < F.col("_last")).drop("_last")
+    return attach(df, keys, last).where(F.col(day) < F.col("_last")).drop("_last")
 
 
 # --- merging ----------------------------------------------------------------

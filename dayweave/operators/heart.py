@@ -112,7 +112,7 @@ def overflow_carry(
     keys, order = list(keys), list(order)
     bucket = time_bucket("ts", bucket_seconds)
     top = df.agg(F.max(col).alias("_top"))
-    rows = df.crossJoin(F.broadcast(top))  # a single row
+    rows = ordered.attach(df, [], top)
     need = F.ceil(F.log(F.greatest(F.col("_top") / (1.0 - factor), F.lit(1.0))) / F.lit(-math.log(factor)))
     rows = rows.withColumns({"_one": F.lit(1), "_need": F.greatest(need, F.lit(1))}).drop("_top")
     rows = ordered.scan(rows, keys, order, bucket, sums={"_rn": "_one"}, keep_bucket=True)
@@ -124,13 +124,27 @@ def overflow_carry(
     rows = rows.withColumn("_chunk", F.floor(F.col("_island") / islands_per_task).cast("long"))
     out_col = f"{col}_carried"
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.DoubleType())])
-
-    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[df_columns].assign(**{out_col: _carry(pdf[col].to_numpy(), factor, 0.0)})
-
-    df_columns = list(df.columns)
-    return rows.groupBy(*keys, "_chunk").applyInPandas(piece, schema)
+    names, piece = list(df.columns), [*keys, "_island"]
+
+    def carry(frames):
+        # one pass over a sorted partition; a new piece starts from nothing
+        last, spill = None, 0.0
+        for pdf in frames:
+            starts = (pdf[piece] != pdf[piece].shift()).any(axis=1).to_numpy()
+            head = tuple(pdf[piece].iloc[0]) if len(pdf) else last
+            if len(pdf):
+                starts[0] = head != last
+                last = tuple(pdf[piece].iloc[-1])
+            out = []
+            for value, fresh in zip(pdf[col].tolist(), starts.tolist(), strict=True):
+                if not fresh and spill > 1.0:
+                    value += spill
+                spill = factor * value
+                out.append(value)
+            yield pdf[names].assign(**{out_col: out})
+
+    placed = ordered.spread(rows, *keys, "_chunk").sortWithinPartitions(*keys, "_island", *order)
+    return placed.select(*names, "_island").mapInPandas(carry, schema)
 
 
 def overflow_carry_with_power(df: DataFrame, keys: Sequence[str], col: str, factor: float, exponent: float, order: Sequence[str] = ("ts", "sample_id")) -> DataFrame:

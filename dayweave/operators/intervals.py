@@ -12,9 +12,9 @@ key.  Two shapes are used instead:
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -273,41 +273,45 @@ def greedy_next_match(
     islands at such gaps and only neighbouring islands share a task.
     """
     keys = list(keys)
-    id_type = left.schema[left_id].dataType
-    rid_type = right.schema[right_id].dataType
-    rows = left.select(*keys, "ts", F.lit(0).alias("side"), F.col(left_id).alias("l"), F.lit(None).cast(rid_type).alias("r"))
-    rows = rows.unionByName(
-        right.select(*keys, "ts", F.lit(1).alias("side"), F.lit(None).cast(id_type).alias("l"), F.col(right_id).alias("r"))
-    )
-    rows = rows.withColumn("_id", F.coalesce(F.col("l").cast("long"), F.col("r").cast("long")))
-    order = ["ts", "side", "_id"]
-    bucket = time_bucket("ts", DAY)
-    rows = ordered.scan(rows, keys, order, bucket, before={"ts_prev": "ts"}, keep_bucket=True)
-    gap = (_seconds("ts") - _seconds("ts_prev")) >= F.lit(hours * 3600.0)
-    rows = rows.withColumn("_new", F.when(gap, 1).otherwise(0))
-    rows = ordered.scan(rows, keys, order, bucket, sums={"_new_island": "_new"})
-    # neighbouring islands share a call: a pass over several gives the same pairs
-    rows = rows.withColumn("_chunk", F.floor(F.col("_new_island") / F.lit(64)).cast("long"))
+    id_type, rid_type = left.schema[left_id].dataType, right.schema[right_id].dataType
+    # at the same instant right events go first: a match must come later
+    rows = right.select(*keys, "ts", F.lit(0).alias("side"), F.col(right_id).cast("string").alias("_id"))
+    rows = rows.unionByName(left.select(*keys, "ts", F.lit(1).alias("side"), F.col(left_id).cast("string").alias("_id")))
+    rows = rows.withColumn("_us", F.unix_micros("ts"))
+    order, bucket = ["ts", "side", "_id"], time_bucket("ts", DAY)
+    limit = int(hours * 3600e6)
+    rows = ordered.scan(rows, keys, order, bucket, before={"_before": "_us"}, keep_bucket=True)
+    rows = rows.withColumn("_new", F.when((F.col("_us") - F.col("_before")) >= limit, 1).otherwise(0))
+    rows = ordered.scan(rows, keys, order, bucket, sums={"_island": "_new"})
+    # a task takes runs of neighbouring islands
+    rows = rows.withColumn("_chunk", F.floor(F.col("_island") / F.lit(64)).cast("long"))
     schema = T.StructType(
-        [left.schema[k] for k in keys] + [T.StructField(left_id, id_type), T.StructField(right_id, rid_type)]
+        [left.schema[k] for k in keys] + [T.StructField(c, T.StringType()) for c in (left_id, right_id)]
     )
 
-    limit = np.timedelta64(int(hours * 3600e6), "us")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        free = pdf[pdf.side == 1]
-        times = free.ts.to_numpy()
-        out, used = [], 0
-        for row in pdf[pdf.side == 0].itertuples():
-            # left rows come in time order, so everything before ``used`` is taken or past
-            i = max(used, int(np.searchsorted(times, np.datetime64(row.ts), side="left")))
-            if i < len(times) and times[i] - np.datetime64(row.ts) <= limit:
-                used = i + 1
-                out.append([*(getattr(row, k) for k in keys), row.l, free.r.iloc[i]])
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    return rows.select(*keys, "_chunk", *order, "l", "r").groupBy(*keys, "_chunk").applyInPandas(match, schema)
+    def match(frames):
+        # waiting left events in order; a right event takes the oldest one in reach
+        owner, waiting, used = None, deque(), None
+        for pdf in frames:
+            out = []
+            columns = [pdf[c].tolist() for c in (*keys, "_chunk", "_us", "side", "_id")]
+            for *key, us, side, event in zip(*columns, strict=True):
+                if key != owner:
+                    owner, used = key, None
+                    waiting.clear()
+                if side:
+                    waiting.append((us, event))
+                    continue
+                while waiting and us - waiting[0][0] >= limit:
+                    waiting.popleft()
+                if waiting and us != used:
+                    out.append([*key[:-1], waiting.popleft()[1], event])
+                    used = us
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    placed = ordered.spread(rows, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", *order)
+    pairs = placed.select(*keys, "_chunk", "_us", "side", "_id").mapInPandas(match, schema)
+    return pairs.withColumns({left_id: F.col(left_id).cast(id_type), right_id: F.col(right_id).cast(rid_type)})
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order_left: Sequence[str], order_right: Sequence[str]) -> DataFrame:

@@ -22,6 +22,27 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over all shuffle partitions for work that is heavy per row.
+
+    Adaptive execution merges small partitions by bytes, which would put many
+    small but costly Python groups into one task; a partition count set here is
+    kept as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
+def attach(df: DataFrame, keys: list[str], summary: DataFrame, how: str = "inner") -> DataFrame:
+    """Summary columns on every row: joined by key, or read as a scalar subquery
+    when there is no key and the summary is one aggregated row."""
+    if keys:
+        return df.join(summary, list(keys), how)
+    cols = summary.columns
+    one = summary.select(F.struct(*cols).alias("_one")).scalar()
+    return df.withColumn("_one", one).select(*df.columns, *[F.col("_one")[c].alias(c) for c in cols])
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -128,8 +149,7 @@ def exact_quantiles(
     bucket = F.floor(F.col(value) / F.lit(width)).cast("long")
     ranked = running_sum(counts, keys, [value], ["_n"], bucket, suffix="_hi")
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    # keys may be NULL-free by construction: groups come from the same rows
-    ranked = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
+    ranked = attach(ranked, keys, totals)
     lo = F.col("_n_hi") - F.col("_n")
     picks = []
     for name, p in probs.items():

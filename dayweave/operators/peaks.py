@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayweave.operators import rolling as ro
+from dayweave.operators.ordered import spread
 from dayweave.operators.scaling import minmax, ordered, weighted_strain, whole
 
 
@@ -203,7 +204,7 @@ def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prom
             out[name] = v
         return out[[f.name for f in schema.fields]]
 
-    return long.groupBy(*keys, "series").applyInPandas(extrema, schema)
+    return spread(long, *keys, "series").groupBy(*keys, "series").applyInPandas(extrema, schema)
 
 
 def alternate(extrema: DataFrame, keys: Sequence[str]) -> DataFrame:

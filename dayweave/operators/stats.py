@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayweave.functions.pvalues import normal_two_sided, t_two_sided
+from dayweave.operators.ordered import attach
 
 
 def _c(x: str | Column) -> Column:
@@ -54,8 +55,7 @@ def cycle_rate_tests(scores: DataFrame, days: DataFrame, keys: Sequence[str], wi
         F.count(F.when((s >= -1) & (s < 0.2), 1)).alias("d3"),
         F.count(F.when((s >= 0.2) & (s <= 1), 1)).alias("a3"),
     )
-    both = days.join(counts, keys, "left") if keys else days.crossJoin(F.broadcast(counts))
-    both = both.fillna(0, subset=["d1", "a1", "d2", "a2", "d3", "a3"])
+    both = attach(days, keys, counts, "left").fillna(0, subset=["d1", "a1", "d2", "a2", "d3", "a3"])
     down, up = F.col("desc_days"), F.col("asc_days")
     fifth = F.lit(0.2)
     rows = F.array(

@@ -199,11 +199,10 @@ def to_second(spark, sf):
 SELECT id, array_to_string({_sql_topics('t')}, '|') AS topics, {_sql_topics('t')}[-1] AS last_topic FROM x""",
 )
 def text_categories(spark, sf):
-    t = F.lower("text")
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"),
-        F.concat_ws("|", ex.categories(t, TEXT_TOPICS)).alias("topics"),
-        ex.last_category(t, TEXT_TOPICS).alias("last_topic"),
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("t"))
+    found = docs.select("id", ex.categories("t", TEXT_TOPICS).alias("hits"))
+    return found.select(
+        "id", F.concat_ws("|", "hits").alias("topics"), F.try_element_at("hits", F.lit(-1)).alias("last_topic")
     )
 
 
@@ -227,7 +226,8 @@ def ordinal(spark, sf):
 SELECT id, {', '.join(f"len(list_filter(t, lambda v: v = '{n}')) AS has_{n}" for n in TEXT_TOPICS)} FROM x""",
 )
 def one_hot(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), ex.categories(F.lower("text"), TEXT_TOPICS).alias("t"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    docs = docs.select("id", ex.categories("text", TEXT_TOPICS).alias("t"))
     return docs.select("id", *ex.one_hot("t", list(TEXT_TOPICS), "has_"))
 
 

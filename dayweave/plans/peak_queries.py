@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from dayweave.operators import aggregates as ag
 from dayweave.operators import peaks as pk
 from dayweave.operators import stats as st
+from dayweave.operators.ordered import attach
 from dayweave.plans.base import DAILY, daily, r
 from dayweave.plans.registry import query
 from dayweave.plans.rolling_queries import SCALED, minmax_sql
@@ -197,7 +198,7 @@ def g10(spark, sf):
     c = Chain(spark, sf)
     scores, days = pk.pool_regions(c.scores, pk.cycle_days(c.pain, K), [], "entity", ["5-LOW"])
     counted = scores.agg(F.count("score").alias("scores"))
-    return counted.crossJoin(days)  # two single-row totals
+    return attach(counted, [], days)
 
 
 @query(
