@@ -179,13 +179,14 @@ def paint_samples(
     sample_id: str,
     values: Sequence[str],
     priority: Sequence[str],
-    bucket_seconds: int = 3600,
+    bucket_seconds: int = 300,
 ) -> DataFrame:
     """Values of the highest-priority interval covering each sample ([start, end]).
 
     Inside a bucket the intervals that cover it fully are first reduced to the
-    best one; only intervals with an edge in the bucket are kept singly.  All
-    samples stay; uncovered ones get NULL.
+    best one; only intervals with an edge in the bucket are kept singly, so a
+    sample meets one row plus the few edges of its bucket.  All samples stay;
+    uncovered ones get NULL.
     """
     keys = list(keys)
     span = F.lit(bucket_seconds * 1_000_000)
@@ -211,7 +212,7 @@ def paint_samples(
     )
 
 
-def override_in_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], sample_id: str, value: str, constant: float, bucket_seconds: int = 3600) -> DataFrame:
+def override_in_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], sample_id: str, value: str, constant: float, bucket_seconds: int = 300) -> DataFrame:
     """Samples inside any of the intervals ([start, end]) get a constant."""
     marked = paint_samples(
         samples,
@@ -233,7 +234,7 @@ def overlap_labels(
     interval_id: str = "interval_id",
     label: str = "label",
     seq: str = "seq",
-    bucket_seconds: int = DAY,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Label of the last overlapping tap and overlap share of the first one.
 
@@ -314,21 +315,35 @@ def greedy_next_match(
     return pairs.withColumns({left_id: F.col(left_id).cast(id_type), right_id: F.col(right_id).cast(rid_type)})
 
 
-def ordinal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], order_left: Sequence[str], order_right: Sequence[str]) -> DataFrame:
-    """Pair the n-th row of a day on one side with the n-th on the other."""
+def ordinal_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    order_left: Sequence[str],
+    order_right: Sequence[str],
+    bucket_seconds: int = 3600,
+) -> DataFrame:
+    """Pair the n-th row of a day on one side with the n-th on the other.
+
+    The first order column of each side is its time.
+    """
     from dayweave.operators.rolling import number_in_group
 
-    a = number_in_group(left, keys, order_left)
-    b = number_in_group(right, keys, order_right)
+    a = number_in_group(left, keys, order_left, time_bucket(order_left[0], bucket_seconds))
+    b = number_in_group(right, keys, order_right, time_bucket(order_right[0], bucket_seconds))
     return a.join(b, [*keys, "activity_n"])
 
 
-def drop_days_with_repeats(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], label: str) -> DataFrame:
-    """Remove every day on which two consecutive rows share a label."""
-    w = Window.partitionBy(*keys, day).orderBy(*order)
-    flagged = df.withColumn("_same", F.lead(label).over(w) == F.col(label))
-    bad = F.max(F.coalesce(F.col("_same"), F.lit(False))).over(Window.partitionBy(*keys, day))
-    return flagged.withColumn("_bad", bad).where(~F.col("_bad")).drop("_same", "_bad")
+def drop_days_with_repeats(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], label: str, bucket_seconds: int = 3600) -> DataFrame:
+    """Remove every day on which two consecutive rows share a label.
+
+    The first order column is the time.
+    """
+    group = [*keys, day]
+    rows = df.select(*group, *order, label)
+    rows = ordered.next_row(rows, group, list(order), [label], time_bucket(order[0], bucket_seconds), "_next")
+    bad = rows.where(F.col(f"{label}_next") == F.col(label)).select(*group).distinct()
+    return df.join(bad, group, "left_anti")
 
 
 def lag_pairs(df: DataFrame, keys: Sequence[str], x: str, y: str, lags: Sequence[int], day: str = "day") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dayweave.operators.ordered import scan
 from dayweave.operators.scaling import minmax, ordered, whole
 
 
@@ -322,10 +323,10 @@ def extend_with_recent_mean(df: DataFrame, keys, col: str, until, n: int = 7, da
 
 # --- sequence helpers -------------------------------------------------------------------
 
-def number_in_group(df: DataFrame, keys, order: Sequence[str], name: str = "activity_n") -> DataFrame:
-    """0-based sequence number inside a group."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w) - 1)
+def number_in_group(df: DataFrame, keys, order: Sequence[str], bucket: Column, name: str = "activity_n") -> DataFrame:
+    """0-based sequence number inside a group, counted bucket by bucket."""
+    counted = scan(df.withColumn("_one", F.lit(1)), list(keys), list(order), bucket, sums={name: "_one"})
+    return counted.withColumn(name, F.col(name) - 1).drop("_one")
 
 
 def consecutive_days(df: DataFrame, keys, day: str = "day") -> DataFrame:

@@ -164,3 +164,18 @@ VISITS = """visits AS (
   SELECT user_id AS entity, event_id AS interval_id, ts AS start_ts,
          ts + INTERVAL 6 HOUR AS end_ts, value AS weight
   FROM events WHERE event_type = 'purchase')"""
+
+
+# --- oracle tails ---------------------------------------------------------------
+
+def sql_normal_p(z):
+    """Two-sided normal tail by Simpson's rule on 400 steps."""
+    terms = f"list_sum([ (CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * pow(abs({z}) * i / 400.0::DOUBLE, 2)) for i in range(0, 401)])"
+    return f"(1 - 2 * abs({z}) / 400.0::DOUBLE / 3 * {terms} / sqrt(2 * pi()))"
+
+
+def sql_t_p(t, n):
+    """Two-sided Student tail by Simpson's rule on 2000 steps of the density."""
+    terms = f"list_sum([ (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(abs({t}) * i / 2000.0::DOUBLE, 2) / ({n}), -(({n}) + 1) / 2.0::DOUBLE) for i in range(0, 2001)])"
+    front = f"exp(lgamma((({n}) + 1) / 2.0::DOUBLE) - lgamma(({n}) / 2.0::DOUBLE)) / sqrt(pi() * ({n}))"
+    return f"(1 - 2 * abs({t}) / 2000.0::DOUBLE / 3 * {terms} * {front})"

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from dayweave.operators import lagcorr as lc
-from dayweave.plans.base import DAILY, daily, r
+from dayweave.plans.base import DAILY, daily, r, sql_t_p
 from dayweave.plans.registry import query
 from dayweave.plans.rolling_queries import full
-from dayweave.plans.statistics_queries import sql_t_p
 
 K = ["entity"]
 CURVE = ["entity", "pain", "driver"]

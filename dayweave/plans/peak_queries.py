@@ -7,7 +7,7 @@ from dayweave.operators import aggregates as ag
 from dayweave.operators import peaks as pk
 from dayweave.operators import stats as st
 from dayweave.operators.ordered import attach
-from dayweave.plans.base import DAILY, daily, r
+from dayweave.plans.base import DAILY, daily, r, sql_normal_p
 from dayweave.plans.registry import query
 from dayweave.plans.rolling_queries import SCALED, minmax_sql
 
@@ -59,17 +59,19 @@ def rescale_sql(name, source, col, mean, back):
     return text.replace("masked", f"masked_{name}").replace("rawmm", f"rawmm_{name}").replace("mm AS", f"mm_{name} AS")
 
 
-SMOOTH = f"""{SCALED},
+def chain_sql(mean, rescale, median, prominence, width):
+    """Oracle CTE texts of every step for one parameter set."""
+    smooth = f"""{SCALED},
 st0 AS (SELECT entity, day, pos, 1.0::DOUBLE * a + 0.5::DOUBLE * b AS s, pain AS p FROM scaled),
 st1 AS (SELECT entity, day, pos, {mm('s', 's')}, {mm('p', 'p')} FROM st0 WINDOW v AS (PARTITION BY entity)),
-st2 AS (SELECT entity, day, pos, s AS s_raw, p AS p_raw, {centred('s', MEAN, 'avg')} AS s, {centred('p', MEAN, 'avg')} AS p FROM st1),
+st2 AS (SELECT entity, day, pos, s AS s_raw, p AS p_raw, {centred('s', mean, 'avg')} AS s, {centred('p', mean, 'avg')} AS p FROM st1),
 st3 AS (SELECT entity, day, pos, s_raw, p_raw, {mm('s', 's')}, {mm('p', 'p')} FROM st2 WINDOW v AS (PARTITION BY entity)),
-{rescale_sql('s', 'st3', 's', MEAN, RESCALE)},
-{rescale_sql('p', 'st3', 'p', MEAN, RESCALE)},
+{rescale_sql('s', 'st3', 's', mean, rescale)},
+{rescale_sql('p', 'st3', 'p', mean, rescale)},
 st4 AS (SELECT x.entity, x.day, x.pos, s_raw, p_raw, mm_s.v AS s, mm_p.v AS p FROM st3 x JOIN mm_s USING (entity, pos) JOIN mm_p USING (entity, pos)),
-ser AS MATERIALIZED (SELECT entity, day, pos, s_raw, p_raw, round({centred('s', MEDIAN, 'median')}, 9) + 0.0 AS strain, round({centred('p', MEDIAN, 'median')}, 9) + 0.0 AS pain FROM st4)"""
+ser AS MATERIALIZED (SELECT entity, day, pos, s_raw, p_raw, round({centred('s', median, 'median')}, 9) + 0.0 AS strain, round({centred('p', median, 'median')}, 9) + 0.0 AS pain FROM st4)"""
 
-EXTREMA = f"""{SMOOTH},
+    extrema = f"""{smooth},
 long AS MATERIALIZED (SELECT entity, 'pain' AS series, 'max' AS kind, pos, pain AS x FROM ser UNION ALL SELECT entity, 'pain', 'min', pos, -pain FROM ser
   UNION ALL SELECT entity, 'strain', 'max', pos, strain FROM ser UNION ALL SELECT entity, 'strain', 'min', pos, -strain FROM ser),
 brk AS (SELECT *, CASE WHEN x IS DISTINCT FROM lag(x) OVER (PARTITION BY entity, series, kind ORDER BY pos) THEN 1 ELSE 0 END AS nw FROM long),
@@ -82,7 +84,7 @@ bnd AS MATERIALIZED (SELECT c.entity, c.series, c.kind, c.p, c.xp,
   FROM cand c JOIN long s ON s.entity = c.entity AND s.series = c.series AND s.kind = c.kind GROUP BY ALL),
 low AS (SELECT b.entity, b.series, b.kind, b.p, b.xp, b.lb, b.rb, min(s.x) FILTER (s.pos <= b.p) AS lm, min(s.x) FILTER (s.pos >= b.p) AS rm
   FROM bnd b JOIN long s ON s.entity = b.entity AND s.series = b.series AND s.kind = b.kind AND s.pos > b.lb AND s.pos < b.rb GROUP BY ALL),
-prom AS MATERIALIZED (SELECT *, xp - greatest(lm, rm) AS prom, xp - 0.5 * (xp - greatest(lm, rm)) AS h FROM low WHERE xp - greatest(lm, rm) >= {PROM}),
+prom AS MATERIALIZED (SELECT *, xp - greatest(lm, rm) AS prom, xp - 0.5 * (xp - greatest(lm, rm)) AS h FROM low WHERE xp - greatest(lm, rm) >= {prominence}),
 base AS (SELECT b.*, max(s.pos) FILTER (s.pos <= b.p AND s.x = b.lm) AS li, min(s.pos) FILTER (s.pos >= b.p AND s.x = b.rm) AS ri
   FROM (SELECT p2.* FROM prom p2) b JOIN long s ON s.entity = b.entity AND s.series = b.series AND s.kind = b.kind AND s.pos > b.lb AND s.pos < b.rb GROUP BY ALL),
 cross_at AS (SELECT b.*, coalesce(max(s.pos) FILTER (s.pos <= b.p AND s.x <= b.h), b.li) AS lc, coalesce(min(s.pos) FILTER (s.pos >= b.p AND s.x <= b.h), b.ri) AS rc
@@ -93,12 +95,12 @@ wid AS (SELECT c.*, c.lc + CASE WHEN l0.x < c.h THEN (c.h - l0.x) / (l1.x - l0.x
   LEFT JOIN long l1 ON l1.entity = c.entity AND l1.series = c.series AND l1.kind = c.kind AND l1.pos = c.lc + 1
   JOIN long r0 ON r0.entity = c.entity AND r0.series = c.series AND r0.kind = c.kind AND r0.pos = c.rc
   LEFT JOIN long r1 ON r1.entity = c.entity AND r1.series = c.series AND r1.kind = c.kind AND r1.pos = c.rc - 1),
-ext AS MATERIALIZED (SELECT entity, series, kind, CAST(p AS INTEGER) AS pos, CASE WHEN kind = 'max' THEN xp ELSE -xp END AS value FROM wid WHERE rip - lip >= {WIDTH})"""
+ext AS MATERIALIZED (SELECT entity, series, kind, CAST(p AS INTEGER) AS pos, CASE WHEN kind = 'max' THEN xp ELSE -xp END AS value FROM wid WHERE rip - lip >= {width})"""
 
-CLEAN = f"""{EXTREMA},
+    clean = f"""{extrema},
 pe AS MATERIALIZED (SELECT entity, kind, pos, value FROM (SELECT *, lag(kind) OVER ({W}) AS pk FROM ext WHERE series = 'pain') WHERE pk IS NULL OR pk <> kind)"""
 
-SCORES = f"""{CLEAN},
+    scores = f"""{clean},
 pairs AS (SELECT entity, kind AS ka, pos AS a, lead(kind) OVER ({W}) AS kb, lead(pos) OVER ({W}) AS b FROM pe),
 sp AS (SELECT entity, pos AS m, value FROM ext WHERE series = 'strain' AND kind = 'max'),
 hit AS (SELECT sp.entity, m, value, arg_min(ka, a) AS ka, arg_min(b, a) AS b, min(a) AS a FROM sp LEFT JOIN pairs ON pairs.entity = sp.entity AND m BETWEEN a AND b GROUP BY 1, 2, 3),
@@ -107,13 +109,19 @@ sc AS MATERIALIZED (SELECT entity, m AS pos, value, a AS seg_from, b AS seg_to,
   CASE WHEN m >= mxp THEN (SELECT (m - min(q.pos)) / (min(q.pos) - mxp) FROM pe q WHERE q.entity = mx.entity AND q.kind = 'min' AND q.pos >= mxp AND q.pos >= m)
        WHEN m < mxp THEN (SELECT (m - max(q.pos)) / (mxp - max(q.pos)) FROM pe q WHERE q.entity = mx.entity AND q.kind = 'min' AND q.pos <= mxp AND q.pos <= m) END + 0.0 AS score FROM mx)"""
 
-DAYS = f"""mg AS (SELECT entity, pos, pos - (SELECT max(q.pos) FROM pe q WHERE q.entity = e.entity AND q.kind = 'min' AND q.pos < e.pos) AS up,
+    days = f"""mg AS (SELECT entity, pos, pos - (SELECT max(q.pos) FROM pe q WHERE q.entity = e.entity AND q.kind = 'min' AND q.pos < e.pos) AS up,
    (SELECT min(q.pos) FROM pe q WHERE q.entity = e.entity AND q.kind = 'min' AND q.pos > e.pos) - pos AS down FROM pe e WHERE kind = 'max'),
-cd AS (SELECT entity, CAST(coalesce(list_sum(list(up ORDER BY pos) FILTER (up IS NOT NULL)[2:-2]), 0) AS DOUBLE) AS asc_days,
-  CAST(coalesce(list_sum(list(down ORDER BY pos) FILTER (down IS NOT NULL)[2:-2]), 0) AS DOUBLE) AS desc_days FROM mg GROUP BY 1)"""
-DAYS = DAYS.replace("list_sum(list(up ORDER BY pos) FILTER (up IS NOT NULL)[2:-2])", "list_sum((list(up ORDER BY pos) FILTER (up IS NOT NULL))[2:-2])").replace(
-    "list_sum(list(down ORDER BY pos) FILTER (down IS NOT NULL)[2:-2])", "list_sum((list(down ORDER BY pos) FILTER (down IS NOT NULL))[2:-2])"
-)
+cd AS (SELECT entity, CAST(coalesce(list_sum((list(up ORDER BY pos) FILTER (up IS NOT NULL))[2:-2]), 0) AS DOUBLE) AS asc_days,
+  CAST(coalesce(list_sum((list(down ORDER BY pos) FILTER (down IS NOT NULL))[2:-2]), 0) AS DOUBLE) AS desc_days FROM mg GROUP BY 1)"""
+    rates = f"""{scores}, {days},
+cnt AS (SELECT cd.entity, asc_days, desc_days, count(*) FILTER (score >= -1 AND score < 0) AS d1, count(*) FILTER (score >= 0 AND score <= 1) AS a1, count(*) FILTER (score >= -0.8 AND score < 0) AS d2,
+   count(*) FILTER (score < -0.8 OR score >= 0) AS a2, count(*) FILTER (score >= -1 AND score < 0.2) AS d3, count(*) FILTER (score >= 0.2 AND score <= 1) AS a3 FROM cd LEFT JOIN sc USING (entity) GROUP BY 1, 2, 3),
+rt AS (SELECT entity, 1 AS range_id, d1 AS n_desc, desc_days AS e_desc, a1 AS n_asc, asc_days AS e_asc FROM cnt
+  UNION ALL SELECT entity, 2, d2, 0.8::DOUBLE * desc_days, a2, asc_days + 0.2::DOUBLE * desc_days FROM cnt UNION ALL SELECT entity, 3, d3, desc_days + asc_days * 0.2::DOUBLE, a3, asc_days * 0.8::DOUBLE FROM cnt)"""
+    return smooth, extrema, clean, scores, days, rates
+
+
+SMOOTH, EXTREMA, CLEAN, SCORES, DAYS, RATES = chain_sql(MEAN, RESCALE, MEDIAN, PROM, WIDTH)
 
 
 # --- queries ------------------------------------------------------------------------
@@ -259,11 +267,26 @@ def g14(spark, sf):
     return out.select("entity", "group", "window_pos", r("max_rise").alias("max_rise"))
 
 
-@query("g15_buildup_metrics")
+@query(
+    "g15_buildup_metrics",
+    f"""WITH RECURSIVE {SCORES}, {ZOOM},
+zi AS (SELECT z.entity, z.window_pos, z.score, z.pos, s_raw, p_raw, z.pos - min(z.pos) OVER v AS i, count(*) OVER v AS n, x.pos IS NOT NULL AS top FROM zoom z LEFT JOIN pe x ON x.entity = z.entity AND x.pos = z.pos AND x.kind = 'max' WINDOW v AS (PARTITION BY z.entity, z.window_pos)),
+zm AS (SELECT *, min(i) FILTER (top) OVER (PARTITION BY entity, window_pos) AS m FROM zi),
+zl AS MATERIALIZED (SELECT *, median(p_raw) FILTER (i >= m - 3 AND i <= CASE WHEN m + 1 < n THEN m ELSE m - 1 END) OVER (PARTITION BY entity, window_pos) AS level FROM zm),
+walk AS (SELECT entity, window_pos, i, 0 AS gap, i AS start FROM zl WHERE i = m
+  UNION ALL SELECT w.entity, w.window_pos, nx.i, CASE WHEN nx.p_raw < nx.level THEN w.gap + 1 ELSE 0 END, CASE WHEN cu.p_raw >= cu.level THEN w.i ELSE w.start END
+  FROM walk w JOIN zl cu ON cu.entity = w.entity AND cu.window_pos = w.window_pos AND cu.i = w.i JOIN zl nx ON nx.entity = w.entity AND nx.window_pos = w.window_pos AND nx.i = w.i - 1
+  WHERE w.i > 0 AND (cu.p_raw >= cu.level OR w.gap < 2)),
+st AS (SELECT entity, window_pos, arg_min(start, i) AS start FROM walk GROUP BY 1, 2)
+SELECT z.entity, z.window_pos, st.start, round(max(level), 6) AS level, round(max(s_raw) FILTER (i >= st.start - 5 AND i < CASE WHEN st.start + 2 < n THEN st.start + 2 ELSE st.start END), 6) AS trigger, st.start - max(i) FILTER (z.pos = z.window_pos) AS delay
+FROM zl z JOIN st ON st.entity = z.entity AND st.window_pos = z.window_pos GROUP BY 1, 2, 3""",
+)
 def g15(spark, sf):
     c = Chain(spark, sf)
-    zoom = pk.zoom_windows(c.series, c.scores, K)
-    return pk.buildup_metrics(zoom, c.pain, K)
+    out = pk.buildup_metrics(pk.zoom_windows(c.series, c.scores, K), c.pain, K)
+    return out.select(
+        "entity", "window_pos", F.col("start").cast("long"), r("level").alias("level"), r("trigger").alias("trigger"), F.col("delay").cast("long")
+    )
 
 
 @query(
@@ -292,15 +315,44 @@ def sweep(spark, sf, means, rescales, medians, proms, widths):
     return st.cycle_rate_tests(scores, pk.cycle_days(pain, keys), keys)
 
 
-@query("g17_parameter_sweep")
+GRID = {"means": (7, 15), "rescales": (60, 90), "medians": (7,), "proms": (0.05, 0.075), "widths": (3.0, 5.0)}
+
+
+def sweep_sql():
+    """Every parameter set as its own subquery of the chain."""
+    filters = [(m, b, k) for m in GRID["means"] for b in GRID["rescales"] for k in GRID["medians"]]
+    parts = []
+    for i, f in enumerate(filters):
+        for prom in GRID["proms"]:
+            for width in GRID["widths"]:
+                rates = chain_sql(*f, prom, width)[-1]
+                parts.append(
+                    f"""SELECT * FROM (WITH {rates} SELECT entity, {i} AS filter_id, {prom}::DOUBLE AS prominence, {width}::DOUBLE AS width, range_id, n_desc, n_asc,
+  (n_desc - n_asc * (e_desc / nullif(e_asc, 0))) / nullif(sqrt((n_desc + n_asc) * (e_desc / nullif(e_asc, 0))), 0) AS z, (n_asc / nullif(e_asc, 0)) / nullif(n_desc / nullif(e_desc, 0), 0) AS ratio FROM rt)"""
+                )
+    return "sw AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+
+
+def grid_tests(spark, sf):
+    return sweep(spark, sf, GRID["means"], GRID["rescales"], GRID["medians"], GRID["proms"], GRID["widths"])
+
+
+@query("g17_parameter_sweep", f"WITH {sweep_sql()} SELECT entity, filter_id, prominence, width, range_id, n_desc, n_asc, round(z, 6) AS z, round(ratio, 6) AS ratio, round({sql_normal_p('z')}, 6) AS p_value FROM sw")
 def g17(spark, sf):
-    return sweep(spark, sf, (7, 15), (60, 90), (7,), (0.05, 0.075), (3.0, 5.0))
+    out = grid_tests(spark, sf)
+    return out.select(
+        "entity", "filter_id", "prominence", "width", "range_id", "n_desc", "n_asc", r("z").alias("z"), r("ratio").alias("ratio"), r("p_value").alias("p_value")
+    )
 
 
-@query("g18_consistency_summary")
+@query(
+    "g18_consistency_summary",
+    f"""WITH {sweep_sql()}, pv AS (SELECT *, {sql_normal_p('z')} <= 0.05 AS sig FROM sw)
+SELECT entity, range_id, count(*) AS sets, round(avg(CASE WHEN ratio > 1 THEN 1 ELSE 0 END), 6) AS above, round(avg(sig::INT) FILTER (ratio >= 1), 6) AS significant_above, round(avg(sig::INT) FILTER (ratio < 1), 6) AS significant_below FROM pv GROUP BY 1, 2""",
+)
 def g18(spark, sf):
-    tests = sweep(spark, sf, (7, 15), (60, 90), (7,), (0.05, 0.075), (3.0, 5.0))
-    return pk.consistency_summary(tests, ["entity", "range_id"])
+    out = pk.consistency_summary(grid_tests(spark, sf), ["entity", "range_id"])
+    return out.select("entity", "range_id", "sets", *[r(c).alias(c) for c in ("above", "significant_above", "significant_below")])
 
 
 @query(
@@ -340,13 +392,6 @@ def amp_fit(spark, sf):
     return out.select("entity", "n", r("slope", 5).alias("slope"), r("r2", 5).alias("r2"))
 
 
-RATES = f"""{SCORES}, {DAYS},
-cnt AS (SELECT cd.entity, asc_days, desc_days, count(*) FILTER (score >= -1 AND score < 0) AS d1, count(*) FILTER (score >= 0 AND score <= 1) AS a1, count(*) FILTER (score >= -0.8 AND score < 0) AS d2,
-   count(*) FILTER (score < -0.8 OR score >= 0) AS a2, count(*) FILTER (score >= -1 AND score < 0.2) AS d3, count(*) FILTER (score >= 0.2 AND score <= 1) AS a3 FROM cd LEFT JOIN sc USING (entity) GROUP BY 1, 2, 3),
-rt AS (SELECT entity, 1 AS range_id, d1 AS n_desc, desc_days AS e_desc, a1 AS n_asc, asc_days AS e_asc FROM cnt
-  UNION ALL SELECT entity, 2, d2, 0.8::DOUBLE * desc_days, a2, asc_days + 0.2::DOUBLE * desc_days FROM cnt UNION ALL SELECT entity, 3, d3, desc_days + asc_days * 0.2::DOUBLE, a3, asc_days * 0.8::DOUBLE FROM cnt)"""
-
-
 @query(
     "flagship_cycle_rates",
     f"""WITH {RATES} SELECT entity, range_id, n_desc, round(e_desc, 4) AS e_desc, n_asc, round(e_asc, 4) AS e_asc,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dayweave.operators import intervals as iv
 from dayweave.operators import rolling as ro
 from dayweave.operators import scaling as sc
+from dayweave.operators.ordered import time_bucket
 from dayweave.plans.base import DAILY, SPARSE, daily, order_days, ORDER_DAYS, r, sparse_daily, table
 from dayweave.plans.registry import query
 
@@ -221,7 +222,7 @@ def extend(spark, sf):
 )
 def number(spark, sf):
     ev = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return ro.number_in_group(ev, ["user_id", "day"], ["ts", "event_id"]).select("event_id", F.col("activity_n").cast("long"))
+    return ro.number_in_group(ev, ["user_id", "day"], ["ts", "event_id"], time_bucket("ts", 3600)).select("event_id", F.col("activity_n").cast("long"))
 
 
 @query(
