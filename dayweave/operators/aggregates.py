@@ -33,7 +33,11 @@ def day_matrix(df: DataFrame, keys: Sequence[str], name: str, value: str, names:
 
 
 def ordered_list(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Values of a day as an array in time order."""
+    """Values as an array in time order, one cell per key.
+
+    The cell is the feature, so use keys whose rows fit in one (entity and day
+    of track points).  Sums over long tracks use :func:`elevation_gain`.
+    """
     packed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return df.groupBy(*keys).agg(F.transform(packed, lambda s: s["_v"]).alias(name))
 
@@ -143,7 +147,7 @@ def confusion_counts(df: DataFrame, truth: str, guess: str, labels: Sequence[str
     return rows.groupBy(truth).pivot(guess, list(labels)).agg(F.count(F.lit(1))).fillna(0)
 
 
-def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10, y_width: float = 0.01, bounded: bool = False) -> DataFrame:
+def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10, bounded: bool = False) -> DataFrame:
     """Quartiles and spread of y in equal x bins over [0, max x).
 
     By default a bin may be of any size: the quartiles come from the two-level
@@ -162,7 +166,7 @@ def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int
             *[F.percentile(y, F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))],
             F.stddev_pop(y).alias("sd"),
         )
-    quart = ordered.exact_quantiles(rows, keys + ["bin"], y, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, y_width)
+    quart = ordered.exact_quantiles(rows, keys + ["bin"], y, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     spread = rows.groupBy(*keys, "bin").agg(F.stddev_pop(y).alias("sd"))
     return quart.join(spread, keys + ["bin"])
 

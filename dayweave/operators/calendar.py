@@ -219,19 +219,24 @@ def keep_max(df: DataFrame, on: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*on).agg(F.max(value).alias(value))
 
 
-def columns_within(df: DataFrame, cols: Sequence[str], max_missing: int | None = None, max_zero: int | None = None) -> list[str]:
-    """Names of the columns with few enough NULLs / zeros (one pass, one row back)."""
+def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, missing, zero) in long form, counted in one pass."""
     aggs = []
     for c in cols:
-        aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"m_{c}"))
-        aggs.append(F.count(F.when(F.col(c) == 0, 1)).alias(f"z_{c}"))
-    row = df.agg(*aggs).first()
-    return [
-        c
-        for c in cols
-        if (max_missing is None or row[f"m_{c}"] <= max_missing)
-        and (max_zero is None or row[f"z_{c}"] <= max_zero)
-    ]
+        missing, zero = F.count(F.when(F.col(c).isNull(), 1)), F.count(F.when(F.col(c) == 0, 1))
+        aggs.append(F.struct(F.lit(c).alias("column"), missing.alias("missing"), zero.alias("zero")))
+    return df.agg(F.array(*aggs).alias("_all")).select(F.inline("_all"))
+
+
+def columns_within(df: DataFrame, cols: Sequence[str], max_missing: int | None = None, max_zero: int | None = None) -> list[str]:
+    """Names of the columns with few enough NULLs / zeros (one small row each)."""
+    keep = F.lit(True)
+    if max_missing is not None:
+        keep = keep & (F.col("missing") <= max_missing)
+    if max_zero is not None:
+        keep = keep & (F.col("zero") <= max_zero)
+    found = {r["column"] for r in missing_counts(df, cols).where(keep).collect()}
+    return [c for c in cols if c in found]
 
 
 def apply_patches(df: DataFrame, keys: Sequence[str], patches: Sequence[tuple], day: str = "day") -> DataFrame:

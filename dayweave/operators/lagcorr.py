@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayweave.operators import rolling as ro
+from dayweave.operators.ordered import spread
 from dayweave.operators.scaling import whole
 from dayweave.operators.stats import with_pearson_p
 
@@ -44,7 +45,7 @@ def cross_correlation(
         F.inline(F.array(*[F.struct(F.lit(d).alias("driver"), F.col(d).cast("double").alias("_x")) for d in drivers])),
     )
     w = Window.partitionBy(*keys, "driver").orderBy(day)
-    long = long.withColumn("_pos", F.row_number().over(w))
+    long = spread(long, *keys, "driver").withColumn("_pos", F.row_number().over(w))
     around = F.collect_list(F.struct("_pos", "_x")).over(w.rowsBetween(-hi, -lo))
     # the first row also carries every lag once without a value
     empty = F.transform(

@@ -26,9 +26,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash rows over all shuffle partitions for work that is heavy per row.
 
     Adaptive execution merges small partitions by bytes, which would put many
-    small but costly Python groups into one task; a partition count set here is
-    kept as it is.
+    small but costly groups into one task; a partition count set here is kept
+    as it is.  A window or grouping on the same columns needs no further shuffle.
     """
+    if not cols:
+        return df
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
@@ -132,24 +134,25 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[st
     return _neighbour(df, keys, order, cols, bucket, suffix, "before")
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], width: float
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], pieces: int = 64) -> DataFrame:
     """Exact linear-interpolated quantiles of groups of any size.
 
-    Values are first counted per distinct value (combined map-side), then the
-    counts are accumulated with :func:`running_sum` over value buckets that are
-    ``width`` wide, so no task holds a whole group.
+    Values are first counted per distinct value (combined map-side).  The
+    counts are then accumulated with :func:`running_sum` over ``pieces`` value
+    ranges of about equal weight, whose limits are a fixed-size approximate
+    sketch of the group, so no task holds a whole group.  The limits only place
+    the work; the result does not depend on them.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    sketch = known.groupBy(*keys).agg(
+        F.percentile_approx(value, cuts, F.lit(10 * pieces)).alias("_cuts"), F.count(F.lit(1)).alias("_total")
     )
-    bucket = F.floor(F.col(value) / F.lit(width)).cast("long")
-    ranked = running_sum(counts, keys, [value], ["_n"], bucket, suffix="_hi")
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = attach(ranked, keys, totals)
+    placed = attach(counts, keys, sketch)
+    place = F.size(F.filter("_cuts", lambda c: c <= F.col(value))).cast("long")
+    placed = placed.select(*keys, value, "_n", "_total", place.alias(BUCKET))
+    ranked = scan(placed, keys, [value], F.col(BUCKET), sums={"_n_hi": "_n"})
     lo = F.col("_n_hi") - F.col("_n")
     picks = []
     for name, p in probs.items():

@@ -40,7 +40,7 @@ def smooth_grid(
     """
     keys = list(keys)
     w, o = whole(keys), ordered(keys, day)
-    df = df.select(*keys, day, *stressors, F.col(pain).alias("_pain"))
+    df = spread(df.select(*keys, day, *stressors, F.col(pain).alias("_pain")), *keys)
     df = df.withColumns({c: minmax(c, w) for c in stressors})
     df = df.withColumn("strain_raw", weighted_strain(stressors))
     df = df.withColumns(
@@ -104,7 +104,7 @@ def smooth_both_ends(df: DataFrame, keys, loads: Mapping[str, float], pain: str,
     w = whole(keys)
     mean_fn = ro.centred_mean_partial if both_ends else ro.centred_mean
     median_fn = ro.centred_median_partial if both_ends else ro.centred_median
-    df = df.select(*keys, day, *loads, F.col(pain).alias("pain_raw"))
+    df = spread(df.select(*keys, day, *loads, F.col(pain).alias("pain_raw")), *keys)
     df = df.withColumns({c: minmax(c, w) for c in loads})
     df = df.withColumn("strain_raw", weighted_strain(loads)).drop(*loads)
     df = df.withColumns({f"_{s}": mean_fn(f"{s}_raw", keys, mean, day) for s in ("strain", "pain")})
@@ -567,7 +567,7 @@ def best_shift(df: DataFrame, keys: Sequence[str], strain: str, pain: str, shift
     """
     keys = list(keys)
     o = ordered(keys, day)
-    df = df.withColumn("_pos", F.row_number().over(o))
+    df = spread(df.select(*keys, day, strain, pain), *keys).withColumn("_pos", F.row_number().over(o))
     gathered = F.collect_list(F.struct("_pos", F.col(strain).alias("_s"))).over(o.rowsBetween(-(shifts - 1), 0))
     hot = df.select(*keys, "_pos", F.col(pain).alias("_p"), gathered.alias("_near")).where(F.col("_p") >= high)
     pairs = hot.select(*keys, "_p", "_pos", F.explode("_near").alias("_n"))

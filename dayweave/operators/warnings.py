@@ -132,7 +132,7 @@ def outcome_by_days(df: DataFrame, keys: Sequence[str], bins: int = 10, pooled:
 
     ``pooled`` says that a key holds many series, so bins may be of any size.
     """
-    return binned_summary(df, keys, "days_since", "pain_shift", bins, y_width=0.01, bounded=not pooled)
+    return binned_summary(df, keys, "days_since", "pain_shift", bins, bounded=not pooled)
 
 
 def all_warnings(df: DataFrame, keys: Sequence[str], head: int, rise_only: bool = True) -> DataFrame:

@@ -273,15 +273,12 @@ def keep_max(spark, sf):
 
 @query(
     "b21_columns_within",
-    f"""WITH {SPARSE} SELECT name, n FROM (
-SELECT 'a' AS name, count(*) FILTER (a IS NULL) AS n FROM sparse UNION ALL
-SELECT 'day', count(*) FILTER (day IS NULL) FROM sparse) WHERE n <= 1400""",
+    f"""WITH {SPARSE} SELECT * FROM (
+SELECT 'a' AS "column", count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (a = 0) AS zero FROM sparse UNION ALL
+SELECT 'pain', count(*) FILTER (pain IS NULL), count(*) FILTER (pain = 0) FROM sparse) WHERE missing <= 14000""",
 )
 def columns_within(spark, sf):
-    df = sparse_daily(spark, sf)
-    counts = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in ("a", "day")])
-    long = counts.unpivot([], ["a", "day"], "name", "n")
-    return long.where(F.col("n") <= 1400)
+    return cal.missing_counts(sparse_daily(spark, sf), ["a", "pain"]).where(F.col("missing") <= 14000)
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dayweave.operators import events as ev
 from dayweave.operators import models as md
-from dayweave.plans.base import DAILY, daily, r
+from dayweave.plans.base import DAILY, daily, r, sql_normal_p
 from dayweave.plans.registry import query
 
 K = ["entity"]
@@ -72,10 +72,52 @@ def m05(spark, sf):
     return md.shadow_selection(frame(spark, sf), FEATURES, rounds=3, trees=10)
 
 
-@query("m06_vif_elimination")
+@query(
+    "m06_vif_elimination",
+    f"""WITH {DAILY}, g AS (SELECT entity, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * pain) AS ap, sum(b * b) AS bb, sum(b * pain) AS bp, sum(pain * pain) AS pp FROM daily GROUP BY 1),
+d AS (SELECT *, aa * (bb * pp - bp * bp) - ab * (ab * pp - bp * ap) + ap * (ab * bp - bb * ap) AS det FROM g),
+v AS (SELECT entity, unnest([{{'k': 1, 'n': 'a', 'v': aa * (bb * pp - bp * bp) / det}}, {{'k': 2, 'n': 'b', 'v': bb * (aa * pp - ap * ap) / det}}, {{'k': 3, 'n': 'pain', 'v': pp * (aa * bb - ab * ab) / det}}]) AS x FROM d),
+w AS (SELECT entity, arg_max(x.n, x.v) AS worst, max(x.v) AS mx FROM v GROUP BY 1),
+u AS (SELECT w.*, CASE worst WHEN 'a' THEN bb * pp / (bb * pp - bp * bp) WHEN 'b' THEN aa * pp / (aa * pp - ap * ap) ELSE aa * bb / (aa * bb - ab * ab) END AS v2 FROM w JOIN g USING (entity)),
+f AS (SELECT v.entity, x.n AS n, x.v AS v1, worst, mx, v2, min(x.k) FILTER (x.n <> worst) OVER (PARTITION BY v.entity) = x.k AS is_first FROM v JOIN u USING (entity))
+SELECT entity, n AS variable, round(CASE WHEN mx <= 5 OR n = worst THEN v1 WHEN v2 <= 5 OR is_first THEN v2 ELSE 1 END, 6) AS vif, mx <= 5 OR (n <> worst AND (v2 <= 5 OR NOT is_first)) AS kept FROM f""",
+)
 def m06(spark, sf):
-    d = daily(spark, sf).withColumn("c", F.col("a") * 3 + F.col("b"))
-    return md.vif_elimination(d, K, ["a", "b", "pain", "c"])
+    return md.vif_elimination(daily(spark, sf), K, ["a", "b", "pain"]).withColumn("vif", r("vif"))
+
+
+@query(
+    "m07_granger_one_lag",
+    f"""WITH {DAILY}, l AS (SELECT entity, a AS y1, lag(a) OVER ({W}) AS y1l, pain AS y2, lag(pain) OVER ({W}) AS y2l FROM daily),
+c AS (SELECT entity, count(*) AS n, corr(y1, y2l) AS yx, corr(y1, y1l) AS yy, corr(y2l, y1l) AS xy, corr(y2, y1l) AS zx, corr(y2, y2l) AS zz FROM l WHERE y1l IS NOT NULL GROUP BY 1),
+t AS (SELECT entity, 'a' AS effect, 'pain' AS cause, n, pow((yx - yy * xy) / sqrt((1 - yy * yy) * (1 - xy * xy)), 2) AS r2 FROM c UNION ALL
+  SELECT entity, 'pain', 'a', n, pow((zx - zz * xy) / sqrt((1 - zz * zz) * (1 - xy * xy)), 2) FROM c),
+who AS (SELECT DISTINCT entity FROM daily), p AS (SELECT entity, effect, cause, {sql_normal_p('sqrt(n * r2 / (1 - r2))')} AS p FROM t)
+SELECT entity, effect, cause, round(p, 6) + 0.0 AS min_p FROM p UNION ALL SELECT entity, 'a', 'a', 1.0 FROM who UNION ALL SELECT entity, 'pain', 'pain', 1.0 FROM who""",
+)
+def m07_one(spark, sf):
+    out = md.granger_matrix(daily(spark, sf), K, ["a", "pain"], max_lag=1)
+    return out.select("entity", "effect", "cause", r("min_p").alias("min_p"))
+
+
+@query(
+    "m08_unit_root_no_lags",
+    f"""WITH {DAILY}, l AS (SELECT entity, lag(a) OVER ({W}) AS x, a - lag(a) OVER ({W}) AS d FROM daily),
+s AS (SELECT entity, count(*) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_syy(d, x) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1)
+SELECT entity, 'a' AS variable, n, 0 AS lags, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) AS statistic FROM s""",
+)
+def m08_plain(spark, sf):
+    out = md.unit_root_test(daily(spark, sf), K, ["a"], max_lag=0)
+    return out.select("entity", "variable", "n", "lags", r("statistic", 5).alias("statistic"))
+
+
+@query(
+    "m09_var_order_one",
+    f"""WITH {DAILY}, l AS (SELECT entity, a AS y, lag(a) OVER ({W}) AS x FROM daily), s AS (SELECT entity, count(*) AS n, regr_syy(y, x) * (1 - regr_r2(y, x)) AS ssr FROM l WHERE x IS NOT NULL GROUP BY 1)
+SELECT entity, 1 AS "order", round(ln(ssr / n) + 2.0::DOUBLE / n * 2, 6) AS aic, true AS best FROM s""",
+)
+def m09_one(spark, sf):
+    return md.var_order(daily(spark, sf), K, ["a"], max_lag=1).withColumn("aic", r("aic"))
 
 
 @query("m07_granger_matrix")

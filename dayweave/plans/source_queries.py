@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions import expressions as ex
 from dayweave.functions import vocab
+from dayweave.operators import calendar as cal
 from dayweave.operators import ordered
 from dayweave.plans.base import r, table
 from dayweave.plans.registry import query
@@ -11,7 +12,7 @@ from dayweave.sources import csv_exports as cx
 from dayweave.sources import json_exports as jx
 from dayweave.sources import manual_logs as ml
 from dayweave.sources import sinks
-from dayweave.sources.tracks import _climb
+from dayweave.sources.tracks import _climb, track_gains
 
 
 def events(spark, sf):
@@ -33,6 +34,16 @@ def climb(spark, sf):
     return one.select("user_id", "day", gain.alias("gain"), loss.alias("loss"))
 
 
+@query(
+    "a03_track_gains",
+    """WITH x AS (SELECT user_id, ts, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS d FROM events)
+SELECT CAST(user_id AS VARCHAR) AS file, min(ts) AS start_time, round(coalesce(sum(greatest(d, 0)) FILTER (d IS NOT NULL), 0), 4) AS elevation_gain FROM x GROUP BY 1""",
+)
+def gains(spark, sf):
+    points = events(spark, sf).select(F.col("user_id").cast("string").alias("file"), F.col("ts").alias("time"), F.col("value").alias("elevation"))
+    return track_gains(points, 86400).withColumn("elevation_gain", r("elevation_gain", 4))
+
+
 @query(
     "a04_nested_step_points",
     f"SELECT date_trunc('milliseconds', ts) AS start_ts, date_trunc('milliseconds', ts) + INTERVAL 60 SECOND AS end_ts, {KEY} AS steps FROM events",
@@ -269,6 +280,19 @@ def complaints(spark, sf):
     return cx.complaint_days(cells, {"view": "headache", "click": "fatigue"})
 
 
+@query(
+    "a26_stored_gain",
+    f"""WITH d AS (SELECT CAST(ts AS DATE) AS day, max({KEY}) AS k FROM events GROUP BY 1)
+SELECT day, CAST(CASE WHEN day(day) % 2 = 0 THEN k ELSE 1 END AS DOUBLE) AS cycling, CAST(CASE WHEN day(day) % 2 = 0 AND k % 3 = 0 THEN k ELSE 2 END AS DOUBLE) AS walking FROM d""",
+)
+def stored(spark, sf):
+    days = events(spark, sf).groupBy(F.to_date("ts").alias("day")).agg(F.max("k").cast("double").alias("k"))
+    data = days.select("day", F.lit(1.0).alias("cycling"), F.lit(2.0).alias("walking"))
+    kept = days.where(F.dayofmonth("day") % 2 == 0)
+    saved = kept.select("day", F.col("k").alias("cycling"), F.when(F.col("k") % 3 == 0, F.col("k")).alias("walking"))
+    return cal.update_from(cal.combine_first(data, saved, ["day"]), saved, ["day"])
+
+
 @query(
     "a30_phone_days",
     f"SELECT CAST(ts AS DATE) AS day, CAST(sum({KEY}) AS BIGINT) AS minutes FROM events WHERE event_type <> 'error' AND CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_type <> 'error') GROUP BY 1",

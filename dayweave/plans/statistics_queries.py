@@ -100,6 +100,17 @@ def weighted(spark, sf):
     return out.select("entity", "n", *[r(c).alias(c) for c in ("mean_x", "sd_x", "mean_y", "sd_y", "mahalanobis", "p_mahalanobis")])
 
 
+@query(
+    "h07_mahalanobis",
+    f"""WITH {POINTS}, s AS (SELECT entity, sum(w * sin(pi() * x)) / sum(w) AS s, sum(w * cos(pi() * x)) / sum(w) AS c, sum(w * y) / sum(w) AS my, sum(w * y * y) / sum(w) AS yy FROM pts WHERE y > 0.8 GROUP BY 1),
+d AS (SELECT entity, sqrt(pow(atan2(s, c) / sqrt(-2 * ln(sqrt(s * s + c * c))), 2) + pow(my, 2) / (yy - my * my)) AS m FROM s)
+SELECT entity, round(m, 4) AS mahalanobis, round(exp(-m * m / 2), 6) AS p_mahalanobis FROM d""",
+)
+def mahalanobis(spark, sf):
+    out = st.weighted_summary(_points(spark, sf).where(F.col("y") > 0.8), K, "x", "y", "w")
+    return out.select("entity", r("mahalanobis", 4).alias("mahalanobis"), r("p_mahalanobis").alias("p_mahalanobis"))
+
+
 @query(
     "h08_hotelling_test",
     f"""WITH {POINTS}, m AS (SELECT entity, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM pts WHERE w = 3 AND y > 0.5 GROUP BY 1),

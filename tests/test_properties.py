@@ -139,7 +139,7 @@ def test_two_level_scan(spark):
     same(got["l"].astype(float), pdf.v.ffill())
     same(got["b"].astype(float), pdf.v.ffill().shift(1))
     same(got["a"].astype(float), pdf.v.bfill().shift(-1))
-    quart = ordered.exact_quantiles(df, ["k"], "v", {"q": 0.25, "m": 0.5}, 2.0).first()
+    quart = ordered.exact_quantiles(df, ["k"], "v", {"q": 0.25, "m": 0.5}, pieces=8).first()
     same([quart["q"], quart["m"]], np.nanquantile(pdf.v, [0.25, 0.5]))
 
 
