@@ -60,7 +60,7 @@ def activity_shares(activities: DataFrame, label: str, classes: Mapping[str, str
     return activities.withColumns({"low_share": low, "high_share": high, "feed": F.lit(feed)})
 
 
-def body_load(samples: DataFrame, activities: DataFrame, keys: Sequence[str], sample_id: str, active: str, label: str, row: str, bucket_seconds: int = 300) -> DataFrame:
+def body_load(samples: DataFrame, activities: DataFrame, keys: Sequence[str], sample_id: str, active: str, label: str, row: str, bucket_seconds: int = 1800) -> DataFrame:
     """``low_body`` and ``high_body`` load of every sample.
 
     Inside an activity the load is split by its shares; outside, all of it is

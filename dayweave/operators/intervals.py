@@ -179,7 +179,7 @@ def paint_samples(
     sample_id: str,
     values: Sequence[str],
     priority: Sequence[str],
-    bucket_seconds: int = 300,
+    bucket_seconds: int = 1800,
 ) -> DataFrame:
     """Values of the highest-priority interval covering each sample ([start, end]).
 
@@ -212,7 +212,7 @@ def paint_samples(
     )
 
 
-def override_in_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], sample_id: str, value: str, constant: float, bucket_seconds: int = 300) -> DataFrame:
+def override_in_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], sample_id: str, value: str, constant: float, bucket_seconds: int = 1800) -> DataFrame:
     """Samples inside any of the intervals ([start, end]) get a constant."""
     marked = paint_samples(
         samples,

@@ -134,7 +134,7 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[st
     return _neighbour(df, keys, order, cols, bucket, suffix, "before")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], pieces: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], pieces: int = 32) -> DataFrame:
     """Exact linear-interpolated quantiles of groups of any size.
 
     Values are first counted per distinct value (combined map-side).  The
