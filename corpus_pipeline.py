@@ -15,15 +15,13 @@ from dayweave.llm import decontaminate, jaccard_join, language_id, line_dedup, p
 from dayweave.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose text is this far from every language go.
-LEAST_COSINE = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language and writes the found one to ``lang``."""
+    """Drops documents whose language cannot be told (no letter in the text) and writes the found one to ``lang``."""
     prototypes = language_id.learn(docs.where(~language_id.held_out()))
     found = language_id.identify(docs.select(*COLUMNS), prototypes)
-    kept = found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_COSINE))
+    kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

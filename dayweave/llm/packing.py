@@ -22,7 +22,7 @@ from dayweave.llm import common
 
 CAPACITY = 2048
 #: Bins that are open at once in a task.
-OPEN_BINS = 64
+OPEN_BINS = 1024
 #: Encoded words kept by a Python worker (as many again from before).
 CACHED_WORDS = 700_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
