@@ -4,14 +4,20 @@ A document is its set of hashed five-word shingles, represented by one minimum o
 each of many hash functions.  A run grows a tree of paths: a node samples two of
 these minima, and a document goes on to the child named by its value of each, so
 documents meet in a node if they agree on all sampled shared tokens of the path.
-Nodes of two documents up to a bucket's size are compared by brute force with
-whole sets; larger ones are split by further tokens, and those that tokens do not
-split are compared in blocks.  Runs are repeated, with tokens of their own, until
-a pair at the threshold is missed no more often than the target recall allows.
+Runs are repeated, with tokens of their own, until a pair at the threshold is
+missed no more often than the target recall allows.
+
+Nodes are first compared by brute force on the minima, with a cut far below the
+threshold; what that connects are candidate groups.  A node whose members are in
+one group already is not looked at, so later runs only pay for what is new, and a
+node too large for one task is cut into cells that share a sample of its members.
+If a large node still has several groups, it is split by further tokens and, last
+of all, compared in blocks.  Then every group, which no link can leave, is
+compared once by brute force on whole sets, in blocks if it is large.
 
 Equal sets are one class from the start, with one representative.  No pairs are
-emitted: a cell of a bucket returns, per document, the number of its links that
-no earlier bucket has counted and the least member of its component in the cell.
+emitted: a block returns, per document, the number of its links and the least
+member of its component there.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayweave.llm import common
@@ -33,11 +39,16 @@ RECALL = 0.999_999
 #: Levels of the first paths, and of further splits of large nodes.
 FIRST_LEVELS, MORE_LEVELS = 2, 4
 TOKENS_A_RUN = 6  # two at the root, two at each of its children
-#: Hash functions beyond those of the first levels, for further splits.
-MORE_TOKENS = 32
-#: Documents of a bucket, and documents and shingles of a block.
-BUCKET = 256
-BLOCK_SHINGLES = 1_500_000
+#: Hash functions; those beyond the first paths split large nodes, all give the estimate.
+MINIMA = 128
+#: Standard deviations that the estimate may lie below the threshold before a pair is dismissed.
+DEVIATIONS = 4.75
+#: Documents of a cell of a node, and shared members that connect the cells of a large one.
+CELL, SHARED = 1024, 64
+#: Documents and shingles of a block in the comparison of whole sets.
+BLOCK, BLOCK_SHINGLES = 2048, 3_000_000
+#: Documents of a block that a shingle has at least to be counted by a matrix product.
+RARE = 48
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -60,9 +71,9 @@ def _factors(n: int) -> np.ndarray:
     return common.mix(np.arange(101, 101 + n, dtype=np.uint64)) | np.uint64(1)
 
 
-def sketches(df: DataFrame, runs: int, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
+def sketches(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, p1, p2, n, minima): fingerprint and size of the shingle set and its minima (null for an empty set)."""
-    factors = _factors(TOKENS_A_RUN * runs + MORE_TOKENS)
+    factors = _factors(MINIMA)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +111,14 @@ def _minima(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint32).reshape(len(column), -1).astype(np.uint64)
 
 
-def _first_nodes(reps: DataFrame, runs: int) -> DataFrame:
-    """(node, rep, n): the nodes of all runs after the first two levels, four a run."""
+def _path_nodes(reps: DataFrame, runs: range) -> DataFrame:
+    """(node, rep, label): the nodes of some runs after the first two levels, four a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _minima(batch.column(2))
             nodes = []
-            for r in range(runs):
+            for r in runs:
                 for a in range(2):
                     for b in range(2):
                         top = common.mix(m[:, TOKENS_A_RUN * r + a] + np.uint64((r * 2 + a + 1) << 33))
@@ -115,58 +126,141 @@ def _first_nodes(reps: DataFrame, runs: int) -> DataFrame:
             node = np.stack(nodes, axis=1)
             k = node.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(np.repeat(batch.column(1).to_numpy(), k))],
-                names=["node", "rep", "n"],
+                [pa.array(node.view(np.int64).ravel()), *(pa.array(np.repeat(batch.column(i).to_numpy(), k)) for i in (0, 1))],
+                names=["node", "rep", "label"],
             )
 
-    return common.arrow_map(reps.select("rep", "n", "minima"), run, "node long, rep long, n int")
+    return common.arrow_map(reps.select("rep", "label", "minima"), run, "node long, rep long, label long")
 
 
-def _split_nodes(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, rep, n): members of large nodes in the two children that each node samples for them."""
-    rows = members.select("node", "rep").join(reps.select("rep", "n", "minima"), "rep").select("node", "rep", "n", "minima")
+def _split_nodes(members: DataFrame, labelled: DataFrame, first_token: int) -> DataFrame:
+    """(node, rep, label): members of large nodes in the two children that each node samples for them."""
+    rows = members.select("node", "rep").join(labelled, "rep").select("node", "rep", "label", "minima")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _minima(batch.column(3))
             node = batch.column(0).to_numpy().view(np.uint64)
-            row, base = np.arange(len(node)), m.shape[1] - MORE_TOKENS
-            first = common.mix(node + np.uint64(7)) % np.uint64(MORE_TOKENS)
-            second = (first + np.uint64(1) + common.mix(node + np.uint64(8)) % np.uint64(MORE_TOKENS - 1)) % np.uint64(MORE_TOKENS)
-            children = [common.mix(node + common.mix(m[row, base + t.astype(np.int64)] + (t << np.uint64(33)))) for t in (first, second)]
+            row, n = np.arange(len(node)), np.uint64(MINIMA - first_token)
+            first = common.mix(node + np.uint64(7)) % n
+            second = (first + np.uint64(1) + common.mix(node + np.uint64(8)) % (n - np.uint64(1))) % n
+            children = [common.mix(node + common.mix(m[row, first_token + t.astype(np.int64)] + (t << np.uint64(33)))) for t in (first, second)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(children).view(np.int64)), *(pa.array(np.tile(batch.column(i).to_numpy(), 2)) for i in (1, 2))],
-                names=["node", "rep", "n"],
+                names=["node", "rep", "label"],
             )
 
-    return common.arrow_map(rows, run, "node long, rep long, n int")
+    return common.arrow_map(rows, run, "node long, rep long, label long")
+
+
+def _open_members(nodes: DataFrame) -> DataFrame:
+    """(node, rep, members) of nodes with members of several groups; of nodes with equal members one is kept."""
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("least"), F.max("label").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("print"))
+    kept = sizes.where("least <> most").groupBy("members", "print").agg(F.min("node").alias("node"))
+    return nodes.join(kept.select("node", "members"), "node").select("node", "rep", "label", "members")
 
 
-def _sizes(nodes: DataFrame) -> DataFrame:
-    """(node, members, shingles, print) of nodes with two members at least."""
-    stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("rep")).alias("print"))
-    return stats.where("members >= 2")
+def _estimated(members: DataFrame, reps: DataFrame, cut: float, *, shared: Column | None = None, blocks: bool = False) -> DataFrame:
+    """(a, b): connections by the share of equal minima within cells, each document with the least one it reaches.
+
+    A node is one cell or, if large, several, which share the members marked by
+    ``shared`` (a sample, unless given); with ``blocks`` every two of its parts
+    form a cell instead.
+    """
+    parts = F.ceil(F.col("members") / F.lit(CELL)).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    if blocks:
+        cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.least(k, own) * F.lit(1 << 20) + F.greatest(k, own))
+    else:
+        if shared is None:
+            shared = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("members")) < SHARED
+        cells = F.when(shared, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    rows = members.select("node", F.explode(cells).alias("cell"), "rep").join(reps.select("rep", "minima"), "rep")
+    rows = rows.select("node", "cell", "rep", "minima").repartition("node", "cell").sortWithinPartitions("node", "cell", "rep")
+
+    def connect(key: tuple, held: list[pa.RecordBatch]) -> list[tuple]:
+        rep = np.concatenate([x.column(2).to_numpy() for x in held])
+        m = np.concatenate([_minima(x.column(3)) for x in held]).astype(np.uint32)
+        pairs = []
+        for i in range(0, len(rep), 64):
+            same = np.zeros((min(64, len(rep) - i), len(rep)), dtype=np.int16)
+            for j in range(m.shape[1]):
+                same += m[i : i + 64, j, None] == m[None, :, j]
+            a, b = np.nonzero(same >= cut * m.shape[1])
+            pairs.append((a[a + i < b] + i, b[a + i < b]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        least = _least(len(rep), a, b)
+        return [(int(rep[k]), int(rep[least[k]])) for k in np.flatnonzero(least != np.arange(len(rep)))]
+
+    return common.arrow_map(rows, _by_cell(2, connect, ["a", "b"]), "a long, b long")
+
+
+def _by_cell(keys: int, work, names: list[str]):
+    """Streams sorted batches and calls ``work`` with all rows of each cell; its tuples of whole numbers come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key: tuple = ()
+        for batch in batches:
+            place = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(keys)])
+            cuts = [0, *(np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            out: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and key != tuple(place[:, a]):
+                    out += work(key, held)
+                    held = []
+                key = tuple(place[:, a])
+                held.append(batch.slice(a, b - a))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+        out = work(key, held) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    return run
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each one's component under the pairs (a, b)."""
+    least = np.arange(n)
+    while len(a):
+        before = least.copy()
+        both = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, both)
+        np.minimum.at(least, b, both)
+        least = least[least]
+        if (before == least).all():
+            break
+    return least
 
 
-def buckets(reps: DataFrame, runs: int) -> DataFrame:
-    """(bucket, rep, blocks): members of the final nodes; of nodes with equal members one is kept."""
-    nodes = _first_nodes(reps, runs)
-    found: list[DataFrame] = []
+def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root): groups of representatives that no link leaves; those alone are left out."""
+    cut = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / MINIMA)
+    alone = reps.select("rep", F.col("rep").alias("label"), "minima")
+    found = [cut_lineage(_estimated(_open_members(_path_nodes(alone, range(1))), reps, cut))]
+    groups = components(found[0]).withColumnRenamed("node", "rep")
+    labelled = reps.join(groups, "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), "minima")
+    nodes = _path_nodes(labelled, range(runs))
     for level in range(MORE_LEVELS + 1):
-        sizes = cut_lineage(_sizes(nodes))
-        large = sizes.where(F.col("members") > BUCKET)
-        last = level == MORE_LEVELS or large.isEmpty()
-        final = sizes if last else sizes.where(F.col("members") <= BUCKET)
-        kept = final.groupBy("members", "print").agg(F.min("node").alias("node"), F.max("shingles").alias("shingles"))
-        blocks = F.ceil(F.greatest(F.col("members") / F.lit(BUCKET), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-        found.append(nodes.join(kept.select("node", blocks.alias("blocks")), "node").select(F.col("node").alias("bucket"), "rep", "blocks"))
-        if last:
+        members = _open_members(nodes)
+        by_label = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"))
+        members = cut_lineage(members.join(main, "node"))
+        # what is outside a large node's main group meets all its members, if that is little
+        mixed = (F.col("members") > CELL) & (F.col("members") - F.col("most") > CELL)
+        found.append(cut_lineage(_estimated(members.where(~mixed), reps, cut, shared=F.col("label") != F.col("main"))))
+        members = members.where(mixed)
+        if members.isEmpty():
             break
-        nodes = cut_lineage(_split_nodes(nodes.join(large.select("node"), "node", "left_semi"), reps))
-    out = found[0]
+        if level == MORE_LEVELS:
+            found.append(cut_lineage(_estimated(members, reps, cut, blocks=True)))
+        else:
+            nodes = cut_lineage(_split_nodes(members, labelled, TOKENS_A_RUN * runs))
+    edges = found[0]
     for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        edges = edges.unionByName(more)
+    return components(edges)
 
 
 def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -174,37 +268,42 @@ def _intersections(sets: list[np.ndarray], split: int) -> np.ndarray:
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, where, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    common_ = seen >= 2
-    number = np.cumsum(common_) - 1
-    keep = common_[where]
-    col, row = number[where[keep]], owner[keep]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
+    order = np.argsort(where, kind="stable")
+    row, ends = owner[order], np.cumsum(seen)
     left = len(sets) if not split else split
     total = np.zeros((left, len(sets) - split), dtype=np.float32)
-    n = int(col[-1]) + 1 if len(col) else 0
-    step = 4096
-    for a in range(0, n, step):
-        lo, hi = np.searchsorted(col, (a, a + step))
-        x = np.zeros((len(sets), min(step, n - a)), dtype=np.float32)
-        x[row[lo:hi], col[lo:hi] - a] = 1.0
+    # shingles of few documents: their pairs are added one by one
+    for n in range(2, RARE):
+        begins = (ends - seen)[seen == n]
+        for k in range(0, len(begins), 4_000_000 // (n * n)):
+            rows = row[begins[k : k + 4_000_000 // (n * n), None] + np.arange(n)]
+            a, b = np.repeat(rows, n, axis=1).ravel(), np.tile(rows, (1, n)).ravel()
+            some = (a < left) & (b >= split)
+            np.add.at(total, (a[some], b[some] - split), 1.0)
+    # shingles of many: products of incidence columns
+    many = np.flatnonzero(seen >= RARE)
+    for k in range(0, len(many), 2048):
+        part = many[k : k + 2048]
+        x = np.zeros((len(sets), len(part)), dtype=np.float32)
+        counts = seen[part]
+        col = np.repeat(np.arange(len(part)), counts)
+        at = np.repeat((ends - seen)[part] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        x[row[at], col] = 1.0
         total += x[:left] @ x[split:].T
     return total
 
 
-def _compare(parts: list[pa.RecordBatch], threshold: float) -> list[tuple[int, int, int]]:
+def _compare(parts: list[pa.RecordBatch], one_block: bool, threshold: float) -> list[tuple[int, int, int]]:
     """(rep, links, least member of its component) for the documents of one cell that have a link."""
     whole = pa.Table.from_batches(parts)
-    bucket = whole.column("bucket")[0].as_py()
-    one_block = whole.column("low")[0].as_py() == whole.column("high")[0].as_py()
     rep = whole.column("rep").to_numpy()
     side = whole.column("side").to_numpy()
     single = np.ones(len(rep), dtype=bool)
     single[1:] = (rep[1:] != rep[:-1]) | (side[1:] != side[:-1])  # repeated rows
     at = np.flatnonzero(single)
     rep, side = rep[at], side[at]
-    raw, lists, weight = (whole.column(c).take(pa.array(at)) for c in ("shingles", "buckets", "weight"))
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in raw.to_pylist()]
+    weight = whole.column("weight").to_numpy()[at]
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in whole.column("shingles").take(pa.array(at)).to_pylist()]
     split = 0 if one_block else int(np.searchsorted(side, 1))
     if len(sets) < 2 or (not one_block and split in (0, len(sets))):
         return []
@@ -212,48 +311,42 @@ def _compare(parts: list[pa.RecordBatch], threshold: float) -> list[tuple[int, i
     inter = _intersections(sets, split)
     left = np.arange(len(sets) if one_block else split)
     right = np.arange(split, len(sets))
-    union = size[left][:, None] + size[right][None, :] - inter
-    linked = inter >= threshold * union - 1e-9
-    if one_block:
-        linked = np.triu(linked, 1)
-    a, b = np.nonzero(linked)
-    a, b = left[a], right[b]
-    if not len(a):
-        return []
-    own = [frozenset(x) for x in lists.to_pylist()]
-    weight = weight.to_numpy()
     links = np.zeros(len(sets), dtype=np.int64)
     least = np.arange(len(sets))
-    new = np.array([min(own[i] & own[j]) == bucket for i, j in zip(a, b, strict=True)], dtype=bool)
-    np.add.at(links, a[new], weight[b[new]])
-    np.add.at(links, b[new], weight[a[new]])
     order = np.argsort(rep)
     rank = np.empty(len(rep), dtype=np.int64)
     rank[order] = np.arange(len(rep))
-    least = rank.copy()
-    while True:
-        both = np.minimum(least[a], least[b])
-        before = least.copy()
-        np.minimum.at(least, a, both)
-        np.minimum.at(least, b, both)
-        if (before == least).all():
-            break
-    some = np.union1d(a, b)
-    return [(int(rep[i]), int(links[i]), int(rep[order[least[i]]])) for i in some]
-
-
-def compare_buckets(df: DataFrame, members: DataFrame, reps: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep, links, least): results of all cells, from whole shingle sets of the documents in buckets."""
-    grouped = members.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("blocks").alias("blocks"))
-    grouped = grouped.join(reps.select("rep", "p1", "weight"), "rep")
+    pairs = []
+    for i in range(0, len(left), 256):
+        rows = left[i : i + 256]
+        some = inter[i : i + 256]
+        linked = some >= threshold * (size[rows][:, None] + size[right][None, :] - some) - 1e-9
+        if one_block:
+            linked[np.arange(len(rows)), rows] = False
+        links[rows] += linked @ weight[right]
+        if not one_block:
+            links[right] += weight[rows] @ linked
+        a, b = np.nonzero(linked)
+        pairs.append((rank[rows[a]], rank[right[b]]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    least = _least(len(sets), a, b)
+    return [(int(rep[i]), int(links[i]), int(rep[order[least[rank[i]]]])) for i in np.flatnonzero(links)]
+
+
+def compare_groups(df: DataFrame, groups: DataFrame, reps: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, links, least): all pairs within each group, from whole shingle sets of its members."""
+    members = groups.withColumnRenamed("node", "rep").join(reps.select("rep", "n", "p1", "weight"), "rep")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("rep", "root", "blocks", "p1", "weight")
     texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    rows = texts.join(grouped.hint("shuffle_hash"), "rep").select("rep", "text", "buckets", "blocks", "p1", "weight")
+    rows = texts.join(members.hint("shuffle_hash"), "rep").select("rep", "text", "root", "blocks", "p1", "weight")
+    names = ["root", "low", "high", "side", "rep", "weight", "shingles"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "low", "high", "side", "rep", "weight", "buckets", "shingles"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
-            rep, texts, ids, parts, p1, weight = (c.to_pylist() for c in batch.columns)
+            rep, texts, root, parts, p1, weight = (c.to_pylist() for c in batch.columns)
             for a, b in common.chunks([len(t or "") for t in texts]):
                 h, bounds = _shingle_sets(texts[a:b], width)
                 out: list[tuple] = []
@@ -262,40 +355,23 @@ def compare_buckets(df: DataFrame, members: DataFrame, reps: DataFrame, *, doc_i
                     if not len(own) or int(common.mix(own).sum(dtype=np.uint64).view(np.int64)) != p1[k]:
                         continue  # another text with the id of the representative
                     raw = own.tobytes()
-                    for bucket, n in zip(ids[k], parts[k], strict=True):
-                        mine = int(common.mix(np.array([rep[k]], dtype=np.int64).view(np.uint64))[0] % np.uint64(n))
-                        for other in range(n):
-                            low, high = min(mine, other), max(mine, other)
-                            out.append((bucket, low, high, int(low != high and mine == high), rep[k], weight[k], ids[k], raw))
+                    mine = int(common.mix(np.array([rep[k]], dtype=np.int64).view(np.uint64))[0] % np.uint64(parts[k]))
+                    for other in range(parts[k]):
+                        low, high = min(mine, other), max(mine, other)
+                        out.append((root[k], low, high, int(low != high and mine == high), rep[k], weight[k], raw))
                     if len(out) > 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                         out = []
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    cells = common.arrow_map(rows, spread, "bucket long, low int, high int, side int, rep long, weight long, buckets array<long>, shingles binary")
-    cells = cells.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "rep")
+    cells = common.arrow_map(rows, spread, "root long, low int, high int, side int, rep long, weight long, shingles binary")
+    cells = cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side", "rep")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            place = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
-            cuts = [0, *(np.flatnonzero((np.diff(place) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
-            out: list[tuple[int, int, int]] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and key != tuple(place[:, a]):
-                    out += _compare(held, threshold)
-                    held = []
-                key = tuple(place[:, a])
-                held.append(batch.slice(a, b - a))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "least"])
-        out = _compare(held, threshold) if held else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rep", "links", "least"])
+    def compare(key: tuple, held: list[pa.RecordBatch]) -> list[tuple]:
+        return _compare(held, key[1] == key[2], threshold)
 
-    return common.arrow_map(cells, verify, "rep long, links long, least long")
+    return common.arrow_map(cells, _by_cell(3, compare, ["rep", "links", "least"]), "rep long, links long, least long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -331,12 +407,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     class and are not looked at.  Other columns are left behind.
     """
     runs = runs_needed(threshold, recall)
-    found = cut_lineage(sketches(df.where(F.col(doc_id).isNotNull()), runs, doc_id=doc_id, text=text, width=width))
+    found = cut_lineage(sketches(df.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, width=width))
     documents = found.select("doc_id", "p1", "p2", "n").distinct()
     sets = found.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight"), F.min("n").alias("n"), F.min("minima").alias("minima"))
     reps = cut_lineage(sets)
-    members = cut_lineage(buckets(reps, runs))
-    compared = cut_lineage(compare_buckets(df, members, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
+    groups = candidate_groups(reps, runs, threshold)
+    compared = cut_lineage(compare_groups(df, groups, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
     roots = components(compared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = reps.select("p1", "p2", "rep", "weight").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
