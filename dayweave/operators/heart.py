@@ -179,7 +179,7 @@ LOAD_OPTIONS = [
 ]
 
 
-def load_options(samples: DataFrame, keys: Sequence[str], rate: str, options: Sequence[Mapping] = LOAD_OPTIONS[:2]) -> DataFrame:
+def load_options(samples: DataFrame, keys: Sequence[str], rate: str, options: Sequence[Mapping] = LOAD_OPTIONS) -> DataFrame:
     """Daily load per option, all options in one plan."""
     parts = None
     for o in options:

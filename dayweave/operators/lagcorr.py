@@ -80,8 +80,8 @@ def windowed_cross_correlation(
     keys: Sequence[str],
     drivers: Sequence[str],
     pains: Sequence[str],
-    start: str,
-    end: str,
+    start: str | None = None,
+    end: str | None = None,
     lags: Sequence[int] = range(-50, 51),
     smooth: int = 7,
     months: int = 6,
@@ -91,8 +91,12 @@ def windowed_cross_correlation(
     """Cross-correlation curves per sliding window, after a trailing mean.
 
     Adds ``integral``: the sum of the smoothed driver inside the window.
+    Without ``start`` or ``end`` the first or last day of the data counts.
     """
     keys = list(keys)
+    if start is None or end is None:
+        first, last = df.agg(F.min(day).cast("string"), F.max(day).cast("string")).first()
+        start, end = start or first, end or last
     cols = list(dict.fromkeys([*drivers, *pains]))
     inside = df.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     rolled = inside.select(*keys, day, *[ro.trailing_mean(c, keys, smooth, day).alias(c) for c in cols]).dropna(subset=cols)

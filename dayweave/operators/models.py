@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayweave.functions.pvalues import gamma_upper
-from dayweave.operators.scaling import ordered
+from dayweave.operators.scaling import ordered, whole
 from dayweave.session import cut_lineage
 
 
@@ -64,10 +64,23 @@ def _square(pdf: pd.DataFrame, k: int) -> np.ndarray:
     return np.triu(m) + np.triu(m, 1).T
 
 
+def _fit(m: np.ndarray, xs: Sequence[int], ys) -> np.ndarray:
+    """Least squares of columns ys on columns xs from cross products, on columns of unit length."""
+    d = np.sqrt(np.maximum(np.diag(m)[xs], 1e-300))
+    right = m[np.ix_(xs, ys)] if isinstance(ys, list) else m[xs, ys]
+    beta = np.linalg.lstsq(m[np.ix_(xs, xs)] / d[:, None] / d[None, :], (right.T / d).T, rcond=None)[0]
+    return (beta.T / d).T
+
+
+def _centred(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Columns less their mean of the key: a level must not eat the digits of cross products."""
+    return df.withColumns({c: F.col(c).cast("double") - F.avg(F.col(c).cast("double")).over(whole(keys)) for c in cols})
+
+
 def _residual(m: np.ndarray, y: int, xs: Sequence[int]) -> float:
     """Squared residual sum of column y on columns xs, from cross products."""
     xs = list(xs)
-    beta = np.linalg.lstsq(m[np.ix_(xs, xs)], m[xs, y], rcond=None)[0]
+    beta = _fit(m, xs, y)
     return float(m[y, y] - beta @ m[xs, y])
 
 
@@ -128,7 +141,7 @@ def _lagged(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lags: int,
 def granger_matrix(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_lag: int = 12, day: str = "day") -> DataFrame:
     """Smallest chi-squared p value over lags for "cause helps to predict effect"."""
     cols = list(cols)
-    design, names = _lagged(df, keys, cols, max_lag, day)
+    design, names = _lagged(_centred(df, keys, cols), keys, cols, max_lag, day)
     gram = gram_matrix(design, keys, names, level="_hist")
     schema = _schema(df, keys, {"effect": T.StringType(), "cause": T.StringType(), "min_p": T.DoubleType(), "lag": T.IntegerType()})
     at = {(c, k): 1 + cols.index(c) * (max_lag + 1) + k for c in cols for k in range(max_lag + 1)}
@@ -180,7 +193,7 @@ def unit_root_test(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_
     long = df.select(*keys, day, F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_y")) for c in cols])))
     group = keys + ["variable"]
     o = ordered(group, day)
-    long = long.where(F.col("_y").isNotNull())
+    long = _centred(long.where(F.col("_y").isNotNull()), group, ["_y"])
     if difference:
         long = long.withColumn("_y", F.col("_y") - F.lag("_y").over(o)).where(F.col("_y").isNotNull())
     long = long.withColumns({"_d": F.col("_y") - F.lag("_y").over(o), "_lev": F.lag("_y").over(o), "_hist": F.row_number().over(o) - 2})
@@ -205,7 +218,8 @@ def unit_root_test(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_
 
         k = min(range(max_lag + 1), key=aic)
         m, xs = sums[k], [2, 0, *range(3, 3 + k)]
-        inv = np.linalg.pinv(m[np.ix_(xs, xs)])
+        d = np.sqrt(np.maximum(np.diag(m)[xs], 1e-300))
+        inv = np.linalg.pinv(m[np.ix_(xs, xs)] / d[:, None] / d[None, :]) / d[:, None] / d[None, :]
         beta = inv @ m[xs, 1]
         sigma2 = float(m[1, 1] - beta @ m[xs, 1]) / (m[0, 0] - len(xs))
         stat = float(beta[0] / math.sqrt(sigma2 * inv[0, 0]))
@@ -217,7 +231,7 @@ def unit_root_test(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_
 def var_order(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_lag: int = 12, day: str = "day") -> DataFrame:
     """AIC of vector autoregressions of order 1..max_lag on the common sample."""
     cols = list(cols)
-    design, names = _lagged(df, keys, cols, max_lag, day)
+    design, names = _lagged(_centred(df, keys, cols), keys, cols, max_lag, day)
     gram = gram_matrix(design.where(F.col("_hist") == max_lag), keys, names)
     schema = _schema(df, keys, {"order": T.IntegerType(), "aic": T.DoubleType(), "best": T.BooleanType()})
     at = {(c, k): 1 + cols.index(c) * (max_lag + 1) + k for c in cols for k in range(max_lag + 1)}
@@ -229,7 +243,7 @@ def var_order(df: DataFrame, keys: Sequence[str], cols: Sequence[str], max_lag:
         out = []
         for p in range(1, max_lag + 1):
             xs = [0, *(at[c, j] for j in range(1, p + 1) for c in cols)]
-            beta = np.linalg.lstsq(m[np.ix_(xs, xs)], m[np.ix_(xs, ys)], rcond=None)[0]
+            beta = _fit(m, xs, ys)
             cov = (m[np.ix_(ys, ys)] - beta.T @ m[np.ix_(xs, ys)]) / n
             out.append(float(np.linalg.slogdet(cov)[1] + 2.0 / n * (p * k * k + k)))
         best = int(np.argmin(out))
@@ -243,7 +257,8 @@ def var_coefficients(df: DataFrame, keys: Sequence[str], cols: Sequence[str], la
     cols = list(cols)
     newest = F.row_number().over(ordered(keys, day).orderBy(F.desc(day)))
     train = df.withColumn("_r", newest).where(F.col("_r") > hold_out).drop("_r") if hold_out else df
-    design, names = _lagged(train, keys, cols, lags, day)
+    train = train.dropna(subset=cols)
+    design, names = _lagged(_centred(train, keys, cols), keys, cols, lags, day)
     gram = gram_matrix(design.where(F.col("_hist") == lags), keys, names)
     schema = _schema(df, keys, {"equation": T.StringType(), "term": T.StringType(), "lag": T.IntegerType(), "coefficient": T.DoubleType()})
     at = {(c, k): 1 + cols.index(c) * (lags + 1) + k for c in cols for k in range(lags + 1)}
@@ -253,11 +268,23 @@ def var_coefficients(df: DataFrame, keys: Sequence[str], cols: Sequence[str], la
         terms = [("const", 0), *((c, j) for j in range(1, lags + 1) for c in cols)]
         xs = [0, *(at[c, j] for c, j in terms[1:])]
         for c in cols:
-            beta = np.linalg.lstsq(m[np.ix_(xs, xs)], m[xs, at[c, 0]], rcond=None)[0]
+            beta = _fit(m, xs, at[c, 0])
             for (term, lag), b in zip(terms, beta, strict=True):
                 yield [c, term, lag, float(b)]
 
-    return _solve(gram, keys, schema, fit)
+    found = _solve(gram, keys, schema, fit)
+    # the constant for the variables as they are: what the means add to the equation
+    means = train.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"_mean_{c}") for c in cols])
+    mean_of = F.lit(0.0)
+    for c in cols:
+        mean_of = mean_of + F.when(F.col("equation") == c, F.col(f"_mean_{c}")).otherwise(F.lit(0.0))
+    carried = F.lit(0.0)
+    for c in cols:
+        carried = carried + F.when(F.col("term") == c, F.col("coefficient") * F.col(f"_mean_{c}")).otherwise(F.lit(0.0))
+    wide = found.join(means, list(keys)) if keys else found.crossJoin(means)
+    shift = mean_of - F.sum(carried).over(whole([*keys, "equation"]))
+    wide = wide.withColumn("coefficient", F.when(F.col("term") == "const", F.col("coefficient") + shift).otherwise(F.col("coefficient")))
+    return wide.select(*found.columns)
 
 
 # --- forests -------------------------------------------------------------------------

@@ -181,32 +181,39 @@ def weighted_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, weight:
     p value, which has the closed form exp(-d^2 / 2).
     """
     ok = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull()
-    w = F.col(weight)
+    # squares are taken around each key's mean, so a high level loses no digits
+    centre = df.where(ok).groupBy(*[F.col(c).alias(f"_key_{c}") for c in keys]).agg(F.avg(y).alias("_centre"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    df = df.join(centre, same).drop(*[f"_key_{c}" for c in keys])
+    w, gap = F.col(weight), F.col(y) - F.col("_centre")
     angle = F.lit(pi) * F.col(x)
     s = df.where(ok).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(w).alias("_w"),
         F.sum(w * F.sin(angle)).alias("_s"),
         F.sum(w * F.cos(angle)).alias("_c"),
-        F.sum(w * F.col(y)).alias("_y"),
-        F.sum(w * F.col(y) * F.col(y)).alias("_yy"),
+        F.sum(w * gap).alias("_y"),
+        F.sum(w * gap * gap).alias("_yy"),
+        F.first("_centre").alias("_centre"),
     )
     sin, cos = F.try_divide(F.col("_s"), F.col("_w")), F.try_divide(F.col("_c"), F.col("_w"))
     length = F.sqrt(sin * sin + cos * cos)
-    mean_y = F.try_divide(F.col("_y"), F.col("_w"))
+    off = F.try_divide(F.col("_y"), F.col("_w"))
     s = s.withColumns(
         {
             "mean_x": F.atan2(sin, cos) / F.lit(pi),
             "sd_x": F.when(length > 0, F.sqrt(F.greatest(F.lit(-2.0) * F.log(length), F.lit(0.0))) / F.lit(pi)),
-            "mean_y": mean_y,
-            "sd_y": F.sqrt(F.greatest(F.try_divide(F.col("_yy"), F.col("_w")) - mean_y * mean_y, F.lit(0.0))),
+            "mean_y": F.col("_centre") + off,
+            "sd_y": F.sqrt(F.greatest(F.try_divide(F.col("_yy"), F.col("_w")) - off * off, F.lit(0.0))),
         }
     )
     zx = F.try_divide(F.col("mean_x"), F.col("sd_x"))
     zy = F.try_divide(F.col("mean_y"), F.col("sd_y"))
     s = s.withColumn("mahalanobis", F.sqrt(zx * zx + zy * zy))
     d = F.col("mahalanobis")
-    return s.withColumn("p_mahalanobis", F.exp(-d * d / 2)).drop("_w", "_s", "_c", "_y", "_yy")
+    return s.withColumn("p_mahalanobis", F.exp(-d * d / 2)).drop("_w", "_s", "_c", "_y", "_yy", "_centre")
 
 
 def hotelling_test(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

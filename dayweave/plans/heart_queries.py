@@ -78,8 +78,12 @@ def k06(spark, sf):
     "k07_load_options",
     f"""WITH {CARRY.format(base=BEATS, thr=70)}, z AS (SELECT entity, CAST(ts AS DATE) AS day, sum(greatest(hr - 110, 0)) AS load FROM beats GROUP BY 1, 2),
 o AS (SELECT entity, CAST(ts AS DATE) AS day, sum(CASE WHEN c - 50 < 50 THEN 0 ELSE c - 50 END) AS load FROM oc GROUP BY 1, 2),
+nb2 AS (SELECT entity, k, ts, v * v AS v FROM nb),
+oc2 AS (SELECT entity, k, ts, v AS c FROM nb2 WHERE k = 1 UNION ALL SELECT n.entity, n.k, n.ts, n.v + CASE WHEN 0.5 * o.c > 1 THEN 0.5 * o.c ELSE 0 END FROM oc2 o JOIN nb2 n ON n.entity = o.entity AND n.k = o.k + 1),
+p AS (SELECT entity, CAST(ts AS DATE) AS day, sum(c) AS load FROM oc2 GROUP BY 1, 2),
 sp AS (SELECT entity, CAST(lo + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT entity, min(day) AS lo, max(day) AS hi FROM z GROUP BY 1), (SELECT unnest(range(0, 400)) AS i) WHERE lo + CAST(i AS INTEGER) <= hi)
-SELECT entity, day, 'zone2' AS option, round(coalesce(load, 0), 4) AS load FROM sp LEFT JOIN z USING (entity, day) UNION ALL SELECT entity, day, 'overflow_cutoff', round(coalesce(load, 0), 4) FROM sp LEFT JOIN o USING (entity, day)""",
+SELECT entity, day, 'zone2' AS option, round(coalesce(load, 0), 4) AS load FROM sp LEFT JOIN z USING (entity, day) UNION ALL SELECT entity, day, 'overflow_cutoff', round(coalesce(load, 0), 4) FROM sp LEFT JOIN o USING (entity, day)
+UNION ALL SELECT entity, day, 'power2_overflow', round(coalesce(load, 0), 4) FROM sp LEFT JOIN p USING (entity, day)""",
 )
 def k07(spark, sf):
     x = beats(spark, sf).select("entity", "ts", "sample_id", "hr")

@@ -26,8 +26,8 @@ def i01(spark, sf):
     return curves(spark, sf).withColumn("corr", r("corr"))
 
 
-SLIDE = f"""{DAILY}, rl AS (SELECT entity, day, pos, {full('a', 7)} AS a, {full('pain', 7)} AS pain FROM daily WHERE day BETWEEN DATE '1995-01-01' AND DATE '2000-12-31'),
-ws AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2000-12-31' - INTERVAL 6 MONTH, INTERVAL 2 MONTH)) AS DATE) AS w_start),
+SLIDE = f"""{DAILY}, rl AS (SELECT entity, day, pos, {full('a', 7)} AS a, {full('pain', 7)} AS pain FROM daily),
+ws AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM daily)::TIMESTAMP, (SELECT max(day) FROM daily)::TIMESTAMP - INTERVAL 6 MONTH, INTERVAL 2 MONTH)) AS DATE) AS w_start),
 wr AS MATERIALIZED (SELECT entity, w_start, day, a, pain FROM rl JOIN ws ON day >= w_start AND day < CAST(w_start + INTERVAL 6 MONTH AS DATE) WHERE a IS NOT NULL AND pain IS NOT NULL),
 wc AS MATERIALIZED (SELECT q.entity, q.w_start, CAST(k AS INTEGER) AS lag, CASE WHEN count(*) >= 6 THEN corr(q.pain, p.a) END AS corr
   FROM wr q, (SELECT unnest(range(-50, 51)) AS k) JOIN wr p ON p.entity = q.entity AND p.w_start = q.w_start AND p.day = q.day - CAST(k AS INTEGER) GROUP BY 1, 2, 3),
@@ -35,7 +35,7 @@ wi AS (SELECT entity, w_start, sum(a) AS integral FROM wr GROUP BY 1, 2)"""
 
 
 def slides(spark, sf):
-    return lc.windowed_cross_correlation(daily(spark, sf), K, ["a"], ["pain"], "1995-01-01", "2000-12-31")
+    return lc.windowed_cross_correlation(daily(spark, sf), K, ["a"], ["pain"])
 
 
 @query("i02_sliding_windows", f"WITH {SLIDE} SELECT entity, w_start, lag, round(corr, 6) AS corr, round(integral, 4) AS integral FROM wc JOIN wi USING (entity, w_start)")

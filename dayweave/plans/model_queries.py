@@ -69,7 +69,7 @@ def m04(spark, sf):
 
 @query("m05_shadow_selection")
 def m05(spark, sf):
-    return md.shadow_selection(frame(spark, sf), FEATURES, rounds=3, trees=10)
+    return md.shadow_selection(frame(spark, sf), FEATURES, rounds=8, trees=10)
 
 
 @query(

@@ -357,13 +357,13 @@ def g18(spark, sf):
 
 @query(
     "g19_best_shift",
-    f"""WITH {SCALED}, l AS (SELECT unnest(range(0, 60)) AS s), x AS (SELECT p.entity, s, avg(greatest(p.pain - q.a, 0)) AS u FROM scaled p, l JOIN scaled q ON q.entity = p.entity AND q.pos = p.pos - s WHERE p.pain >= 0.5 GROUP BY 1, 2)
+    f"""WITH {SCALED}, l AS (SELECT unnest(range(0, 120)) AS s), x AS (SELECT p.entity, s, avg(greatest(p.pain - q.a, 0)) AS u FROM scaled p, l JOIN scaled q ON q.entity = p.entity AND q.pos = p.pos - s WHERE p.pain >= 0.8 GROUP BY 1, 2)
 SELECT entity, CAST(s AS INTEGER) AS shift, round(u, 6) AS uncovered FROM x""",
 )
 def g19(spark, sf):
     from dayweave.plans.rolling_queries import scaled
 
-    out = pk.best_shift(scaled(spark, sf), K, "a", "pain", shifts=60, high=0.5)
+    out = pk.best_shift(scaled(spark, sf), K, "a", "pain")
     return out.select("entity", "shift", r("uncovered").alias("uncovered"))
 
 

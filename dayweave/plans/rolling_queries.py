@@ -291,7 +291,7 @@ def stress(spark, sf):
 
 @query("e28_tune_factors")
 def tune(spark, sf):
-    return ro.tune_factors(daily(spark, sf), K, {"a": 100.0, "b": 200.0}, "pain", steps=200)
+    return ro.tune_factors(daily(spark, sf), K, {"a": 100.0, "b": 200.0}, "pain")
 
 
 @query(

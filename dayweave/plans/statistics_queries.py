@@ -55,11 +55,11 @@ def t_tests(spark, sf):
 
 @query(
     "h04_pearson_test",
-    f"""WITH {DAILY}, c AS (SELECT entity, corr(a, pain) AS r, count(*) AS n FROM daily WHERE day >= DATE '2001-01-01' GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
+    f"""WITH {DAILY}, c AS (SELECT entity, corr(a, pain) AS r, count(*) AS n FROM daily GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c)
 SELECT entity, n, round(r, 6) AS r, round(t, 5) AS t, round({sql_t_p('t', '(n - 2.0::DOUBLE)')}, 6) + 0.0 AS p_value FROM t""",
 )
 def pearson(spark, sf):
-    out = st.pearson_test(daily(spark, sf).where(F.col("day") >= "2001-01-01"), K, "a", "pain")
+    out = st.pearson_test(daily(spark, sf), K, "a", "pain")
     return out.select("entity", "n", r("r").alias("r"), r("t", 5).alias("t"), r("p_value").alias("p_value"))
 
 
@@ -102,24 +102,23 @@ def weighted(spark, sf):
 
 @query(
     "h07_mahalanobis",
-    f"""WITH {POINTS}, s AS (SELECT entity, sum(w * sin(pi() * x)) / sum(w) AS s, sum(w * cos(pi() * x)) / sum(w) AS c, sum(w * y) / sum(w) AS my, sum(w * y * y) / sum(w) AS yy FROM pts WHERE y > 0.8 GROUP BY 1),
+    f"""WITH {POINTS}, s AS (SELECT entity, sum(w * sin(pi() * x)) / sum(w) AS s, sum(w * cos(pi() * x)) / sum(w) AS c, sum(w * y) / sum(w) AS my, sum(w * y * y) / sum(w) AS yy FROM pts GROUP BY 1),
 d AS (SELECT entity, sqrt(pow(atan2(s, c) / sqrt(-2 * ln(sqrt(s * s + c * c))), 2) + pow(my, 2) / (yy - my * my)) AS m FROM s)
 SELECT entity, round(m, 4) AS mahalanobis, round(exp(-m * m / 2), 6) AS p_mahalanobis FROM d""",
 )
 def mahalanobis(spark, sf):
-    out = st.weighted_summary(_points(spark, sf).where(F.col("y") > 0.8), K, "x", "y", "w")
+    out = st.weighted_summary(_points(spark, sf), K, "x", "y", "w")
     return out.select("entity", r("mahalanobis", 4).alias("mahalanobis"), r("p_mahalanobis").alias("p_mahalanobis"))
 
 
 @query(
     "h08_hotelling_test",
-    f"""WITH {POINTS}, m AS (SELECT entity, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM pts WHERE w = 3 AND y > 0.5 GROUP BY 1),
+    f"""WITH {POINTS}, m AS (SELECT entity, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cxy FROM pts GROUP BY 1),
 t AS (SELECT entity, n, n * (mx * mx * vy - 2 * mx * my * cxy + my * my * vx) / (vx * vy - cxy * cxy) AS t2 FROM m), f AS (SELECT *, (n - 2) * t2 / (2 * (n - 1)) AS f FROM t)
 SELECT entity, n, round(t2, 3) AS t2, round(f, 4) AS f, round(pow(1 + 2 * f / (n - 2), -(n - 2) / 2.0::DOUBLE), 6) AS p_hotelling FROM f""",
 )
 def hotelling(spark, sf):
-    pts = _points(spark, sf).where((F.col("w") == 3) & (F.col("y") > 0.5))
-    out = st.hotelling_test(pts, K, "x", "y")
+    out = st.hotelling_test(_points(spark, sf), K, "x", "y")
     return out.select("entity", "n", r("t2", 3).alias("t2"), r("f", 4).alias("f"), r("p_hotelling").alias("p_hotelling"))
 
 

@@ -309,3 +309,25 @@ def test_weight_tuning_never_loses(series):
     out = ro.tune_factors(series.fillna({"pain": 2.0}), K, {"a": 100.0, "b": 50.0}, "pain", steps=50)
     for row in out.collect():
         assert row["corr_after"] >= row["corr_before"] - 1e-9
+
+
+def test_level_does_not_change_linear_models(spark, series):
+    """Tests and orders of shifted series agree with those of the plain ones."""
+    from dayweave.operators import models, stats
+    from pyspark.sql import functions as F
+
+    base = series.select("entity", "day", "a", "b").dropna()
+    seen = {}
+    for level in (0.0, 1e5, 1e7):
+        df = base.withColumns({c: F.col(c) + level for c in ("a", "b")})
+        adf = {(r.entity, r.variable): (r.statistic, r.lags) for r in models.unit_root_test(df, ["entity"], ["a", "b"], 2).collect()}
+        granger = {(r.entity, r.effect, r.cause): r.min_p for r in models.granger_matrix(df, ["entity"], ["a", "b"], 2).collect()}
+        order = {(r.entity, r.order): r.aic for r in models.var_order(df, ["entity"], ["a", "b"], 3).collect()}
+        slope = {(r.entity, r.equation, r.term, r.lag): r.coefficient for r in models.var_coefficients(df, ["entity"], ["a", "b"], 2, 50).collect() if r.term != "const"}
+        spread = {r.entity: r.sd_y for r in stats.weighted_summary(df.withColumns({"x": (F.col("a") - level) / 50, "w": F.lit(2.0)}), ["entity"], "x", "b", "w").collect()}
+        for name, found in (("adf", adf), ("granger", granger), ("order", order), ("slope", slope), ("spread", spread)):
+            want = seen.setdefault(name, found)
+            assert found.keys() == want.keys()
+            for k, v in found.items():
+                for x, y in zip(v if isinstance(v, tuple) else (v,), want[k] if isinstance(want[k], tuple) else (want[k],), strict=True):
+                    assert abs(x - y) <= 1e-6 * max(1.0, abs(y)), (name, k, level, x, y)
