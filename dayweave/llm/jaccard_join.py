@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayweave.llm import common
-from dayweave.session import cut_lineage
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold meets in some bucket with at least this probability.
@@ -238,7 +237,7 @@ def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -
     """(node, root): groups of representatives that no link leaves; those alone are left out."""
     cut = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / MINIMA)
     alone = reps.select("rep", F.col("rep").alias("label"), "minima")
-    found = [cut_lineage(_estimated(_open_members(_path_nodes(alone, range(1))), reps, cut))]
+    found = [common.written(_estimated(_open_members(_path_nodes(alone, range(1))), reps, cut))]
     groups = components(found[0]).withColumnRenamed("node", "rep")
     labelled = reps.join(groups, "rep", "left").select("rep", F.coalesce("root", "rep").alias("label"), "minima")
     nodes = _path_nodes(labelled, range(runs))
@@ -246,17 +245,17 @@ def candidate_groups(reps: DataFrame, runs: int, threshold: float = THRESHOLD) -
         members = _open_members(nodes)
         by_label = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         main = by_label.groupBy("node").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"))
-        members = cut_lineage(members.join(main, "node"))
+        members = common.written(members.join(main, "node"))
         # what is outside a large node's main group meets all its members, if that is little
         mixed = (F.col("members") > CELL) & (F.col("members") - F.col("most") > CELL)
-        found.append(cut_lineage(_estimated(members.where(~mixed), reps, cut, shared=F.col("label") != F.col("main"))))
+        found.append(common.written(_estimated(members.where(~mixed), reps, cut, shared=F.col("label") != F.col("main"))))
         members = members.where(mixed)
         if members.isEmpty():
             break
         if level == MORE_LEVELS:
-            found.append(cut_lineage(_estimated(members, reps, cut, blocks=True)))
+            found.append(common.written(_estimated(members, reps, cut, blocks=True)))
         else:
-            nodes = cut_lineage(_split_nodes(members, labelled, TOKENS_A_RUN * runs))
+            nodes = common.written(_split_nodes(members, labelled, TOKENS_A_RUN * runs))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
@@ -383,13 +382,13 @@ def components(edges: DataFrame) -> DataFrame:
     the adaptive join.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    both = common.written(both)
+    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         far = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        step = cut_lineage(step.join(far, "low", "left").select("node", "root", F.least("low", F.coalesce("far", "low")).alias("low")))
+        step = common.written(step.join(far, "low", "left").select("node", "root", F.least("low", F.coalesce("far", "low")).alias("low")))
         labels = step.select("node", F.col("low").alias("root"))
         if step.where("root <> low").isEmpty():
             return labels
@@ -407,12 +406,12 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     class and are not looked at.  Other columns are left behind.
     """
     runs = runs_needed(threshold, recall)
-    found = cut_lineage(sketches(df.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, width=width))
+    found = common.written(sketches(df.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, width=width))
     documents = found.select("doc_id", "p1", "p2", "n").distinct()
     sets = found.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight"), F.min("n").alias("n"), F.min("minima").alias("minima"))
-    reps = cut_lineage(sets)
+    reps = common.written(sets)
     groups = candidate_groups(reps, runs, threshold)
-    compared = cut_lineage(compare_groups(df, groups, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
+    compared = common.written(compare_groups(df, groups, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
     roots = components(compared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = reps.select("p1", "p2", "rep", "weight").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
