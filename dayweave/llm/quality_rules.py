@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from dayweave.llm import common
 
-#: At most about so many labelled rows are used to fit.
-TRAIN_ROWS = 20_000
+#: At most about so many labelled rows are used to fit, and tasks that hold them.
+TRAIN_ROWS, TRAIN_TASKS = 20_000, 8
 STATISTICS = [
     "log_chars", "upper_share", "digit_share", "space_share", "line_share", "non_ascii_share", "stop_share", "comma_share",
     "mark_share", "other_share", "bar_share", "word_length", "long_word_share", "distinct_share", "repeat_share", "words_a_line",
@@ -137,7 +137,9 @@ def fit(labelled: DataFrame, label: str = "label", *, trees: int = 12, depth: in
         share = (ones + 1) / (n + 2)
         return RuleModel((), math.log(share / (1 - share)))
     rows = rows.where(F.pmod(F.xxhash64(*STATISTICS), F.lit(max(1, math.ceil(n / max_rows)))) == 0)
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(n / (2.0 * ones))).otherwise(F.lit(n / (2.0 * (n - ones))))).persist()
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(n / (2.0 * ones))).otherwise(F.lit(n / (2.0 * (n - ones)))))
+    # a bounded sample: each round of the fit is a job, whose cost is its number of tasks
+    rows = rows.repartition(TRAIN_TASKS).sortWithinPartitions("label", *STATISTICS).persist()
     try:
         assembled = VectorAssembler(inputCols=STATISTICS, outputCol="x").transform(rows)
         forest = RandomForestClassifier(featuresCol="x", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="onethird", seed=5).fit(assembled)
