@@ -3,9 +3,11 @@
 Spark has no interval join and a plain inequality join compares all pairs of a
 key.  Two shapes are used instead:
 
-* sums over intervals read a running total at both edges.  Samples and edges
-  are merged in time order and accumulated bucket by bucket, so the work grows
-  with rows, never with pairs;
+* sums over intervals merge samples and edges in time order, which cuts the
+  samples into segments without an edge inside.  Segments are summed once, then
+  over a ladder of ever wider blocks; an interval adds up the few blocks that
+  fill it.  The work grows with rows, never with pairs, and nothing outside an
+  interval enters its sum;
 * joins that need the matching rows themselves put intervals into the time
   buckets they touch and join on the bucket, then apply the exact predicate.
 """
@@ -24,6 +26,8 @@ from dayweave.operators import ordered
 from dayweave.operators.ordered import BUCKET, time_bucket
 
 DAY = 86_400
+#: Blocks of segments get wider by 2^4 from level to level; ten levels hold 2^40 segments in their widest.
+LADDER_BITS, LADDER_LEVELS = 4, 10
 
 
 def intervals_from_events(
@@ -51,6 +55,49 @@ def _edges(intervals: DataFrame, keys, interval_id: str, start_rank: int, end_ra
     )
 
 
+def _ranges(low: Column, high: Column) -> Column:
+    """Blocks ``(level, block)`` that together are the segments ``low <= i < high``."""
+    nothing = F.array().cast("array<bigint>")
+
+    def run(first: Column, stop: Column) -> Column:
+        return F.when(first < stop, F.sequence(first, stop - 1)).otherwise(nothing)
+
+    def edges(level: int) -> tuple[Column, Column]:
+        bits = LADDER_BITS * level
+        return F.shiftright(low + F.lit((1 << bits) - 1).cast("long"), bits), F.shiftright(high, bits)
+
+    def named(level: int, blocks: Column) -> Column:
+        return F.transform(blocks, lambda block: F.struct(F.lit(level).alias("level"), block.alias("block")))
+
+    parts = []
+    for level in range(LADDER_LEVELS):
+        first, stop = edges(level)
+        blocks = run(first, stop)
+        if level + 1 < LADDER_LEVELS:
+            inner, outer = (F.shiftleft(c, LADDER_BITS) for c in edges(level + 1))
+            blocks = F.when(inner <= outer, F.concat(run(first, inner), run(outer, stop))).otherwise(blocks)
+        parts.append(named(level, F.when(first < stop, blocks).otherwise(nothing)))
+    return F.concat(*parts)
+
+
+def _sums_of_ranges(ranges: DataFrame, segments: DataFrame, keys: list[str], interval_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``_sum`` and ``n`` of the segments ``_low <= _seg < _high``; ``segments`` has rows with ``_seg, _v, _k``."""
+    once = segments.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_v"), F.sum("_k").alias("_k")).where(F.col("_k") > 0)
+    blocks = (
+        once.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LADDER_LEVELS - 1))))
+        .withColumn("_block", F.expr(f"shiftright(_seg, {LADDER_BITS} * _level)"))
+        .groupBy(*keys, "_level", "_block")
+        .agg(F.sum("_v").alias("_v"), F.sum("_k").alias("_k"))
+    )
+    pieces = ranges.select(*keys, interval_id, *keep, F.explode_outer(F.when(F.col("_low") < F.col("_high"), _ranges(F.col("_low"), F.col("_high")))).alias("_p"))
+    pieces = pieces.select(*keys, interval_id, *keep, F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block"))
+    return (
+        pieces.join(blocks, [*keys, "_level", "_block"], "left")
+        .groupBy(*keys, interval_id)
+        .agg(F.sum("_v").alias("_sum"), F.coalesce(F.sum("_k"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in keep])
+    )
+
+
 def aggregate_in_intervals(
     intervals: DataFrame,
     samples: DataFrame,
@@ -63,8 +110,9 @@ def aggregate_in_intervals(
 ) -> DataFrame:
     """``total``, ``n`` and ``mean`` of the samples inside every interval.
 
-    Running totals are read at both edges; the difference is the interval's
-    sum.  Intervals without samples get total and mean NULL and n 0.
+    Edges cut the samples of a key into numbered segments; an interval is a
+    range of them.  Intervals without samples, with an edge missing or the end
+    before the start get total and mean NULL and n 0.
     """
     keys = list(keys)
     points = samples.select(
@@ -73,29 +121,23 @@ def aggregate_in_intervals(
         F.lit(None).cast("int").alias("sign"),
         "ts",
         F.lit(1).alias("rank"),
+        F.lit(0).cast("long").alias("_edge"),
         F.col(value).cast("double").alias("_v"),
         F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long").alias("_k"),
     )
-    # an edge ranked before the samples of its instant does not count them
+    # an edge ranked before the samples of its instant opens a segment that holds them
     edges = _edges(intervals, keys, interval_id, 0 if start_inclusive else 2, 2 if end_inclusive else 0)
-    edges = edges.withColumns({"_v": F.lit(None).cast("double"), "_k": F.lit(0).cast("long")})
-    merged = points.unionByName(edges)
-    run = ordered.running_sum(merged, keys, ["ts", "rank"], ["_v", "_k"], time_bucket("ts", bucket_seconds))
-    sums = (
-        run.where(F.col("sign").isNotNull())
-        .groupBy(*keys, interval_id)
-        .agg(
-            F.sum(F.col("sign") * F.col("_v_run")).alias("_sum"),
-            F.sum(F.col("sign") * F.col("_k_run")).alias("n"),
-        )
-    )
-    empty = F.col("n") == 0
+    edges = edges.withColumns({"_edge": F.lit(1).cast("long"), "_v": F.lit(None).cast("double"), "_k": F.lit(0).cast("long")})
+    run = ordered.scan(points.unionByName(edges), keys, ["ts", "rank"], time_bucket("ts", bucket_seconds), sums={"_seg": "_edge"})
+    at = {sign: F.max(F.when((F.col("sign") == sign) & F.col("ts").isNotNull(), F.col("_seg"))) for sign in (-1, 1)}
+    ranges = run.where(F.col("sign").isNotNull()).groupBy(*keys, interval_id).agg(at[-1].alias("_low"), at[1].alias("_high"))
+    sums = _sums_of_ranges(ranges, run.where(F.col("sign").isNull()), keys, interval_id)
     return sums.select(
         *keys,
         interval_id,
         "n",
-        F.when(~empty, F.col("_sum")).alias("total"),
-        F.when(~empty, F.col("_sum") / F.col("n")).alias("mean"),
+        F.col("_sum").alias("total"),
+        F.try_divide("_sum", "n").alias("mean"),
     )
 
 
@@ -111,11 +153,12 @@ def prorate_in_intervals(
     """Share of every sample's value by overlap with the interval.
 
     A sample owns the time until the next sample; the last owns nothing.  The
-    amount used up to an instant is the running total before the owning sample
-    plus its elapsed share, so each interval needs the owner at its two edges.
+    owner of an edge is a segment of its own, so an interval is the shares of
+    the two owners plus the whole segments between them.  NULL if the interval
+    reaches out of the samples or ends before its start.
     """
     keys = list(keys)
-    value_col = F.col(value).cast("double")
+    amount = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     points = samples.select(
         *keys,
         F.lit(None).cast(intervals.schema[interval_id].dataType).alias(interval_id),
@@ -124,8 +167,8 @@ def prorate_in_intervals(
         F.lit(1).alias("rank"),
         F.col(tie).cast("long").alias("_tie"),
         F.lit(1).cast("long").alias("_k"),
-        F.coalesce(value_col, F.lit(0.0)).alias("_v"),
-        F.struct(F.col("ts").alias("t"), F.coalesce(value_col, F.lit(0.0)).alias("v")).alias("owner"),
+        amount.alias("_v"),
+        F.struct(F.col("ts").alias("t"), amount.alias("v")).alias("owner"),
     )
     edges = _edges(intervals, keys, interval_id, 2, 2).withColumns(
         {
@@ -135,26 +178,47 @@ def prorate_in_intervals(
             "owner": F.lit(None).cast(points.schema["owner"].dataType),
         }
     )
+    order = ["ts", "rank", "_tie"]
+    merged = points.unionByName(edges).withColumn(BUCKET, time_bucket("ts", bucket_seconds))
+    near = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    # a sample next to an edge, or at the rim of a bucket, opens a segment
+    alone = (F.coalesce(F.lag("_k").over(near), F.lit(0)) == 0) | (F.coalesce(F.lead("_k").over(near), F.lit(0)) == 0)
+    merged = merged.withColumn("_new", F.when((F.col("_k") == 1) & alone, 1).otherwise(0).cast("long"))
     seen = ordered.scan(
-        points.unionByName(edges),
+        merged,
         keys,
-        ["ts", "rank", "_tie"],
-        time_bucket("ts", bucket_seconds),
-        sums={"_sum_v": "_v", "_rank_k": "_k"},
+        order,
+        F.col(BUCKET),
+        sums={"_seg": "_new", "_rank_k": "_k"},
         lasts={"at": "owner"},
         after={"follow": "owner"},
-    ).where(F.col("sign").isNotNull())
+    )
     at, follow = F.col("at"), F.col("follow")
-    elapsed = F.try_divide(_seconds("ts") - _seconds(at["t"]), _seconds(follow["t"]) - _seconds(at["t"]))
-    before = F.col("_sum_v") - at["v"]
-    used = F.coalesce(before + F.coalesce(at["v"] * elapsed, F.lit(0.0)), F.lit(0.0))
+    edge = F.struct(F.col("_seg").alias("seg"), _seconds("ts").alias("s"), _seconds(at["t"]).alias("t"), at["v"].alias("v"), _seconds(follow["t"]).alias("next"))
     starts_after = at.isNotNull() & follow.isNull()
     ends_before = at.isNull() | ((F.col("_rank_k") == 1) & (at["t"] == F.col("ts")))
-    outside = F.when(F.col("sign") == -1, starts_after).otherwise(ends_before)
-    totals = seen.groupBy(*keys, interval_id).agg(
-        F.sum(F.col("sign") * used).alias("_sum"), F.max(outside.cast("int")).alias("_out")
+    outside = F.col("ts").isNull() | F.when(F.col("sign") == -1, starts_after).otherwise(ends_before)
+    ranges = (
+        seen.where(F.col("sign").isNotNull())
+        .groupBy(*keys, interval_id)
+        .agg(
+            F.max(F.when(F.col("sign") == -1, edge)).alias("_from"),
+            F.max(F.when(F.col("sign") == 1, edge)).alias("_to"),
+            F.max(outside.cast("int")).alias("_out"),
+        )
+        .withColumns({"_low": F.col("_from")["seg"] + 1, "_high": F.col("_to")["seg"]})
     )
-    return totals.select(*keys, interval_id, F.when(F.col("_out") == 0, F.col("_sum")).alias("total"))
+    sums = _sums_of_ranges(ranges, seen.where(F.col("sign").isNull()), keys, interval_id, ["_from", "_to", "_out"])
+    first, last = F.col("_from"), F.col("_to")
+
+    def share(edge: Column, begin: Column, end: Column) -> Column:
+        part = F.try_divide(end - begin, edge["next"] - edge["t"])
+        return F.when(part > 0, edge["v"] * part).otherwise(F.lit(0.0))
+
+    across = share(first, first["s"], first["next"]) + F.coalesce("_sum", F.lit(0.0)) + share(last, last["t"], last["s"])
+    total = F.when(first["seg"] == last["seg"], share(first, first["s"], last["s"])).otherwise(across)
+    inside = (F.col("_out") == 0) & (first["s"] <= last["s"])
+    return sums.select(*keys, interval_id, F.when(inside, total).alias("total"))
 
 
 def count_rounded(intervals: DataFrame, samples: DataFrame, keys: Sequence[str], interval_id: str = "interval_id", value: str = "value") -> DataFrame:

@@ -103,7 +103,7 @@ mi AS (SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 60e6::DOUBLE AS minut
 SELECT entity, start_ts, round(minutes, 5) AS minutes, round(steps, 4) AS steps, round(CASE WHEN steps = 0 THEN floor(median(CASE WHEN steps <> 0 THEN steps / minutes END) OVER (PARTITION BY entity) * minutes) ELSE steps END, 4) AS corrected FROM mi""",
 )
 def l07(spark, sf):
-    rows = rides(spark, sf).withColumn("interval_id", F.unix_micros("start_ts"))
+    rows = rides(spark, sf).withColumn("interval_id", F.struct("start_ts", "end_ts"))
     sums = iv.aggregate_in_intervals(rows, samples(spark, sf), K, start_inclusive=False)
     steps = F.when(F.col("n") > 0, F.round("total", 2)).otherwise(F.lit(0.0))
     rows = rows.join(sums, ["entity", "interval_id"]).withColumn("steps", steps)

@@ -116,6 +116,27 @@ def test_interval_totals_conserve(spark):
     assert [r["total"] for r in iv.prorate_in_intervals(outside, samples, K).collect()] == [None, None]
 
 
+def test_interval_totals_hold_only_what_lies_inside(spark):
+    """A huge or infinite sample before an interval leaves it alone; long and nested intervals use wide blocks."""
+    t0 = dt.datetime(2021, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    values = [float("inf"), 1e17, 0.1, 0.2, *[float(i % 7) for i in range(4, 4000)]]
+    samples = spark.createDataFrame([("p", at(600 * i), v, i) for i, v in enumerate(values)], "entity string, ts timestamp, value double, sample_id long")
+    spans = [(1, 1200, 2400), (2, 2400, 600 * 3999), *[(i, 600 * 7 * i, 600 * (7 * i + 40) + 300) for i in range(3, 500)], (600, 5000, 4000), (601, 2400, None)]
+    rows = [("p", i, at(a), None if b is None else at(b)) for i, a, b in spans]
+    intervals = spark.createDataFrame(rows, "entity string, interval_id long, start_ts timestamp, end_ts timestamp")
+    whole = {r["interval_id"]: r for r in iv.aggregate_in_intervals(intervals, samples, K).collect()}
+    shared = {r["interval_id"]: r["total"] for r in iv.prorate_in_intervals(intervals, samples, K).collect()}
+    assert len(whole) == len(shared) == len(spans)
+    for i, a, b in spans:
+        inside = [v for k, v in enumerate(values) if b is not None and a <= 600 * k < b]
+        parts = [v * max(0, min(b, 600 * k + 600) - max(a, 600 * k)) / 600 for k, v in enumerate(values[:-1]) if k > 1] if inside else None
+        assert whole[i]["n"] == len(inside)
+        assert whole[i]["total"] == (pytest.approx(sum(inside), abs=1e-9) if inside else None)
+        out = not inside or b > 600 * 3999
+        assert shared[i] == (None if out else pytest.approx(sum(parts), abs=1e-9))
+
+
 def test_overflow_against_loop(spark):
     rng = np.random.default_rng(5)
     v = np.where(rng.random(800) < 0.25, np.round(rng.gamma(2, 30, 800)), 0.0)
