@@ -68,6 +68,25 @@ def test_html_given_pages(spark):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
+def test_html_template_decides(spark):
+    def page(k, n=7):
+        own = "".join(f"<p>Story {k} has sentence {j} of its own, number {k * j + 17}.</p>" for j in range(n + k % 3))
+        return f"<html><body><nav>Go</nav><article><h1>Title {k}</h1>{own}<p>Read our paper every day.</p></article><div class=text><article>Tip {k}</article></div></body></html>"
+
+    def want(k):
+        return "\n\n".join([f"Title {k}", *(f"Story {k} has sentence {j} of its own, number {k * j + 17}." for j in range(7 + k % 3))])
+
+    # the text that repeats inside the article goes, and so does the smaller of two articles; copies of one page are no template
+    rows = [(k, "http://a.example/", page(k)) for k in range(6)] + [(10 + k, "http://c.example/", page(9)) for k in range(6)]
+    # the main slot of a host without articles, found from the text it holds
+    rows += [(20 + k, "http://d.example/", f"<body><div class=x>Weather {k}</div><div class=y><p>Text {k} is {'long ' * 20}</p><p>and {k} ends</p></div></body>") for k in range(4)]
+    found = html_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in found.collect()}
+    assert all(got[k] == want(k) for k in range(6))
+    assert all("Read our paper every day." in got[10 + k] and want(9) in got[10 + k] for k in range(6))
+    assert all(got[20 + k] == f"Text {k} is {'long ' * 20}".strip() + f"\n\nand {k} ends" for k in range(4))
+
+
 def test_chat_parts_and_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\<[\\\\", "<s>user\n", "<image:0>", "", "[n]"]
     for text in nasty:
