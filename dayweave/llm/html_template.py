@@ -57,13 +57,16 @@ CLOSED_BY_SIBLING = {
 MAIN = frozenset(["article", "main"])
 #: Elements that can be a main slot.
 HOLDERS = frozenset("html body div section article main td center form".split())
-#: Words in a class or id that mark a part beside the article.
-SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navigation|navbar|menu|sidebar|side|aside|ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|"
-    r"overlay|newsletter|subscri\w+|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|footer|masthead|site-header|breadcrumbs?|pagination|pager|"
-    r"related|recommended|widgets?|login|signup|search|toolbar|skip-link)(?:$|[\s_-])",
-    re.I,
+_SIDE_WORD = (
+    r"(?:nav|navigation|navbar|menu|sidebar|side|aside|ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|"
+    r"overlay|newsletter|subscri\w+|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|footer|masthead|breadcrumbs?|pagination|pager|"
+    r"related|recommended|widgets?|login|signup|search|toolbar)"
 )
+_PLAIN_WORD = r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|box|bar|block|area|slot|unit|list|item|items|links?|buttons?|icons?|form|posts|stories|articles|thread|\d+)"
+#: Whole classes and ids that mark a part beside the article: words of such parts, with words of position or shape.
+SIDE_WORDS = re.compile(rf"(?:{_PLAIN_WORD}[_-])*{_SIDE_WORD}(?:[_-](?:{_SIDE_WORD}|{_PLAIN_WORD}))*|site-header|skip-link", re.I)
+#: The ids that do so inside an article, where other ids are names of its own parts.
+COMMENT_IDS = re.compile(r"comments?|comment[_-]?list|disqus(?:_thread)?|respond|replies", re.I)
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -86,7 +89,9 @@ class Element:
         self.head = name in MAIN or role == "main"
         self.main = inside or self.head
         self.strong = name in SIDE or (name == "header" and not self.main) or role in SIDE_ROLES
-        self.weak = name not in ("html", "body", "article", "main") and bool(SIDE_WORDS.search(" ".join(own.get(a, "") for a in ("class", "id"))))
+        self.weak = bool(own) and not self.head and name not in ("html", "body") and (
+            any(SIDE_WORDS.fullmatch(w) for w in own.get("class", "").split()) or bool((COMMENT_IDS if inside else SIDE_WORDS).fullmatch(own.get("id", "").strip()))
+        )
         self.side = self.slot = False
         self.silent = bool(parent and parent.silent) or name in SILENT
         self.chars = 0
@@ -152,11 +157,32 @@ def _text_key(path: str, text: str) -> str:
 def parsed(page: str, place: str = "", side_places: frozenset[str] | None = None) -> list[tuple[str, Element | None, str, str]]:
     """The events of a page, with ``side`` and ``slot`` of its elements.
 
-    A part marked by class or id alone counts only at one of ``side_places``, if given.
+    What encloses the page's article, its main element or the main slot at
+    ``place`` is no side part, nor is a form around the page's title.  A part
+    marked by class or id alone counts only at one of ``side_places``, if given.
     """
     found = list(events(page))
     elements = [e for k, e, _, _ in found if k == "open"]
     marked = {id(e) for e in elements if e.strong or (e.weak and (side_places is None or e.path in side_places))}
+    if marked:
+        around: list[list[Element]] = []
+        for e in elements:
+            if e.head or (place and e.path == place):
+                above, up = [], e if e.path == place else e.parent
+                while up:
+                    if id(up) in marked:
+                        above.append(up)
+                    up = up.parent
+                around.append(above)
+        least = min(map(len, around), default=0)
+        marked -= {id(e) for above in around if len(above) == least for e in above}
+        if not around:
+            for e in elements:
+                up = e.parent if e.name == "h1" else None
+                while up:
+                    if up.name == "form":
+                        marked.discard(id(up))
+                    up = up.parent
     for e in elements:
         e.side = id(e) in marked or bool(e.parent and e.parent.side)
         e.slot = bool(place) and (e.path == place or bool(e.parent and e.parent.slot))

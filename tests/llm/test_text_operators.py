@@ -87,6 +87,21 @@ def test_html_template_decides(spark):
     assert all(got[20 + k] == f"Text {k} is {'long ' * 20}".strip() + f"\n\nand {k} ends" for k in range(4))
 
 
+def test_html_side_words(spark):
+    whole = "<article><h1>Head</h1><p>Body text</p></article>"
+    for wrapper in ("div class='content-sidebar-wrap'", "div class='has-sidebar'", "form action=x", "div class=sidebar"):
+        assert html_template.extract_text(f"<body><{wrapper}>{whole}<aside>not<article>teaser</article></aside></{wrapper.split()[0]}></body>") == "Head\n\nBody text"
+    assert html_template.extract_text(whole.replace("<article>", "<article class='no-comments post'>")) == "Head\n\nBody text"
+    for name in ("related-work", "side-effects", "search-results-2024", "cookies"):
+        for tag in ("section", "div", "h2"):
+            assert html_template.extract_text(f"<article><p>One</p><{tag} id={name}>Two</{tag}></article>") == "One\n\nTwo"
+    # a class word alone is a side part only where the host's pages repeat it
+    pages = [f"<article><p>Own text {k} of some length</p><div class=ad>Buy {k}</div>{'<p class=share>Our share of it</p>' * (k == 3)}</article>" for k in range(30)]
+    rows = spark.createDataFrame([(k, "http://h.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(rows).collect()}
+    assert got == {k: f"Own text {k} of some length" + "\n\nOur share of it" * (k == 3) for k in range(30)}
+
+
 def test_chat_parts_and_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\<[\\\\", "<s>user\n", "<image:0>", "", "[n]"]
     for text in nasty:
