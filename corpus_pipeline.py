@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
+from dayweave.llm import common, decontaminate, jaccard_join, language_id, line_dedup, packing
 from dayweave.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,10 +32,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class; documents without an id stay."""
-    classes = jaccard_join.near_duplicates(docs)
-    others = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the least (id, hash of the text) of each class, once if its row is repeated; documents without an id stay."""
+    rows = jaccard_join.row_classes(docs)
+    first = (F.col("class_id") == F.col("doc_id")) & (F.col("class_body") == F.col("body"))
+    marked = common.written(rows.where(~first | (F.col("copies") > 1)).select("doc_id", "body", first.alias("first")))
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("body"))
+    kept = keyed.join(marked.hint("shuffle_hash"), ["doc_id", "body"], "left_anti").select(*COLUMNS)
+    repeated = marked.where("first")
+    if repeated.isEmpty():
+        return kept
+    again = keyed.join(repeated.hint("shuffle_hash"), ["doc_id", "body"], "left_semi").groupBy("doc_id", "body").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.unionByName(again.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ If a large node still has several groups, it is split by further tokens and, las
 of all, compared in blocks.  Then every group, which no link can leave, is
 compared once by brute force on whole sets, in blocks if it is large.
 
-Equal sets are one class from the start, with one representative.  No pairs are
+Equal sets are one class from the start, with one representative that is named by
+the set's fingerprint, so that several texts under one id stay apart.  No pairs are
 emitted: a block returns, per document, the number of its links and the least
 member of its component there.
 """
@@ -66,14 +67,18 @@ def _shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
     return h, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
+    return tuple(int(common.mix(x).sum(dtype=np.uint64).view(np.int64)) for x in (shingles, shingles ^ np.uint64(0x5555555555555555)))
+
+
 def _factors(n: int) -> np.ndarray:
     return common.mix(np.arange(101, 101 + n, dtype=np.uint64)) | np.uint64(1)
 
 
 def sketches(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, p1, p2, n, minima): fingerprint and size of the shingle set and its minima (null for an empty set)."""
+    """(doc_id, body, p1, p2, n, minima): hash of the text, fingerprint and size of the shingle set and its minima (null for an empty set)."""
     factors = _factors(MINIMA)
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,15 +99,16 @@ def sketches(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
+                        batch.column(2)[a:b],
                         pa.array(prints[0], mask=empty),
                         pa.array(prints[1], mask=empty),
                         pa.array(n.astype(np.int32)),
                         pa.array([None if e else m.tobytes() for e, m in zip(empty, minima, strict=True)], pa.binary()),
                     ],
-                    names=["doc_id", "p1", "p2", "n", "minima"],
+                    names=["doc_id", "body", "p1", "p2", "n", "minima"],
                 )
 
-    return common.arrow_map(rows, run, "doc_id long, p1 long, p2 long, n int, minima binary")
+    return common.arrow_map(rows, run, "doc_id long, body long, p1 long, p2 long, n int, minima binary")
 
 
 def _minima(column: pa.Array) -> np.ndarray:
@@ -334,25 +340,25 @@ def _compare(parts: list[pa.RecordBatch], one_block: bool, threshold: float) ->
 
 def compare_groups(df: DataFrame, groups: DataFrame, reps: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(rep, links, least): all pairs within each group, from whole shingle sets of its members."""
-    members = groups.withColumnRenamed("node", "rep").join(reps.select("rep", "n", "p1", "weight"), "rep")
+    members = groups.withColumnRenamed("node", "rep").join(reps.select("rep", "doc", "body", "n", "p1", "p2", "weight"), "rep")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / F.lit(BLOCK), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
-    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("rep", "root", "blocks", "p1", "weight")
-    texts = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    rows = texts.join(members.hint("shuffle_hash"), "rep").select("rep", "text", "root", "blocks", "p1", "weight")
+    members = members.join(sizes.select("root", blocks.alias("blocks")), "root").select("rep", "doc", "body", "root", "blocks", "p1", "p2", "weight")
+    texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    rows = texts.join(members.hint("shuffle_hash"), ["doc", "body"]).select("rep", "text", "root", "blocks", "p1", "p2", "weight")
     names = ["root", "low", "high", "side", "rep", "weight", "shingles"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, texts, root, parts, p1, weight = (c.to_pylist() for c in batch.columns)
+            rep, texts, root, parts, p1, p2, weight = (c.to_pylist() for c in batch.columns)
             for a, b in common.chunks([len(t or "") for t in texts]):
                 h, bounds = _shingle_sets(texts[a:b], width)
                 out: list[tuple] = []
                 for k in range(a, b):
                     own = h[bounds[k - a] : bounds[k - a + 1]]
-                    if not len(own) or int(common.mix(own).sum(dtype=np.uint64).view(np.int64)) != p1[k]:
-                        continue  # another text with the id of the representative
+                    if _fingerprint(own) != (p1[k], p2[k]):
+                        continue  # another text with the id and hash of the representative's
                     raw = own.tobytes()
                     mine = int(common.mix(np.array([rep[k]], dtype=np.int64).view(np.uint64))[0] % np.uint64(parts[k]))
                     for other in range(parts[k]):
@@ -394,6 +400,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _classified(df: DataFrame, doc_id: str, text: str, width: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows with an id, and (p1, p2, class_id, class_body, n_links) of every set: the least id and text hash of its class and its links."""
+    found = common.written(sketches(df.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, width=width))
+    sets = found.where("n > 0").groupBy("p1", "p2").agg(
+        F.min(F.struct("doc_id", "body")).alias("first"), F.count_distinct("doc_id").alias("weight"), F.min("n").alias("n"), F.min("minima").alias("minima")
+    )
+    reps = common.written(sets.select("p1", "p2", F.xxhash64("p1", "p2").alias("rep"), F.col("first.doc_id").alias("doc"), F.col("first.body").alias("body"), "weight", "n", "minima"))
+    groups = candidate_groups(reps, runs_needed(threshold, recall), threshold)
+    compared = common.written(compare_groups(df, groups, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
+    roots = components(compared.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
+    members = roots.join(reps.select("rep", F.struct("doc", "body").alias("first")), "rep")
+    heads = members.select("rep", "root").join(members.groupBy("root").agg(F.min("first").alias("head")), "root").select("rep", "head")
+    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
+    classes = reps.select("p1", "p2", "rep", F.struct("doc", "body").alias("first"), "weight").join(links, "rep", "left").join(heads, "rep", "left")
+    classes = classes.withColumn("head", F.coalesce("head", "first"))
+    return found, classes.select("p1", "p2", F.col("head.doc").alias("class_id"), F.col("head.body").alias("class_body"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links): one row per document.
 
@@ -402,24 +426,27 @@ def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     have a Jaccard similarity of at least ``threshold`` with its own.  A text of
     fewer words than a shingle is one shingle of all its words; null texts and
     texts without words are alone in their class and have no links.  Rows with
-    one id and equal sets are one document; rows with a null id keep a null
-    class and are not looked at.  Other columns are left behind.
+    one id and equal sets are one document, rows with one id and different sets
+    are documents of their own; rows with a null id keep a null class and are
+    not looked at.  Other columns are left behind.
     """
-    runs = runs_needed(threshold, recall)
-    found = common.written(sketches(df.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, width=width))
+    found, classes = _classified(df, doc_id, text, width, threshold, recall)
     documents = found.select("doc_id", "p1", "p2", "n").distinct()
-    sets = found.where("n > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("weight"), F.min("n").alias("n"), F.min("minima").alias("minima"))
-    reps = common.written(sets)
-    groups = candidate_groups(reps, runs, threshold)
-    compared = common.written(compare_groups(df, groups, reps, doc_id=doc_id, text=text, width=width, threshold=threshold))
-    roots = components(compared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = reps.select("p1", "p2", "rep", "weight").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("p1", "p2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = documents.join(classes, ["p1", "p2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.unionByName(df.where(F.col(doc_id).isNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def row_classes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, body, copies, class_id, class_body): one row per id and text, with xxhash64 of the text.
+
+    ``copies`` counts the rows with both; ``class_id`` and ``class_body`` are the
+    least of their class, see ``near_duplicates``.  Rows with a null id are left out.
+    """
+    found, classes = _classified(df, doc_id, text, width, threshold, recall)
+    rows = found.groupBy("doc_id", "body", "p1", "p2").agg(F.count(F.lit(1)).alias("copies")).join(classes, ["p1", "p2"], "left")
+    return rows.select("doc_id", "body", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_body", "body").alias("class_body"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words

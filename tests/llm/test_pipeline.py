@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
-from test_text_operators import SF, brute_force_hits, brute_force_lines, brute_force_links
+from test_text_operators import BASE, SF, brute_force_hits, brute_force_lines, brute_force_links
 
 
 def test_stages(spark):
@@ -34,6 +34,14 @@ def test_stages(spark):
         docs = out
 
 
+def test_near_duplicates_of_ids_with_several_texts_and_repeated_rows(spark):
+    other = " ".join(f"sonst{i}" for i in range(60))
+    rows = [(0, BASE), (0, BASE), (1, other), (1, BASE), (2, BASE.upper()), (3, None), (3, None), (4, "kurz"), (None, BASE), (None, BASE)]
+    docs = spark.createDataFrame([(i, t, "de", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(0, BASE), (1, other), (3, None), (4, "kurz"), (None, BASE), (None, BASE)], key=str)
+
+
 def test_run_writes_and_rereads(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and {"doc_id", "ids", "sequence_id", "offset"} <= set(found.columns)

@@ -193,6 +193,13 @@ def test_jaccard_join(spark, docs, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_force_links(rows)
 
 
+def test_jaccard_join_ids_with_several_texts(spark):
+    other = " ".join(f"sonst{i}" for i in range(60))
+    rows = [(0, BASE), (1, other), (1, NEAR), (1, NEAR), (2, other.replace("sonst9 ", "neu ")), (1, ""), (3, BASE), (3, other)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 2), (1, 0, 2), (1, 1, 0), (1, 1, 2), (2, 1, 2), (3, 0, 2), (3, 1, 2)]
+
+
 def test_runs_reach_recall():
     assert jaccard_join.runs_needed(0.8, 0.999_999) == 5 and jaccard_join.runs_needed(0.8, 0.9) == 1
 
