@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import chat_format, decontaminate, html_template, jaccard_join, language_id, line_dedup, packing, quality_rules, token_counts, topk_search
+from dayweave.llm import chat_format, decontaminate, html_template, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, token_counts, topk_search
 from dayweave.llm.common import table
 
 #: The conversation that holds control strings of a bracket template.
@@ -75,6 +75,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 OP4_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -111,6 +115,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
+    "op11_secret_scan": op11_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -120,4 +125,5 @@ ORACLES = {
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op6_decontamination": decontaminate.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_secret_scan": secret_scan.OP11_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
