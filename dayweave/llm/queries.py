@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayweave.llm import chat_format, decontaminate, html_template, jaccard_join, language_id, line_dedup, packing, quality_rules, secret_scan, token_counts, topk_search
+from dayweave.llm import chat_format, decontaminate, html_template, jaccard_join, language_id, line_dedup, packing, prefix_trie, quality_rules, secret_scan, structure_repair, token_counts, topk_search
 from dayweave.llm.common import table
 
 #: The conversation that holds control strings of a bracket template.
@@ -79,6 +79,14 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"), borrow=True)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 OP4_SQL = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -116,6 +124,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_quality_rules": op10_quality_rules,
     "op11_secret_scan": op11_secret_scan,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -126,4 +136,6 @@ ORACLES = {
     "op6_decontamination": decontaminate.OP6_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op11_secret_scan": secret_scan.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_structure_repair": structure_repair.OP13_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
