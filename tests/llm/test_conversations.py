@@ -123,7 +123,7 @@ def test_peeler_alone():
         peeler.add(conv, b"".join(x.encode() * 16 for x in path), [1] * len(path))
     peeler.finish()
     closed = sorted((r[5], r[4], r[6], r[7], r[8], r[9], r[10]) for r in peeler.done if r[0])
-    assert closed == [(1, 1, None, 4, 1, 1, 6), (2, 2, 1, 3, 1, 1, 2), (3, 4, 2, 1, 0, 1, 0)]
+    assert closed == [(1, 1, None, 4, 1, 1, 3 + 2), (2, 2, 1, 3, 1, 1, 2), (3, 4, 2, 1, 0, 1, 0)]
     assert [(r[5], r[7]) for r in peeler.done if not r[0]] == [(2, 1), (1, 2), (0, 7)]
 
 
@@ -199,7 +199,7 @@ def plain_row(conv, turns):
 
 REPAIR_EDGE = [
     (0, None, None, None), (0, 3, "user", "a."), (0, 3, "user", "a."), (1, 9, "", "x"), (1, 2, "tool", "y?"), (2, None, "user", "q!"), (2, None, "assistant", "r. \n"), (None, 1, "user", "n."),
-    (None, None, "assistant", "m."), (3, 1, "system", "s."), (3, 5, "user", "\t\r "), (3, 6, "Assistant", "w."), (4, 1, "assistant", "é漢😀."),
+    (None, None, "assistant", "m."), (3, 1, "system", "s."), (3, 5, "user", "\t\r "), (3, 6, "Assistant", "w."), (4, 1, "assistant", "é漢😀."), (126, 1, "user", "goes."), (163, 1, "user", None),
 ]
 
 
