@@ -6,6 +6,7 @@ Series are at day grain; ``pos`` is the row position of a day in its series.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -131,55 +132,86 @@ def _plateau_maxima(x: np.ndarray) -> np.ndarray:
     return ((starts[1:-1] + ends[1:-1]) // 2)[above]
 
 
-def _reach(x: np.ndarray, peak: int, step: int) -> tuple[float, int]:
-    """Lowest value and its nearest position before anything higher or missing."""
-    side = x[peak::step]
-    stop = np.flatnonzero(~(side <= x[peak]))
-    side = side[: stop[0]] if len(stop) else side
-    k = int(np.argmin(side))
-    return side[k], peak + step * k
+def _flank_lows(x: np.ndarray) -> np.ndarray:
+    """For every position the lowest value from it back to the last higher or missing one.
 
+    A stack of falling values; each carries the lowest value since the one below
+    it, so merging what a rise overtakes costs one step per value.
+    """
+    out = np.empty(len(x))
+    tops: list[float] = []
+    lows: list[float] = []
+    for i, v in enumerate(x.tolist()):
+        if v != v:
+            tops.clear()
+            lows.clear()
+            out[i] = v
+            continue
+        low = v
+        while tops and tops[-1] <= v:
+            tops.pop()
+            low = min(low, lows.pop())
+        tops.append(v)
+        lows.append(low)
+        out[i] = low
+    return out
+
+
+def _last_under(x: np.ndarray, peaks: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """For every peak the last position before it with a value at or under its height.
 
-def _crossing(x: np.ndarray, peak: int, base: int, height: float, step: int) -> float:
-    """Interpolated position where the flank falls to ``height``."""
-    flank = x[peak : base + step if base + step >= 0 else None : step]
-    under = np.flatnonzero(~(flank > height))
-    k = int(under[0]) if len(under) else len(flank) - 1
-    where = peak + step * k
-    if x[where] < height:
-        return where - step * (height - x[where]) / (x[where - step] - x[where])
-    return float(where)
+    Positions that no later value goes under form a rising stack, in which the
+    height is looked up.
+    """
+    out = np.empty(len(peaks), dtype=int)
+    values: list[float] = []
+    places: list[int] = []
+    wanted = dict(zip(peaks.tolist(), zip(range(len(peaks)), heights.tolist(), strict=True), strict=True))
+    for i, v in enumerate(x.tolist()):
+        if (hit := wanted.get(i)) is not None:
+            out[hit[0]] = places[bisect_right(values, hit[1]) - 1]
+        if v != v:
+            values.clear()
+            places.clear()
+            continue
+        while values and values[-1] >= v:
+            values.pop()
+            places.pop()
+        values.append(v)
+        places.append(i)
+    return out
+
+
+def measured_maxima(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of all maxima with their prominence and half-prominence width, in linear time."""
+    at = _plateau_maxima(x)
+    last = len(x) - 1
+    low = np.maximum(_flank_lows(x)[at], _flank_lows(x[::-1])[last - at])
+    prominence = x[at] - low
+    height = x[at] - 0.5 * prominence
+    i = _last_under(x, at, height)
+    j = last - _last_under(x[::-1], (last - at)[::-1], height[::-1])[::-1]
+    # interpolated crossings; a value at the height is the crossing itself
+    with np.errstate(invalid="ignore"):
+        left = i + np.where(x[i] < height, (height - x[i]) / (x[np.minimum(i + 1, last)] - x[i]), 0.0)
+        right = j - np.where(x[j] < height, (height - x[j]) / (x[np.maximum(j - 1, 0)] - x[j]), 0.0)
+    return at, prominence, right - left
 
 
 def prominent_maxima(x: np.ndarray, prominence: float, width: float) -> np.ndarray:
     """Positions of maxima with enough prominence and half-prominence width."""
-    kept = []
-    for p in _plateau_maxima(x):
-        (left, i), (right, j) = _reach(x, p, -1), _reach(x, p, 1)
-        prom = x[p] - max(left, right)
-        if prom < prominence:
-            continue
-        height = x[p] - 0.5 * prom
-        if _crossing(x, p, j, height, 1) - _crossing(x, p, i, height, -1) >= width:
-            kept.append(p)
-    return np.array(kept, dtype=int)
+    at, prom, wide = measured_maxima(x)
+    return at[(prom >= prominence) & (wide >= width)]
 
 
-def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prominence: float | str, width: float | str) -> DataFrame:
-    """``keys, series, kind, pos, value`` of the prominent maxima and minima.
+def measure_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``keys, series, kind, pos, value, prominence, width`` of all maxima and minima.
 
-    ``prominence`` and ``width`` are numbers or constant columns of the key
-    (parameter sweeps).  A group is one day-grain series.
+    Every series is shuffled and read once, whatever thresholds follow.  A group
+    is one day-grain series, which the calendar bounds.
     """
     keys = list(keys)
-    as_col = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
-    long = df.select(
-        *keys,
-        "pos",
-        as_col(prominence).cast("double").alias("_prom"),
-        as_col(width).cast("double").alias("_width"),
-        F.inline(F.array(*[F.struct(F.lit(v).alias("series"), F.col(v).cast("double").alias("value")) for v in values])),
-    )
+    long = df.select(*keys, "pos", F.inline(F.array(*[F.struct(F.lit(v).alias("series"), F.col(v).cast("double").alias("value")) for v in values])))
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [
@@ -187,6 +219,8 @@ def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prom
             T.StructField("kind", T.StringType()),
             T.StructField("pos", T.IntegerType()),
             T.StructField("value", T.DoubleType()),
+            T.StructField("prominence", T.DoubleType()),
+            T.StructField("width", T.DoubleType()),
         ]
     )
 
@@ -194,11 +228,10 @@ def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prom
         pdf = pdf.sort_values("pos")
         x = pdf["value"].to_numpy(dtype=float)
         pos = pdf["pos"].to_numpy()
-        prom, wide = pdf["_prom"].iloc[0], pdf["_width"].iloc[0]
         parts = []
         for kind, series in (("max", x), ("min", -x)):
-            at = prominent_maxima(series, prom, wide)
-            parts.append(pd.DataFrame({"kind": kind, "pos": pos[at], "value": x[at]}))
+            at, prominence, width = measured_maxima(series)
+            parts.append(pd.DataFrame({"kind": kind, "pos": pos[at], "value": x[at], "prominence": prominence, "width": width}))
         out = pd.concat(parts, ignore_index=True)
         for name, v in zip([*keys, "series"], key, strict=True):
             out[name] = v
@@ -207,6 +240,23 @@ def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prom
     return spread(long, *keys, "series").groupBy(*keys, "series").applyInPandas(extrema, schema)
 
 
+def find_extrema(df: DataFrame, keys: Sequence[str], values: Sequence[str], prominence: float, width: float) -> DataFrame:
+    """``keys, series, kind, pos, value`` of the prominent maxima and minima."""
+    found = measure_extrema(df, keys, values)
+    return found.where((F.col("prominence") >= float(prominence)) & (F.col("width") >= float(width))).drop("prominence", "width")
+
+
+def extrema_by_thresholds(measured: DataFrame, thresholds: Sequence[tuple[float, float]]) -> DataFrame:
+    """Measured extrema once for each (prominence, width) that they reach.
+
+    The thresholds stand in ``min_prominence`` and ``min_width``; rows are
+    unfolded in place, without a join.
+    """
+    sets = F.array(*[F.struct(F.lit(float(p)).alias("min_prominence"), F.lit(float(w)).alias("min_width")) for p, w in thresholds])
+    reached = F.filter(sets, lambda s: (F.col("prominence") >= s["min_prominence"]) & (F.col("width") >= s["min_width"]))
+    return measured.select(*[c for c in measured.columns if c not in ("prominence", "width")], F.inline(reached))
+
+
 def alternate(extrema: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Of every run of equal kinds keep the first, so maxima and minima alternate."""
     w = Window.partitionBy(*keys).orderBy("pos")

@@ -10,6 +10,7 @@ from dayweave.operators.ordered import attach
 from dayweave.plans.base import DAILY, daily, r, sql_normal_p
 from dayweave.plans.registry import query
 from dayweave.plans.rolling_queries import SCALED, minmax_sql
+from dayweave.session import cut_lineage
 
 K = ["entity"]
 W = "PARTITION BY entity ORDER BY pos"
@@ -302,56 +303,61 @@ def g16(spark, sf):
     return out.withColumn("expected", r("expected"))
 
 
-def sweep(spark, sf, means, rescales, medians, proms, widths):
-    """Cycle rate tests for every parameter set and entity, in one plan."""
-    filters = [(m, b, k) for m in means for b in rescales for k in medians]
-    grid = pk.smooth_grid(daily(spark, sf), K, STRESS, "pain", filters, digits=9)
-    sets = F.array(*[F.struct(F.lit(p).alias("prominence"), F.lit(w).alias("width")) for p in proms for w in widths])
-    params = grid.select("entity", "filter_id", "pos", "strain", "pain", F.inline(sets))
-    keys = ["entity", "filter_id", "prominence", "width"]
-    found = pk.find_extrema(params, keys, ["pain", "strain"], "prominence", "width").persist()
-    pain = pk.alternate(pk.of_series(found, "pain"), keys)
-    scores = pk.cycle_scores(pain, pk.of_series(found, "strain", "max"), keys)
-    return st.cycle_rate_tests(scores, pk.cycle_days(pain, keys), keys)
+# The grids of the two parameter studies (fixed values): 4 x 3 x 3 x 3 x 3 sets, and 3 x 3 x 5 x 4 with one window for mean and median.
+SEARCH = ([(m, b, k) for m in (15, 30, 45, 90) for b in (90, 180, 360) for k in (15, 30, 90)], [(p, w) for p in (0.05, 0.1, 0.2) for w in (7, 15, 30)])
+CONSISTENCY = ([(m, b, m) for m in (7, 15, 21) for b in (180, 270, 360)], [(p, w) for p in (0.03, 0.05, 0.075, 0.1, 0.15) for w in (3, 5, 10, 15)])
 
 
-GRID = {"means": (7, 15), "rescales": (60, 90), "medians": (7,), "proms": (0.05, 0.075), "widths": (3.0, 5.0)}
+def sweep(days: DataFrame, filters, thresholds) -> DataFrame:
+    """Cycle rate tests for every parameter set and entity, in one plan.
 
-
-def sweep_sql():
-    """Every parameter set as its own subquery of the chain."""
-    filters = [(m, b, k) for m in GRID["means"] for b in GRID["rescales"] for k in GRID["medians"]]
-    parts = []
-    for i, f in enumerate(filters):
-        for prom in GRID["proms"]:
-            for width in GRID["widths"]:
-                rates = chain_sql(*f, prom, width)[-1]
-                parts.append(
-                    f"""SELECT * FROM (WITH {rates} SELECT entity, {i} AS filter_id, {prom}::DOUBLE AS prominence, {width}::DOUBLE AS width, range_id, n_desc, n_asc,
-  (n_desc - n_asc * (e_desc / nullif(e_asc, 0))) / nullif(sqrt((n_desc + n_asc) * (e_desc / nullif(e_asc, 0))), 0) AS z, (n_asc / nullif(e_asc, 0)) / nullif(n_desc / nullif(e_desc, 0), 0) AS ratio FROM rt)"""
-                )
-    return "sw AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")"
+    A series is smoothed and measured once per filter; thresholds only choose
+    among its few extrema.
+    """
+    grid = pk.smooth_grid(days, K, STRESS, "pain", filters, digits=9)
+    measured = pk.measure_extrema(grid.select("entity", "filter_id", "pos", "strain", "pain"), ["entity", "filter_id"], ["pain", "strain"])
+    # a few rows per series, read by every later step: written once
+    found = cut_lineage(pk.extrema_by_thresholds(measured, thresholds))
+    keys = ["entity", "filter_id", "min_prominence", "min_width"]
+    pain = pk.alternate(pk.of_series(found, "pain"), keys)
+    scores = pk.cycle_scores(pain, pk.of_series(found, "strain", "max"), keys)
+    return st.cycle_rate_tests(scores, pk.cycle_days(pain, keys), keys)
 
 
-def grid_tests(spark, sf):
-    return sweep(spark, sf, GRID["means"], GRID["rescales"], GRID["medians"], GRID["proms"], GRID["widths"])
+def sweep_sql(filters, thresholds):
+    """Oracle of a sweep: extrema are measured per filter, then every set becomes an entity of its own for the rest of the chain."""
+    smooth = [chain_sql(*f, 0, 0)[0] for f in filters]
+    series = " UNION ALL ".join(f"SELECT * FROM (WITH {text} SELECT entity || '|{i}' AS entity, day, pos, s_raw, p_raw, strain, pain FROM ser)" for i, text in enumerate(smooth))
+    chain = chain_sql(*filters[0], 0, 0)[-1]
+    after = chain[chain.index("long AS MATERIALIZED") :]
+    head, tail = after.split("ext AS MATERIALIZED", 1)
+    values = ", ".join(f"({p}::DOUBLE, {float(w)}::DOUBLE)" for p, w in thresholds)
+    sets = f"""sets(mp, mw) AS (VALUES {values}),
+ext AS MATERIALIZED (SELECT entity || '|' || mp || '|' || mw AS entity, series, kind, CAST(p AS INTEGER) AS pos, CASE WHEN kind = 'max' THEN xp ELSE -xp END AS value FROM wid, sets WHERE prom >= mp AND rip - lip >= mw)"""
+    return f"""ser AS MATERIALIZED ({series}),
+{head}{sets}{tail[tail.index("),") + 1 :]},
+sw AS MATERIALIZED (SELECT split_part(entity, '|', 1) AS entity, CAST(split_part(entity, '|', 2) AS INTEGER) AS filter_id, CAST(split_part(entity, '|', 3) AS DOUBLE) AS min_prominence, CAST(split_part(entity, '|', 4) AS DOUBLE) AS min_width,
+  range_id, n_desc, n_asc, (n_desc - n_asc * (e_desc / nullif(e_asc, 0))) / nullif(sqrt((n_desc + n_asc) * (e_desc / nullif(e_asc, 0))), 0) AS z, (n_asc / nullif(e_asc, 0)) / nullif(n_desc / nullif(e_desc, 0), 0) AS ratio FROM rt)"""
 
 
-@query("g17_parameter_sweep", f"WITH {sweep_sql()} SELECT entity, filter_id, prominence, width, range_id, n_desc, n_asc, round(z, 6) AS z, round(ratio, 6) AS ratio, round({sql_normal_p('z')}, 6) AS p_value FROM sw")
+@query(
+    "g17_parameter_sweep",
+    f"WITH {sweep_sql(*SEARCH)} SELECT entity, filter_id, min_prominence, min_width, range_id, n_desc, n_asc, round(z, 6) AS z, round(ratio, 6) AS ratio, round({sql_normal_p('z')}, 6) AS p_value FROM sw",
+)
 def g17(spark, sf):
-    out = grid_tests(spark, sf)
+    out = sweep(daily(spark, sf), *SEARCH)
     return out.select(
-        "entity", "filter_id", "prominence", "width", "range_id", "n_desc", "n_asc", r("z").alias("z"), r("ratio").alias("ratio"), r("p_value").alias("p_value")
+        "entity", "filter_id", "min_prominence", "min_width", "range_id", "n_desc", "n_asc", r("z").alias("z"), r("ratio").alias("ratio"), r("p_value").alias("p_value")
     )
 
 
 @query(
     "g18_consistency_summary",
-    f"""WITH {sweep_sql()}, pv AS (SELECT *, {sql_normal_p('z')} <= 0.05 AS sig FROM sw)
+    f"""WITH {sweep_sql(*CONSISTENCY)}, pv AS (SELECT *, {sql_normal_p('z')} <= 0.05 AS sig FROM sw)
 SELECT entity, range_id, count(*) AS sets, round(avg(CASE WHEN ratio > 1 THEN 1 ELSE 0 END), 6) AS above, round(avg(sig::INT) FILTER (ratio >= 1), 6) AS significant_above, round(avg(sig::INT) FILTER (ratio < 1), 6) AS significant_below FROM pv GROUP BY 1, 2""",
 )
 def g18(spark, sf):
-    out = pk.consistency_summary(grid_tests(spark, sf), ["entity", "range_id"])
+    out = pk.consistency_summary(sweep(daily(spark, sf), *CONSISTENCY), ["entity", "range_id"])
     return out.select("entity", "range_id", "sets", *[r(c).alias(c) for c in ("above", "significant_above", "significant_below")])
 
 

@@ -80,6 +80,53 @@ def test_extrema_flat_tops_and_gaps():
     assert pk.prominent_maxima(np.array([0.0, 1, 0]), 0.5, 1.5).tolist() == []
 
 
+def scanned_maxima(x, prominence, width):
+    """Every flank scanned from its peak."""
+    kept = []
+    for p in pk._plateau_maxima(x):
+        lows, ends = [], []
+        for step in (-1, 1):
+            side = x[p::step]
+            stop = np.flatnonzero(~(side <= x[p]))
+            side = side[: stop[0]] if len(stop) else side
+            lows.append(side.min())
+        prom = x[p] - max(lows)
+        height = x[p] - 0.5 * prom
+        for step in (-1, 1):
+            k = next(k for k in range(1, len(x)) if not x[p + step * k] > height)
+            at = p + step * k
+            ends.append(at - step * (height - x[at]) / (x[at - step] - x[at]) if x[at] < height else float(at))
+        if prom >= prominence and ends[1] - ends[0] >= width:
+            kept.append(p)
+    return kept
+
+
+def test_measured_maxima_against_scans():
+    rng = np.random.default_rng(11)
+    for k in range(60):
+        x = np.round(rng.normal(0, 1, 80).cumsum() if k % 2 else rng.integers(0, 4, 80).astype(float), 1)
+        x[rng.random(80) < 0.03 * (k % 3)] = np.nan
+        for prominence, width in ((0, 0), (0.5, 2), (2, 5)):
+            assert pk.prominent_maxima(x, prominence, width).tolist() == scanned_maxima(x, prominence, width)
+    # a rising saw: every flank reaches to the start, which a scan per peak would read again and again
+    saw = np.arange(200_000) / 2.0
+    saw[1::2] += 2.0
+    at, prominence, _ = pk.measured_maxima(saw)
+    assert len(at) == 99_999 and prominence[-1] == saw[at[-1]] - saw[-1]
+    for empty in (np.array([]), np.array([1.0]), np.full(5, np.nan), np.ones(4)):
+        assert len(pk.measured_maxima(empty)[0]) == 0
+
+
+def test_thresholds_choose_among_measured_extrema(series):
+    smooth = pk.smooth(series.fillna({"pain": 2.0}), K, {"a": 1.0, "b": 0.3}, "pain", 7, 60, 5, digits=9)
+    sets = [(0.0, 0.0), (0.05, 2.0), (0.2, 8.0), (2.0, 1.0)]
+    several = pk.extrema_by_thresholds(pk.measure_extrema(smooth, K, ["pain", "strain"]), sets)
+    for p, w in sets:
+        got = several.where((F.col("min_prominence") == p) & (F.col("min_width") == w)).drop("min_prominence", "min_width")
+        want = pk.find_extrema(smooth, K, ["pain", "strain"], p, w)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
 def test_alternation_and_scores(spark):
     ext = spark.createDataFrame(
         [("p", "max", 5, 1.0), ("p", "max", 8, 1.0), ("p", "min", 10, 0.0), ("p", "max", 20, 1.0), ("p", "min", 30, 0.0)],
