@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -90,61 +91,153 @@ def _carry(values: np.ndarray, factor: float, exponent: float) -> np.ndarray:
     return np.array(out)
 
 
+def _step(value: float, share: float, factor: float) -> float:
+    """The share that a sample hands on, from its load and the share handed to it; a missing load hands on nothing."""
+    load = value + share if share > 1.0 else value
+    return factor * load if load == load else 0.0
+
+
+class SpillMap:
+    """What a stretch of samples hands on as a function of what it is handed.
+
+    The function never falls and is linear in pieces.  A share of at most
+    ``limits[k]`` (and above the limits before) is lost somewhere in the stretch, and
+    ``ends[k]`` leaves it whatever the share was; a larger one lasts through and
+    ``base + slope * share`` leaves.  There are few pieces, as a share shrinks by
+    the factor with every sample.
+    """
+
+    def __init__(self, values: Sequence[float], factor: float):
+        limits, starts = [], []
+        base, slope = 0.0, 1.0
+        for i, v in enumerate(values):
+            lost = -math.inf if base > 1.0 else (1.0 - base) / slope if slope > 0.0 else math.inf
+            if not limits or lost > limits[-1]:
+                limits.append(lost)
+                starts.append(i)
+            if lost == math.inf:
+                break
+            if v != v:
+                limits.append(math.inf)
+                starts.append(i + 1)
+                break
+            base, slope = factor * (v + base), slope * factor
+        self.limits, self.base, self.slope = limits, base, slope
+        alone = [0.0]
+        for v in values:
+            alone.append(_step(v, alone[-1], factor))
+        self.ends = [self._end(values, factor, start, alone) for start in starts]
+
+    @staticmethod
+    def _end(values: Sequence[float], factor: float, start: int, alone: list[float]) -> float:
+        """What leaves if nothing is handed to the sample at ``start``; met by the run from the first sample, it follows that one."""
+        share = 0.0
+        for i in range(start, len(values)):
+            if share <= 1.0 and alone[i] <= 1.0:
+                return alone[-1]
+            share = _step(values[i], share, factor)
+        return share
+
+    @staticmethod
+    def apply(limits: Sequence[float], ends: Sequence[float], base: float, slope: float, share: float) -> float:
+        k = bisect_left(limits, share)
+        return ends[k] if k < len(limits) else base + slope * share
+
+
+def _fresh(pdf: pd.DataFrame, names: Sequence[str], last: tuple | None) -> tuple[list[bool], tuple | None]:
+    """Which rows of a sorted stream begin a group, given the last group of the frame before."""
+    if not len(pdf):
+        return [], last
+    starts = (pdf[names] != pdf[names].shift()).any(axis=1).to_numpy()
+    starts[0] = tuple(pdf[names].iloc[0]) != last
+    return starts.tolist(), tuple(pdf[names].iloc[-1])
+
+
 def overflow_carry(
     df: DataFrame,
     keys: Sequence[str],
-    col: str,
-    factor: float,
+    col: str | Mapping[str, float],
+    factor: float | None = None,
     order: Sequence[str] = ("ts", "sample_id"),
     bucket_seconds: int = 86_400,
-    islands_per_task: int = 64,
 ) -> DataFrame:
     """``<col>_carried``: a sample takes over ``factor`` of its predecessor while
     that share exceeds 1.
 
-    Without new load the carried value shrinks by ``factor`` per sample, so
-    after k zero samples with max / (1 - factor) * factor^k <= 1 nothing is
-    left.  The series is cut after such runs and the pieces are worked on in
-    parallel; only inside a piece is the recurrence sequential.
+    ``col`` is one column or a mapping of columns to their factors, which share
+    one shuffle.  Every time bucket of a series becomes a small map from the share
+    it is handed to the share it hands on; the maps, a row per bucket, are applied
+    one after the other per key; then all buckets run side by side.  So one dense
+    series is spread over its buckets.  A missing load stays missing and hands on
+    nothing.  A share that lasts through a whole bucket may differ from a row by row sum
+    in the last digits.
     """
-    if not 0.0 < factor < 1.0:
+    factors = dict(col) if isinstance(col, Mapping) else {col: factor}
+    if not all(f is not None and 0.0 < f < 1.0 for f in factors.values()):
         raise ValueError("factor must lie between 0 and 1")
-    keys, order = list(keys), list(order)
-    bucket = time_bucket("ts", bucket_seconds)
-    top = df.agg(F.max(col).alias("_top"))
-    rows = ordered.attach(df, [], top)
-    need = F.ceil(F.log(F.greatest(F.col("_top") / (1.0 - factor), F.lit(1.0))) / F.lit(-math.log(factor)))
-    rows = rows.withColumns({"_one": F.lit(1), "_need": F.greatest(need, F.lit(1))}).drop("_top")
-    rows = ordered.scan(rows, keys, order, bucket, sums={"_rn": "_one"}, keep_bucket=True)
-    rows = rows.withColumn("_hit", F.when(F.col(col) != 0, F.col("_rn")))
-    rows = ordered.scan(rows, keys, order, bucket, before={"_prev": "_hit"}, keep_bucket=True)
-    fresh = F.col("_hit").isNotNull() & ((F.col("_rn") - F.col("_prev") - 1) >= F.col("_need"))
-    rows = rows.withColumn("_new", F.when(fresh, 1).otherwise(0))
-    rows = ordered.scan(rows, keys, order, bucket, sums={"_island": "_new"})
-    rows = rows.withColumn("_chunk", F.floor(F.col("_island") / islands_per_task).cast("long"))
-    out_col = f"{col}_carried"
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.DoubleType())])
-    names, piece = list(df.columns), [*keys, "_island"]
+    keys, order, cols = list(keys), list(order), list(factors)
+    piece = [*keys, ordered.BUCKET]
+    rows = df.withColumn(ordered.BUCKET, time_bucket(order[0], bucket_seconds))
+    placed = ordered.spread(rows, *piece)
+    key_fields = [df.schema[k] for k in keys]
+    bucket_field = T.StructField(ordered.BUCKET, T.LongType())
+    parts = {"limits": "array<double>", "ends": "array<double>", "base": "double", "slope": "double"}
+    map_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(f"{p}_{i}", T._parse_datatype_string(t)) for i in range(len(cols)) for p, t in parts.items()]])
+    entry_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(f"_entry_{i}", T.DoubleType()) for i in range(len(cols))]])
+    out_schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_carried", T.DoubleType()) for c in cols]])
+    names = list(df.columns)
+
+    def summarise(frames):
+        last, held = None, [[] for _ in cols]
+        found = [f.name for f in map_schema.fields]
+
+        def row():
+            maps = [SpillMap(values, f) for values, f in zip(held, factors.values(), strict=True)]
+            return (*last, *(getattr(m, p) for m in maps for p in parts))
+
+        for pdf in frames:
+            names_of = list(pdf[piece].itertuples(index=False, name=None))
+            done = []
+            for group, *values in zip(names_of, *(pdf[c].astype(float).tolist() for c in cols), strict=True):
+                if group != last:
+                    if last is not None:
+                        done.append(row())
+                    last, held = group, [[] for _ in cols]
+                for series, v in zip(held, values, strict=True):
+                    series.append(v)
+            if done:
+                yield pd.DataFrame(done, columns=found)
+        if last is not None:
+            yield pd.DataFrame([row()], columns=found)
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordered.BUCKET)
+        for i in range(len(cols)):
+            share, entries = 0.0, []
+            for limits, ends, base, slope in zip(*(pdf[f"{p}_{i}"] for p in parts), strict=True):
+                entries.append(share)
+                share = SpillMap.apply(limits, ends, base, slope, share)
+            pdf[f"_entry_{i}"] = entries
+        return pdf[[f.name for f in entry_schema.fields]]
 
     def carry(frames):
-        # one pass over a sorted partition; a new piece starts from nothing
-        last, spill = None, 0.0
+        last, shares = None, [0.0] * len(cols)
         for pdf in frames:
-            starts = (pdf[piece] != pdf[piece].shift()).any(axis=1).to_numpy()
-            head = tuple(pdf[piece].iloc[0]) if len(pdf) else last
-            if len(pdf):
-                starts[0] = head != last
-                last = tuple(pdf[piece].iloc[-1])
-            out = []
-            for value, fresh in zip(pdf[col].tolist(), starts.tolist(), strict=True):
-                if not fresh and spill > 1.0:
-                    value += spill
-                spill = factor * value
-                out.append(value)
-            yield pdf[names].assign(**{out_col: out})
-
-    placed = ordered.spread(rows, *keys, "_chunk").sortWithinPartitions(*keys, "_island", *order)
-    return placed.select(*names, "_island").mapInPandas(carry, schema)
+            starts, last = _fresh(pdf, piece, last)
+            out = pdf[names].copy()
+            for i, (c, f) in enumerate(factors.items()):
+                share, carried = shares[i], []
+                for fresh, entry, v in zip(starts, pdf[f"_entry_{i}"].tolist(), pdf[c].astype(float).tolist(), strict=True):
+                    share = entry if fresh else share
+                    carried.append(v + share if share > 1.0 else v)
+                    share = _step(v, share, f)
+                out[f"{c}_carried"], shares[i] = carried, share
+            yield out
+
+    maps = placed.select(*piece, *order, *cols).sortWithinPartitions(*piece, *order).select(*piece, *cols).mapInPandas(summarise, map_schema)
+    entries = maps.groupBy(*keys).applyInPandas(enter, entry_schema)
+    entered = placed.join(entries, piece).sortWithinPartitions(*piece, *order)
+    return entered.mapInPandas(carry, out_schema)
 
 
 def overflow_carry_with_power(df: DataFrame, keys: Sequence[str], col: str, factor: float, exponent: float, order: Sequence[str] = ("ts", "sample_id")) -> DataFrame:
@@ -179,18 +272,28 @@ LOAD_OPTIONS = [
 ]
 
 
-def load_options(samples: DataFrame, keys: Sequence[str], rate: str, options: Sequence[Mapping] = LOAD_OPTIONS) -> DataFrame:
-    """Daily load per option, all options in one plan."""
-    parts = None
-    for o in options:
-        x = samples.withColumn("load", power_load(active_rate(rate, o["threshold"]), o["exponent"]))
+def load_options(samples: DataFrame, keys: Sequence[str], rate: str, options: Sequence[Mapping] = LOAD_OPTIONS, shares: Sequence[str] = ("low_share", "high_share")) -> DataFrame:
+    """Daily load per option: ``active``, and ``low_body`` and ``high_body`` after overflow and second cut-off.
+
+    All options and both halves of the body are columns of one plan: samples are
+    shuffled once for all overflows, and each day is summed once.  Outside
+    activities (shares missing) all load is low body.
+    """
+    low, high = (F.coalesce(F.col(c), F.lit(other)) for c, other in zip(shares, (1.0, 0.0), strict=True))
+    x, factors = samples, {}
+    for i, o in enumerate(options):
+        active = active_rate(rate, o["threshold"])
+        x = x.withColumns({f"{part}_{i}": power_load(active * share, o["exponent"]) for part, share in (("active", F.lit(1.0)), ("low_body", low), ("high_body", high))})
         if o["factor"]:
-            x = overflow_carry(x, keys, "load", o["factor"]).withColumn("load", F.col("load_carried")).drop("load_carried")
-        if o["threshold2"]:
-            x = x.withColumn("load", second_cutoff("load", o["threshold2"]))
-        day = daily_loads(x, keys, ["load"]).withColumn("option", F.lit(o["option"]))
-        parts = day if parts is None else parts.unionByName(day)
-    return parts
+            factors |= {f"low_body_{i}": o["factor"], f"high_body_{i}": o["factor"]}
+    names = [f"{part}_{i}" for i in range(len(options)) for part in ("active", "low_body", "high_body")]
+    x = x.select(*keys, "ts", "sample_id", *names)
+    x = overflow_carry(x, keys, factors) if factors else x
+    x = x.withColumns({c: F.col(f"{c}_carried") for c in factors}).drop(*[f"{c}_carried" for c in factors])
+    x = x.withColumns({f"{part}_{i}": second_cutoff(f"{part}_{i}", o["threshold2"]) for i, o in enumerate(options) if o["threshold2"] for part in ("low_body", "high_body")})
+    days = daily_loads(x, keys, names)
+    rows = F.array(*[F.struct(F.lit(o["option"]).alias("option"), *[F.col(f"{part}_{i}").alias(part) for part in ("active", "low_body", "high_body")]) for i, o in enumerate(options)])
+    return days.select(*keys, "day", F.inline(rows))
 
 
 def extended_export(master: DataFrame, sleep: DataFrame, summary: DataFrame, keys: Sequence[str], zero_cols: Sequence[str], fill_cols: Sequence[str], renames: Mapping[str, str]) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dayweave.functions import vocab
 from dayweave.operators import heart as ht
+from dayweave.operators import intervals as iv
 from dayweave.plans.base import DAILY, SAMPLES, VISITS, daily, r, samples, table, visits
 from dayweave.plans.registry import query
 
@@ -58,12 +59,15 @@ pt AS (SELECT b.entity, b.sample_id, b.ts, b.hr, arg_max(lo, (sport, interval_id
 bl AS (SELECT entity, sample_id, ts, greatest(hr - 70, 0) * coalesce(lo, 1) AS low_body, greatest(hr - 70, 0) * coalesce(hi, 0) AS high_body FROM pt)"""
 
 
-def painted(spark, sf):
+def activities(spark, sf):
     names = F.array(*[F.lit(a) for a in ACTIVITY.values()])
     act = visits(spark, sf).withColumn("sport", F.element_at(names, (F.col("interval_id") % 4 + 1).cast("int")))
-    act = ht.activity_shares(act, "sport", vocab.DEVICE_ACTIVITY_CLASS, 1)
+    return ht.activity_shares(act, "sport", vocab.DEVICE_ACTIVITY_CLASS, 1)
+
+
+def painted(spark, sf):
     x = beats(spark, sf).withColumn("active", ht.active_rate("hr", 70))
-    return ht.body_load(x, act, K, "sample_id", "active", "sport", "interval_id")
+    return ht.body_load(x, activities(spark, sf), K, "sample_id", "active", "sport", "interval_id")
 
 
 @query("k06_daily_body_load", f"""WITH {PAINTED}, {DAILY}, days AS (SELECT DISTINCT user_id AS entity, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'view'),
@@ -74,20 +78,29 @@ def k06(spark, sf):
     return out.select("entity", "day", r("low_body", 4).alias("low_body"), r("high_body", 4).alias("high_body"))
 
 
+_OVER = ", ".join(f"n.{c} + CASE WHEN 0.5 * o.{c} > 1 THEN 0.5 * o.{c} ELSE 0 END" for c in ("l1", "h1", "l2", "h2"))
+_CUT = "sum(CASE WHEN {0} - 50 < 50 THEN 0 ELSE {0} - 50 END)"
+
+
 @query(
     "k07_load_options",
-    f"""WITH {CARRY.format(base=BEATS, thr=70)}, z AS (SELECT entity, CAST(ts AS DATE) AS day, sum(greatest(hr - 110, 0)) AS load FROM beats GROUP BY 1, 2),
-o AS (SELECT entity, CAST(ts AS DATE) AS day, sum(CASE WHEN c - 50 < 50 THEN 0 ELSE c - 50 END) AS load FROM oc GROUP BY 1, 2),
-nb2 AS (SELECT entity, k, ts, v * v AS v FROM nb),
-oc2 AS (SELECT entity, k, ts, v AS c FROM nb2 WHERE k = 1 UNION ALL SELECT n.entity, n.k, n.ts, n.v + CASE WHEN 0.5 * o.c > 1 THEN 0.5 * o.c ELSE 0 END FROM oc2 o JOIN nb2 n ON n.entity = o.entity AND n.k = o.k + 1),
-p AS (SELECT entity, CAST(ts AS DATE) AS day, sum(c) AS load FROM oc2 GROUP BY 1, 2),
-sp AS (SELECT entity, CAST(lo + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT entity, min(day) AS lo, max(day) AS hi FROM z GROUP BY 1), (SELECT unnest(range(0, 400)) AS i) WHERE lo + CAST(i AS INTEGER) <= hi)
-SELECT entity, day, 'zone2' AS option, round(coalesce(load, 0), 4) AS load FROM sp LEFT JOIN z USING (entity, day) UNION ALL SELECT entity, day, 'overflow_cutoff', round(coalesce(load, 0), 4) FROM sp LEFT JOIN o USING (entity, day)
-UNION ALL SELECT entity, day, 'power2_overflow', round(coalesce(load, 0), 4) FROM sp LEFT JOIN p USING (entity, day)""",
+    f"""WITH RECURSIVE {PAINTED},
+sh AS (SELECT entity, ts, row_number() OVER (PARTITION BY entity ORDER BY ts, sample_id) AS k, greatest(hr - 110, 0) AS a0, greatest(hr - 70, 0) AS a1, coalesce(lo, 1) AS lo, coalesce(hi, 0) AS hi FROM pt),
+nb AS MATERIALIZED (SELECT entity, k, ts, a0, a0 * lo AS l0, a0 * hi AS h0, a1, a1 * lo AS l1, a1 * hi AS h1, a1 * a1 AS a2, pow(a1 * lo, 2) AS l2, pow(a1 * hi, 2) AS h2 FROM sh),
+oc(entity, k, ts, l1, h1, l2, h2) AS (SELECT entity, k, ts, l1, h1, l2, h2 FROM nb WHERE k = 1 UNION ALL SELECT n.entity, n.k, n.ts, {_OVER} FROM oc o JOIN nb n ON n.entity = o.entity AND n.k = o.k + 1),
+z AS (SELECT entity, CAST(ts AS DATE) AS day, sum(a0) AS a0, sum(l0) AS l0, sum(h0) AS h0, sum(a1) AS a1, sum(a2) AS a2 FROM nb GROUP BY 1, 2),
+o AS (SELECT entity, CAST(ts AS DATE) AS day, {_CUT.format('l1')} AS l1, {_CUT.format('h1')} AS h1, sum(l2) AS l2, sum(h2) AS h2 FROM oc GROUP BY 1, 2),
+sp AS (SELECT entity, CAST(lo + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT entity, min(day) AS lo, max(day) AS hi FROM z GROUP BY 1), (SELECT unnest(range(0, 400)) AS i) WHERE lo + CAST(i AS INTEGER) <= hi),
+al AS (SELECT entity, day, 'zone2' AS option, a0 AS active, l0 AS low_body, h0 AS high_body FROM sp LEFT JOIN z USING (entity, day)
+  UNION ALL SELECT entity, day, 'overflow_cutoff', a1, l1, h1 FROM sp LEFT JOIN z USING (entity, day) LEFT JOIN o USING (entity, day)
+  UNION ALL SELECT entity, day, 'power2_overflow', a2, l2, h2 FROM sp LEFT JOIN z USING (entity, day) LEFT JOIN o USING (entity, day))
+SELECT entity, day, option, round(coalesce(active, 0) + 1e-7, 4) AS active, round(coalesce(low_body, 0) + 1e-7, 4) AS low_body, round(coalesce(high_body, 0) + 1e-7, 4) AS high_body FROM al""",
 )
 def k07(spark, sf):
     x = beats(spark, sf).select("entity", "ts", "sample_id", "hr")
-    return ht.load_options(x, K, "hr").select("entity", "day", "option", r("load", 4).alias("load"))
+    x = iv.paint_samples(x, activities(spark, sf), K, "sample_id", ["low_share", "high_share"], ["feed", "sport", "interval_id"], 1800)
+    out = ht.load_options(x, K, "hr")
+    return out.select("entity", "day", "option", *[r(F.col(c) + 1e-7, 4).alias(c) for c in ("active", "low_body", "high_body")])
 
 
 @query(
