@@ -14,7 +14,6 @@ key.  Two shapes are used instead:
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,6 +27,8 @@ from dayweave.operators.ordered import BUCKET, time_bucket
 DAY = 86_400
 #: Blocks of segments get wider by 2^4 from level to level; ten levels hold 2^40 segments in their widest.
 LADDER_BITS, LADDER_LEVELS = 4, 10
+#: Beyond every count.
+FAR = 1 << 62
 
 
 def intervals_from_events(
@@ -329,54 +330,84 @@ def overlap_labels(
 # --- event matching ---------------------------------------------------------------------
 
 def greedy_next_match(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, hours: float = 24.0
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str, hours: float = 24.0, bucket_seconds: int = DAY
 ) -> DataFrame:
     """One-to-one matching of each left event with the next free right event.
 
-    A right event matches when it comes strictly later and within the limit.
-    Events at least the limit apart cannot interact, so every key is split into
-    islands at such gaps and only neighbouring islands share a task.
+    A right event matches when it comes strictly later and within the limit; of
+    right events at one instant only the first can match.  Left events wait in a
+    queue that they leave from its front, matched or expired, so how many have left
+    is all there is to know.  With E expired and A arrived, a right event takes
+    that number from n to min(max(n, E) + 1, A).  Such steps compose to
+    min(max(n + c, low), high): every time bucket becomes one row of three numbers,
+    these are applied one after the other per key, and all buckets are matched
+    side by side, also of a key without any gap.  Events without a time match nothing.
     """
     keys = list(keys)
-    id_type, rid_type = left.schema[left_id].dataType, right.schema[right_id].dataType
-    # at the same instant right events go first: a match must come later
-    rows = right.select(*keys, "ts", F.lit(0).alias("side"), F.col(right_id).cast("string").alias("_id"))
-    rows = rows.unionByName(left.select(*keys, "ts", F.lit(1).alias("side"), F.col(left_id).cast("string").alias("_id")))
-    rows = rows.withColumn("_us", F.unix_micros("ts"))
-    order, bucket = ["ts", "side", "_id"], time_bucket("ts", DAY)
     limit = int(hours * 3600e6)
-    rows = ordered.scan(rows, keys, order, bucket, before={"_before": "_us"}, keep_bucket=True)
-    rows = rows.withColumn("_new", F.when((F.col("_us") - F.col("_before")) >= limit, 1).otherwise(0))
-    rows = ordered.scan(rows, keys, order, bucket, sums={"_island": "_new"})
-    # a task takes runs of neighbouring islands
-    rows = rows.withColumn("_chunk", F.floor(F.col("_island") / F.lit(64)).cast("long"))
-    schema = T.StructType(
-        [left.schema[k] for k in keys] + [T.StructField(c, T.StringType()) for c in (left_id, right_id)]
-    )
+
+    def events(df: DataFrame, kind: int, event_id: str, after: int = 0) -> DataFrame:
+        return df.where(F.col("ts").isNotNull()).select(
+            *keys, (F.unix_micros("ts") + after).alias("_us"), F.lit(kind).alias("_kind"), F.col(event_id).cast("string").alias("_id"), F.lit(int(kind == 2)).alias("_came"), F.lit(int(kind == 0)).alias("_gone")
+        )
+
+    # at one instant expired events go first and right events before left ones: a match must come later
+    rows = events(left, 0, left_id, limit).unionByName(events(right, 1, right_id)).unionByName(events(left, 2, left_id))
+    bucket = F.floor(F.col("_us") / F.lit(bucket_seconds * 1_000_000)).cast("long")
+    rows = ordered.scan(rows, keys, ["_us", "_kind", "_id"], bucket, sums={"_arrived": "_came", "_expired": "_gone"}, keep_bucket=True)
+    piece = [*keys, ordered.BUCKET]
+    takers = rows.where("_kind = 1").groupBy(*piece, "_us").agg(F.min("_id").alias("_id"), F.max("_arrived").alias("_arrived"), F.max("_expired").alias("_expired"))
+    takers = ordered.spread(takers, *piece)
+    key_fields = [left.schema[k] for k in keys]
+    bucket_field = T.StructField(ordered.BUCKET, T.LongType())
+    step_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(c, T.LongType()) for c in ("_add", "_low", "_high")]])
+    entry_schema = T.StructType([*key_fields, bucket_field, T.StructField("_left", T.LongType())])
+    match_schema = T.StructType([*key_fields, T.StructField("_arrived", T.LongType()), T.StructField("_taker", T.StringType())])
+
+    def summarise(frames):
+        last, add, low, high = None, 0, -FAR, FAR
+        names = [f.name for f in step_schema.fields]
+        for pdf in frames:
+            done = []
+            groups = pdf[piece].itertuples(index=False, name=None)
+            for group, arrived, expired in zip(groups, pdf["_arrived"].tolist(), pdf["_expired"].tolist(), strict=True):
+                if group != last:
+                    if last is not None:
+                        done.append((*last, add, low, high))
+                    last, add, low, high = group, 0, -FAR, FAR
+                add, low, high = add + 1, max(low, expired) + 1, min(max(high, expired) + 1, arrived)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if last is not None:
+            yield pd.DataFrame([(*last, add, low, high)], columns=names)
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordered.BUCKET)
+        n, entries = 0, []
+        for add, low, high in zip(pdf["_add"].tolist(), pdf["_low"].tolist(), pdf["_high"].tolist(), strict=True):
+            entries.append(n)
+            n = min(max(n + add, low), high)
+        return pdf.assign(_left=entries)[[f.name for f in entry_schema.fields]]
 
     def match(frames):
-        # waiting left events in order; a right event takes the oldest one in reach
-        owner, waiting, used = None, deque(), None
+        last, n = None, 0
         for pdf in frames:
             out = []
-            columns = [pdf[c].tolist() for c in (*keys, "_chunk", "_us", "side", "_id")]
-            for *key, us, side, event in zip(*columns, strict=True):
-                if key != owner:
-                    owner, used = key, None
-                    waiting.clear()
-                if side:
-                    waiting.append((us, event))
-                    continue
-                while waiting and us - waiting[0][0] >= limit:
-                    waiting.popleft()
-                if waiting and us != used:
-                    out.append([*key[:-1], waiting.popleft()[1], event])
-                    used = us
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    placed = ordered.spread(rows, *keys, "_chunk").sortWithinPartitions(*keys, "_chunk", *order)
-    pairs = placed.select(*keys, "_chunk", "_us", "side", "_id").mapInPandas(match, schema)
-    return pairs.withColumns({left_id: F.col(left_id).cast(id_type), right_id: F.col(right_id).cast(rid_type)})
+            groups = pdf[piece].itertuples(index=False, name=None)
+            for group, arrived, expired, entry, taker in zip(groups, *(pdf[c].tolist() for c in ("_arrived", "_expired", "_left", "_id")), strict=True):
+                if group != last:
+                    last, n = group, entry
+                n = max(n, expired)
+                if n < arrived:
+                    n += 1
+                    out.append((*group[:-1], n, taker))
+            yield pd.DataFrame(out, columns=[f.name for f in match_schema.fields])
+
+    steps = takers.sortWithinPartitions(*piece, "_us").mapInPandas(summarise, step_schema)
+    entries = steps.groupBy(*keys).applyInPandas(enter, entry_schema)
+    pairs = takers.join(entries, piece).sortWithinPartitions(*piece, "_us").mapInPandas(match, match_schema)
+    waiting = rows.where("_kind = 2").select(*keys, "_arrived", F.col("_id").cast(left.schema[left_id].dataType).alias(left_id))
+    return waiting.join(pairs, [*keys, "_arrived"]).select(*keys, left_id, F.col("_taker").cast(right.schema[right_id].dataType).alias(right_id))
 
 
 def ordinal_join(

@@ -240,6 +240,51 @@ def test_load_options_share_a_shuffle(spark):
                 assert got[f"2021-01-0{k + 1}", o["option"]][name] == pytest.approx(load[24 * k : 24 * k + 24].sum())
 
 
+def queued(lefts, rights, limit):
+    """A queue of waiting left events, read in the order of time."""
+    rows = sorted([(t, 0, str(i), i) for t, i in rights] + [(t, 1, str(i), i) for t, i in lefts])
+    waiting, used, out = [], None, []
+    for t, side, _, i in rows:
+        if side:
+            waiting.append((t, i))
+            continue
+        waiting = [w for w in waiting if t - w[0] < limit]
+        if waiting and t != used:
+            out.append((waiting.pop(0)[1], i))
+            used = t
+    return out
+
+
+def test_greedy_matching_against_a_queue(spark):
+    rng = np.random.default_rng(8)
+    t0 = dt.datetime(2021, 1, 1)
+    lefts, rights, want = [], [], []
+    # no gap at all, few rights, many rights, ties at one second
+    for k, (n, m, span) in {"dense": (900, 900, 900_000), "left": (200, 20, 400_000), "right": (20, 200, 400_000), "ties": (60, 80, 60), "none": (5, 0, 10_000)}.items():
+        a = [(int(t), 1000 + i) for i, t in enumerate(rng.integers(0, span, n))]
+        b = [(int(t), 5000 + i) for i, t in enumerate(rng.integers(0, span, m))]
+        lefts += [(k, t0 + dt.timedelta(seconds=t), i, "x") for t, i in a] + [(k, None, 1, "x")]
+        rights += [(k, t0 + dt.timedelta(seconds=t), i, 1) for t, i in b] + [(k, None, 2, 1)]
+        want += [(k, *p) for p in queued(a, b, 7200)]
+    left = spark.createDataFrame(lefts, "entity string, ts timestamp, left_id long, _left string")
+    right = spark.createDataFrame(rights, "entity string, ts timestamp, right_id long, _arrived int")
+    for seconds in (900, 50_000, 10**8):
+        got = iv.greedy_next_match(left, right, K, "left_id", "right_id", hours=2.0, bucket_seconds=seconds)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert iv.greedy_next_match(left.limit(0), right, K, "left_id", "right_id").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st_.lists(st_.tuples(st_.integers(0, 9), st_.integers(0, 9)), min_size=1, max_size=12), st_.integers(0, 9))
+def test_queue_steps_compose(steps, n):
+    add, low, high, run = 0, -iv.FAR, iv.FAR, n
+    for expired, more in steps:
+        arrived = expired + more
+        run = min(max(run, expired) + 1, arrived)
+        add, low, high = add + 1, max(low, expired) + 1, min(max(high, expired) + 1, arrived)
+    assert min(max(n + add, low), high) == run
+
+
 def test_two_level_scan(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"k": "hot", "i": np.arange(500), "v": np.where(rng.random(500) < 0.3, rng.integers(0, 9, 500), np.nan)})
