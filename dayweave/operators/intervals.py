@@ -8,8 +8,8 @@ key.  Two shapes are used instead:
   over a ladder of ever wider blocks; an interval adds up the few blocks that
   fill it.  The work grows with rows, never with pairs, and nothing outside an
   interval enters its sum;
-* joins that need the matching rows themselves put intervals into the time
-  buckets they touch and join on the bucket, then apply the exact predicate.
+* painting and overlaps put spans into a tree of time blocks, a few blocks per
+  span however long it is, and reduce each block to one row before anything meets it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from dayweave.operators.ordered import BUCKET, time_bucket
 DAY = 86_400
 #: Blocks of segments get wider by 2^4 from level to level; ten levels hold 2^40 segments in their widest.
 LADDER_BITS, LADDER_LEVELS = 4, 10
+#: Levels above this one are summed from its blocks.
+LADDER_BASE = 2
+#: Blocks of time get wider by 2^2 from level to level.
+TREE_BITS, TREE_LEVELS = 2, 13
 #: Beyond every count.
 FAR = 1 << 62
 
@@ -56,40 +60,43 @@ def _edges(intervals: DataFrame, keys, interval_id: str, start_rank: int, end_ra
     )
 
 
-def _ranges(low: Column, high: Column) -> Column:
-    """Blocks ``(level, block)`` that together are the segments ``low <= i < high``."""
+def _shifted(direction: str, x: Column, bits: Column) -> Column:
+    return F.call_function(f"shift{direction}", x, bits)
+
+
+def _ranges(low: Column, high: Column, bits: int = LADDER_BITS, levels: int = LADDER_LEVELS) -> Column:
+    """Blocks ``(level, block)`` that together are the numbers ``low <= i < high``; those of a level are 2^bits times as wide as those below."""
     nothing = F.array().cast("array<bigint>")
 
     def run(first: Column, stop: Column) -> Column:
         return F.when(first < stop, F.sequence(first, stop - 1)).otherwise(nothing)
 
-    def edges(level: int) -> tuple[Column, Column]:
-        bits = LADDER_BITS * level
-        return F.shiftright(low + F.lit((1 << bits) - 1).cast("long"), bits), F.shiftright(high, bits)
-
-    def named(level: int, blocks: Column) -> Column:
-        return F.transform(blocks, lambda block: F.struct(F.lit(level).alias("level"), block.alias("block")))
+    def edges(level: Column) -> tuple[Column, Column]:
+        shift = level * bits
+        return _shifted("right", low + _shifted("left", F.lit(1).cast("long"), shift) - 1, shift), _shifted("right", high, shift)
 
-    parts = []
-    for level in range(LADDER_LEVELS):
+    def at(level: Column) -> Column:
         first, stop = edges(level)
-        blocks = run(first, stop)
-        if level + 1 < LADDER_LEVELS:
-            inner, outer = (F.shiftleft(c, LADDER_BITS) for c in edges(level + 1))
-            blocks = F.when(inner <= outer, F.concat(run(first, inner), run(outer, stop))).otherwise(blocks)
-        parts.append(named(level, F.when(first < stop, blocks).otherwise(nothing)))
-    return F.concat(*parts)
+        inner, outer = (F.shiftleft(c, bits) for c in edges(level + 1))
+        cut = F.when((level + 1 < levels) & (inner <= outer), F.concat(run(first, inner), run(outer, stop))).otherwise(run(first, stop))
+        return F.transform(F.when(first < stop, cut).otherwise(nothing), lambda block: F.struct(level.alias("level"), block.alias("block")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
 
 
 def _sums_of_ranges(ranges: DataFrame, segments: DataFrame, keys: list[str], interval_id: str, keep: Sequence[str] = ()) -> DataFrame:
     """``_sum`` and ``n`` of the segments ``_low <= _seg < _high``; ``segments`` has rows with ``_seg, _v, _k``."""
     once = segments.groupBy(*keys, "_seg").agg(F.sum("_v").alias("_v"), F.sum("_k").alias("_k")).where(F.col("_k") > 0)
-    blocks = (
-        once.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LADDER_LEVELS - 1))))
-        .withColumn("_block", F.expr(f"shiftright(_seg, {LADDER_BITS} * _level)"))
-        .groupBy(*keys, "_level", "_block")
-        .agg(F.sum("_v").alias("_v"), F.sum("_k").alias("_k"))
-    )
+    def raised(rows: DataFrame, first: int, last: int) -> DataFrame:
+        """Sums of the blocks of some levels, from those of ``first`` or lower."""
+        rows = rows.withColumn("_level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        rows = rows.withColumn("_block", F.expr(f"shiftright(_seg, {LADDER_BITS} * _level)"))
+        return rows.groupBy(*keys, "_level", "_block").agg(F.sum("_v").alias("_v"), F.sum("_k").alias("_k"))
+
+    # the upper levels are summed from the blocks of a lower one, which are far fewer than segments
+    lower = raised(once, 0, LADDER_BASE)
+    base = lower.where(F.col("_level") == LADDER_BASE).select(*keys, F.shiftleft("_block", LADDER_BITS * LADDER_BASE).alias("_seg"), "_v", "_k")
+    blocks = lower.unionByName(raised(base, LADDER_BASE + 1, LADDER_LEVELS - 1))
     pieces = ranges.select(*keys, interval_id, *keep, F.explode_outer(F.when(F.col("_low") < F.col("_high"), _ranges(F.col("_low"), F.col("_high")))).alias("_p"))
     pieces = pieces.select(*keys, interval_id, *keep, F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block"))
     return (
@@ -230,11 +237,82 @@ def count_rounded(intervals: DataFrame, samples: DataFrame, keys: Sequence[str],
     return aggregate_in_intervals(rounded, samples, keys, interval_id, value)
 
 
-# --- bucketed joins -------------------------------------------------------------------
+# --- covers: a tree of time blocks -----------------------------------------------------
+
+def _blocks(df: DataFrame, keys: list[str], low: Column, high: Column, seconds: int, *cols: str) -> DataFrame:
+    """Time blocks that together are ``low <= t <= high`` (microseconds), as rows ``level, block, low, high``.
+
+    Whole blocks of the tree have a level and no limits; what is left of the two
+    outer blocks has level -1 and keeps its limits.  However long a span is, it
+    gives a few rows per level of the tree; one with a wrong year gives no more.
+    """
+    span = F.lit(seconds * 1_000_000)
+    df = df.select(*keys, *cols, low.alias("low"), high.alias("high")).where("low <= high")
+    df = df.withColumns({"_from": F.floor((F.col("low") + span - 1) / span).cast("long"), "_until": F.floor((F.col("high") + 1) / span).cast("long")})
+    first, stop = F.col("_from"), F.col("_until")
+    kind = "array<struct<level:int,block:bigint,low:bigint,high:bigint>>"
+
+    def edge(block: Column, a: Column, b: Column) -> Column:
+        return F.struct(F.lit(-1).alias("level"), block.alias("block"), a.cast("long").alias("low"), b.cast("long").alias("high"))
+
+    none = F.array().cast(kind)
+    inner = F.transform(_ranges(first, stop, TREE_BITS, TREE_LEVELS), lambda r: F.struct(r["level"].alias("level"), r["block"].alias("block"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")))
+    left = F.when(F.col("low") < first * span, F.array(edge(first - 1, F.col("low"), first * span - 1))).otherwise(none)
+    right = F.when(F.col("high") >= stop * span, F.array(edge(stop, stop * span, F.col("high")))).otherwise(none)
+    inside = F.array(edge(first - 1, F.col("low"), F.col("high")))
+    parts = F.when(first > stop, inside).otherwise(F.concat(F.when(first < stop, inner).otherwise(none), left, right).cast(kind))
+    return df.select(*keys, *cols, F.explode(parts).alias("_b")).select(*keys, *cols, "_b.*")
+
+
+def _up(df: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Every row of ``df`` with each level that ``pieces`` use and its block there, from its lowest ``block``."""
+    top = pieces.agg(F.max("level").alias("_top"))
+    levels = F.explode(F.sequence(F.lit(0), F.col("_top")))
+    rows = ordered.attach(df, [], top).where("_top >= 0").withColumn("level", levels).drop("_top")
+    return rows.withColumn("_block", F.expr(f"shiftright(block, {TREE_BITS} * level)"))
 
-def _covering_buckets(intervals: DataFrame, seconds: int, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
-    buckets = F.sequence(time_bucket(start, seconds), time_bucket(end, seconds))
-    return intervals.where(F.col(start) <= F.col(end)).withColumn(BUCKET, F.explode(buckets))
+
+def _block_of(us: Column, seconds: int) -> Column:
+    return F.floor(us / F.lit(seconds * 1_000_000)).cast("long")
+
+
+def covering(points: DataFrame, point_id: str, us: Column, spans: DataFrame, low: Column, high: Column, keys: Sequence[str], found: dict[str, tuple], seconds: int) -> DataFrame:
+    """``keys, point_id`` and aggregates over the spans ``low <= us <= high`` that cover each point; uncovered points are left out.
+
+    ``found`` maps a name to (``F.max`` or ``F.min``, column of the spans).  Spans are
+    reduced to one row per block of a tree of time blocks; the blocks over each lowest
+    block that has points are reduced to one row again, so a point meets that row
+    and the spans with an edge in its block.
+    """
+    keys, names = list(keys), list(found)
+    aggs = [fn(c).alias(c) for c, (fn, _) in found.items()]
+    pieces = _blocks(spans.withColumns({c: col for c, (_, col) in found.items()}), keys, low, high, seconds, *names)
+    whole = pieces.where("level >= 0").groupBy(*keys, "level", F.col("block").alias("_block")).agg(*aggs)
+    at = points.select(*keys, F.col(point_id).alias("_point"), us.alias("_us")).withColumn("block", _block_of(F.col("_us"), seconds))
+    above = _up(at.select(*keys, "block").distinct(), pieces).join(whole, [*keys, "level", "_block"]).groupBy(*keys, "block").agg(*aggs)
+    edges = pieces.where("level < 0").groupBy(*keys, "block", "low", "high").agg(*aggs)
+    ever = F.lit(None).cast("long")
+    near = edges.unionByName(above.withColumns({"low": ever, "high": ever}))
+    hits = at.join(near, [*keys, "block"]).where(F.col("low").isNull() | F.col("_us").between(F.col("low"), F.col("high")))
+    return hits.groupBy(*keys, "_point").agg(*aggs).withColumnRenamed("_point", point_id)
+
+
+def within(spans: DataFrame, span_id: str, low: Column, high: Column, points: DataFrame, us: Column, keys: Sequence[str], found: dict[str, tuple], seconds: int) -> DataFrame:
+    """``keys, span_id`` and aggregates over the points with ``low <= us <= high``; empty spans are left out.
+
+    ``found`` is as in ``covering``, of columns of the points.  Points are reduced to one row
+    per block of the tree; a span reads its few blocks and the points of its two outer ones.
+    """
+    keys, names = list(keys), list(found)
+    aggs = [fn(c).alias(c) for c, (fn, _) in found.items()]
+    pieces = _blocks(spans.withColumn("_span", F.col(span_id)), keys, low, high, seconds, "_span")
+    at = points.select(*keys, us.alias("_us"), *[col.alias(c) for c, (_, col) in found.items()]).withColumn("block", _block_of(F.col("_us"), seconds))
+    lowest = at.groupBy(*keys, "block").agg(*aggs)
+    tree = _up(lowest, pieces).groupBy(*keys, "level", "_block").agg(*aggs)
+    inner = pieces.where("level >= 0").withColumnRenamed("block", "_block").join(tree, [*keys, "level", "_block"])
+    outer = pieces.where("level < 0").join(at, [*keys, "block"]).where(F.col("_us").between(F.col("low"), F.col("high")))
+    both = inner.select(*keys, "_span", *names).unionByName(outer.select(*keys, "_span", *names))
+    return both.groupBy(*keys, "_span").agg(*aggs).withColumnRenamed("_span", span_id)
 
 
 def paint_samples(
@@ -248,32 +326,15 @@ def paint_samples(
 ) -> DataFrame:
     """Values of the highest-priority interval covering each sample ([start, end]).
 
-    Inside a bucket the intervals that cover it fully are first reduced to the
-    best one; only intervals with an edge in the bucket are kept singly, so a
-    sample meets one row plus the few edges of its bucket.  All samples stay;
-    uncovered ones get NULL.
+    All samples stay; uncovered ones get NULL.  See ``covering``.
     """
     keys = list(keys)
-    span = F.lit(bucket_seconds * 1_000_000)
-    pieces = _covering_buckets(intervals, bucket_seconds)
-    low, high = F.col(BUCKET) * span, (F.col(BUCKET) + 1) * span
-    full = (F.unix_micros("start_ts") <= low) & (F.unix_micros("end_ts") >= high)
-    pieces = pieces.select(
-        *keys,
-        BUCKET,
-        F.when(full, F.timestamp_micros(low)).otherwise(F.col("start_ts")).alias("start_ts"),
-        F.when(full, F.timestamp_micros(high)).otherwise(F.col("end_ts")).alias("end_ts"),
-        F.struct(*priority).alias("_rank"),
-        F.struct(*values).alias("_vals"),
-    )
-    best = pieces.groupBy(*keys, BUCKET, "start_ts", "end_ts").agg(
-        F.max_by("_vals", "_rank").alias("_vals"), F.max("_rank").alias("_rank")
+    best = F.struct(F.struct(*priority).alias("rank"), F.struct(*values).alias("vals"))
+    chosen = covering(
+        samples, sample_id, F.unix_micros("ts"), intervals, F.unix_micros("start_ts"), F.unix_micros("end_ts"), keys, {"_best": (F.max, best)}, bucket_seconds
     )
-    points = samples.select(*keys, sample_id, "ts", time_bucket("ts", bucket_seconds).alias(BUCKET))
-    hits = points.join(best, keys + [BUCKET]).where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
-    chosen = hits.groupBy(*keys, sample_id).agg(F.max_by("_vals", "_rank").alias("_vals"))
     return samples.join(chosen, keys + [sample_id], "left").select(
-        *[F.col(c) for c in samples.columns], *[F.col("_vals")[v].alias(v) for v in values]
+        *[F.col(c) for c in samples.columns], *[F.col("_best")["vals"][v].alias(v) for v in values]
     )
 
 
@@ -303,28 +364,23 @@ def overlap_labels(
 ) -> DataFrame:
     """Label of the last overlapping tap and overlap share of the first one.
 
-    A tap matches when start < tap end and end >= tap start.
+    A tap matches when start < tap end and end >= tap start: it covers the
+    interval's start or it starts inside the interval.
     """
     keys = list(keys)
-    left = _covering_buckets(intervals, bucket_seconds).select(*keys, interval_id, "start_ts", "end_ts", BUCKET)
-    right = _covering_buckets(taps, bucket_seconds).select(
-        *keys,
-        BUCKET,
-        F.col("start_ts").alias("t_start"),
-        F.col("end_ts").alias("t_end"),
-        F.col(label).alias("t_label"),
-        F.col(seq).alias("t_seq"),
-    )
-    hits = left.join(right, keys + [BUCKET]).where(
-        (F.col("start_ts") < F.col("t_end")) & (F.col("end_ts") >= F.col("t_start"))
-    )
-    shared = _seconds(F.least("end_ts", "t_end")) - _seconds(F.greatest("start_ts", "t_start"))
+    tap = {
+        "_last": (F.max, F.struct(F.col(seq).alias("seq"), F.col(label).alias("label"))),
+        "_first": (F.min, F.struct(F.col(seq).alias("seq"), F.unix_micros("start_ts").alias("a"), F.unix_micros("end_ts").alias("b"))),
+    }
+    start, end = F.unix_micros("start_ts"), F.unix_micros("end_ts")
+    spans, taps = intervals.where("start_ts <= end_ts"), taps.where("start_ts <= end_ts")
+    over = covering(spans, interval_id, start, taps, start, end - 1, keys, tap, bucket_seconds)
+    inside = within(spans, interval_id, start + 1, end, taps, start, keys, tap, bucket_seconds)
+    chosen = over.unionByName(inside).groupBy(*keys, interval_id).agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    joined = intervals.join(chosen, keys + [interval_id], "left")
+    shared = (F.least(end, F.col("_first.b")) - F.greatest(start, F.col("_first.a"))) / F.lit(1e6)
     share = F.try_divide(shared, _seconds("end_ts") - _seconds("start_ts"))
-    # max_by / min_by by sequence are unaffected by a pair met in two buckets
-    chosen = hits.groupBy(*keys, interval_id).agg(
-        F.max_by("t_label", "t_seq").alias("tap_label"), F.min_by(share, "t_seq").alias("tap_share")
-    )
-    return intervals.join(chosen, keys + [interval_id], "left")
+    return joined.withColumns({"tap_label": F.col("_last.label"), "tap_share": F.when(F.col("_first").isNotNull(), share)}).drop("_last", "_first")
 
 
 # --- event matching ---------------------------------------------------------------------

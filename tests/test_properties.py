@@ -285,6 +285,43 @@ def test_queue_steps_compose(steps, n):
     assert min(max(n + add, low), high) == run
 
 
+def test_time_tree_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    t0 = dt.datetime(2021, 3, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=int(s))
+    # one entity holds most rows; spans of seconds to months, empty, reversed, open and with a wrong year
+    spans = []
+    for i in range(150):
+        a = int(rng.integers(0, 5_000_000))
+        spans.append(("hot" if i % 3 else "b", i, a, a + int(rng.choice([0, 1, 900, 40_000, 2_600_000])), int(rng.integers(0, 6))))
+    spans += [("hot", 900, 70, 60, 99), ("hot", 901, -1_600_000_000, 4_000_000, -1)]
+    points = [("hot" if i % 4 else "b", i, int(t)) for i, t in enumerate(rng.integers(0, 5_000_000, 400))] + [("c", 999, 5)]
+    v = spark.createDataFrame([(e, i, at(a), at(b), p, f"l{p}") for e, i, a, b, p in spans] + [("hot", 950, None, at(9), 50, "n")], "entity string, interval_id long, start_ts timestamp, end_ts timestamp, p long, label string")
+    s = spark.createDataFrame([(e, i, at(t), 1.0) for e, i, t in points], "entity string, sample_id long, ts timestamp, value double")
+    over = {i: [x for x in spans if x[0] == e and x[2] <= t <= x[3]] for e, i, t in points}
+    ids = spark.createDataFrame([(e, i, at(a), at(a + int(rng.choice([0, 50, 500_000])))) for e, i, a, _, _ in spans[:60]], "entity string, interval_id long, start_ts timestamp, end_ts timestamp")
+    taps = v.withColumn("seq", F.col("interval_id"))
+    rows = [(r.entity, r.interval_id, (r.start_ts - t0).total_seconds(), (r.end_ts - t0).total_seconds()) for r in ids.collect()]
+    for seconds in (60, 1800, 10**7):
+        painted = iv.paint_samples(s, v, K, "sample_id", ["label"], ["p", "interval_id"], seconds).collect()
+        assert {r.sample_id: r.label for r in painted} == {i: f"l{max(o, key=lambda x: (x[4], x[1]))[4]}" if o else None for i, o in over.items()}
+        found = {r.interval_id: (r.tap_label, r.tap_share) for r in iv.overlap_labels(ids, taps, K, bucket_seconds=seconds).collect()}
+        for e, i, a, b in rows:
+            hit = [x for x in spans if x[0] == e and x[2] <= x[3] and a < x[3] and b >= x[2]]
+            label, share = found[i]
+            assert (share is None) == (not hit or a == b)
+            assert label == (f"l{max(hit, key=lambda x: x[1])[4]}" if hit else None)
+            if hit and b > a:
+                first = min(hit, key=lambda x: x[1])
+                assert share == pytest.approx((min(b, first[3]) - max(a, first[2])) / (b - a))
+        longest = iv._blocks(v, K, F.unix_micros("start_ts"), F.unix_micros("end_ts"), seconds, "interval_id").groupBy("interval_id").count().agg(F.max("count")).first()[0]
+        assert longest < 100
+    month = v.where("interval_id = 0").withColumn("end_ts", F.expr("start_ts + interval 31 days"))
+    assert iv._blocks(month, K, F.unix_micros("start_ts"), F.unix_micros("end_ts"), 1800).count() < 50
+    assert iv.paint_samples(s, v.limit(0), K, "sample_id", ["label"], ["p"]).where("label IS NULL").count() == len(points)
+    assert iv.overlap_labels(ids, taps.limit(0), K).count() == 60
+
+
 def test_two_level_scan(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"k": "hot", "i": np.arange(500), "v": np.where(rng.random(500) < 0.3, rng.integers(0, 9, 500), np.nan)})
