@@ -1,11 +1,13 @@
-"""Benchmark passages in documents through a positional inverted index.
-
-The index holds postings (term, document, position) of the corpus, each with the
-words around it.  A phrase is looked up by its rarest term: the term's list,
-shifted by its offset in the phrase, gives candidate places, and the lists of the
-other terms are intersected with it on the neighbourhood that the posting
-carries.  Only lists of terms that are the rarest of some phrase are built; how
-rare a term is comes from counts over all documents.
+"""Benchmark passages in documents through a stored positional inverted index.
+
+Every text is split into words once.  Words that stand in an item become postings
+(term, document, position) in a table in the shared folder, next to one row per
+document with its number of words; a posting also keeps 16 bits of a hash of the
+words beside it.  Everything else reads that table: counts give the rarest term
+of each window; that term's list, shifted by its offset, gives candidate places, of
+which those stay whose neighbours agree; then the lists of all terms, shifted by
+their offsets, are intersected at what is left.  No text and no array of words is
+ever shuffled.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from dayweave.session import cut_lineage
 
 #: Words of a window; a shorter item is one window of all its words.
 WINDOW = 10
-#: Bytes up to which the terms of the items are broadcast.
+#: Bytes up to which terms, anchors and documents with candidates are broadcast.
 BROADCAST_BYTES = 16_000_000
+#: Bits of a neighbour's hash that a posting keeps.
+SIDE_BITS = 16
 
 
 def words(text: Column) -> Column:
@@ -39,76 +43,112 @@ def _sized(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
-def term_counts(corpus_words: DataFrame, terms: DataFrame, n_bytes: int) -> DataFrame:
-    """(term, n): occurrences of the given terms in all documents."""
-    exploded = corpus_words.select(F.explode("words").alias("term"))
-    return exploded.join(_sized(terms, n_bytes), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def _measured(df: DataFrame, row_bytes: int) -> DataFrame:
+    """The rows, cut from their lineage, to be broadcast if they are few."""
+    df = cut_lineage(df)
+    return _sized(df, df.count() * row_bytes)
 
 
-def postings(corpus_words: DataFrame, terms: DataFrame, n_bytes: int, radius: int = WINDOW - 1) -> DataFrame:
-    """(term, doc, pos, near): the index lists of some terms; ``near`` has up to ``radius`` words on either side and ``pos`` counts from 0."""
-    spread = corpus_words.select("doc", "words", F.posexplode("words").alias("pos", "term"))
-    near = F.slice(F.col("words"), F.greatest(F.lit(1), F.col("pos") + 1 - radius), F.lit(radius + 1) + F.least(F.lit(radius), F.col("pos")))
-    return spread.join(_sized(terms, n_bytes), "term").select("term", "doc", "pos", near.alias("near"))
+def _term(word: Column) -> Column:
+    return F.xxhash64(word)
 
 
-def phrase_matches(corpus: DataFrame, phrases: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc, start, length, window): every place where a distinct phrase occurs exactly.
+def _side(word: Column) -> Column:
+    return F.when(word.isNotNull(), F.xxhash64(F.lit(7), word).bitwiseAND((1 << SIDE_BITS) - 1)).otherwise(-1).cast("int")
 
-    ``phrases`` has (window array<string>) of at most ``width`` words each.
+
+def positional_index(corpus: DataFrame, terms: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings of some terms (word string) in the corpus, and a row per document, from one reading of the texts.
+
+    ``uid, pos, term, left, right``: a document's number, a position from 0, the term's hash and
+    16 bits of the words on either side (-1: none).  The row at position 0, which every
+    document has, also carries ``doc`` (a struct of id and a hash of the text) and ``n_words``;
+    its term is null where the first word is not among ``terms``.
     """
-    corpus_words = corpus.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("words"))
-    distinct = phrases.select("window").distinct()
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + F.lit(16)), F.lit(0))).first()[0]
-    counts = cut_lineage(term_counts(corpus_words, terms, size))
-    # the rarest term of a phrase; a phrase with a term that no document holds occurs nowhere
-    offsets = distinct.select("window", F.posexplode("window").alias("offset", "term")).join(_sized(counts, size), "term", "left")
-    by_phrase = offsets.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("rarest"))
-    anchors = cut_lineage(by_phrase.where("rarest.n > 0").select("window", F.col("rarest.term").alias("term"), F.col("rarest.offset").alias("offset")))
-    anchor_terms = anchors.select("term").distinct()
-    anchor_size = anchors.agg(F.coalesce(F.sum(F.aggregate("window", F.lit(64).cast("long"), lambda a, w: a + F.octet_length(w) + 16)), F.lit(0))).first()[0]
-    index = postings(corpus_words, anchor_terms, anchor_size, width - 1)
-    candidates = index.join(_sized(anchors, anchor_size), "term").where(F.col("pos") >= F.col("offset"))
-    # the phrase's first word stands ``offset`` before the posting; ``near`` starts min(pos, width - 1) before it
-    begin = F.least(F.lit(width - 1), F.col("pos")) - F.col("offset") + 1
-    hits = candidates.where(F.slice(F.col("near"), begin, F.size("window")) == F.col("window"))
-    return hits.select("doc", (F.col("pos") - F.col("offset")).alias("start"), F.size("window").alias("length"), "window")
-
-
-def proximity_matches(corpus: DataFrame, phrases: DataFrame, within: int, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, pos, window): places of a phrase's rarest term with all its other words at most ``within`` words away, in any order.
-
-    Every word counts once, however often the phrase has it.
+    rows = corpus.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("body"), words(F.col(text)).alias("words"))
+    beside = F.transform("words", lambda w, i: F.struct(w.alias("word"), _side(F.get("words", i - 1)).alias("left"), _side(F.get("words", i + 1)).alias("right")))
+    # outer: an inner explode would add a filter on the size of the words and so split every text again
+    spread = rows.select("uid", "id", "body", F.size("words").alias("n"), F.posexplode_outer(beside).alias("pos", "w"))
+    n_bytes = terms.agg(F.coalesce(F.sum(F.octet_length("word") + F.lit(24)), F.lit(0))).first()[0]
+    known = spread.select("uid", "id", "body", "n", F.coalesce("pos", F.lit(0)).alias("pos"), "w.*").join(_sized(terms.withColumn("term", _term(F.col("word"))), n_bytes), "word", "left")
+    head = F.col("pos") == 0
+    kept = known.where(F.col("term").isNotNull() | head)
+    doc = F.when(head, F.struct(F.col("id"), F.col("body")))
+    return common.written(kept.select("uid", "pos", "term", "left", "right", doc.alias("doc"), F.when(head, F.col("n").cast("long")).alias("n_words")))
+
+
+def index_for(corpus: DataFrame, phrases: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of all words of ``phrases`` (window array<string>)."""
+    return positional_index(corpus, cut_lineage(phrases.select(F.explode("window").alias("word")).distinct()), doc_id=doc_id, text=text)
+
+
+def documents_of(index: DataFrame) -> DataFrame:
+    """(uid, doc, n_words) of every document of the index."""
+    return index.where("n_words IS NOT NULL").select("uid", "doc", "n_words")
+
+
+def _postings(index: DataFrame) -> DataFrame:
+    return index.where("term IS NOT NULL").select("uid", "pos", "term", "left", "right")
+
+
+def rarest_terms(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(w, window, term, offset, n): the rarest term of each distinct phrase; phrases with a term that no document holds are left out."""
+    counts = cut_lineage(_postings(index).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    distinct = phrases.select("window", F.xxhash64("window").alias("w")).distinct()
+    offsets = distinct.select("w", "window", F.posexplode(F.transform("window", _term)).alias("offset", "term")).join(counts, "term", "left")
+    found = offsets.groupBy("w", "window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("rarest"))
+    return found.where("rarest.n > 0").select("w", "window", "rarest.term", "rarest.offset", "rarest.n")
+
+
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(w, uid, start, length): every place where a distinct phrase occurs exactly.
+
+    ``phrases`` has (window array<string>) whose words the index knows; ``w`` is the window's hash.
     """
-    corpus_words = corpus.select(F.col(doc_id).alias("doc"), words(F.col(text)).alias("words"))
-    distinct = phrases.select("window").distinct()
-    terms = distinct.select(F.explode("window").alias("term")).distinct()
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + F.lit(16)), F.lit(0))).first()[0]
-    counts = cut_lineage(term_counts(corpus_words, terms, size))
-    offsets = distinct.select("window", F.explode("window").alias("term")).join(_sized(counts, size), "term", "left")
-    rarest = offsets.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest"))
-    anchors = rarest.where("rarest.n > 0").select("window", F.col("rarest.term").alias("term"))
-    index = postings(corpus_words, anchors.select("term").distinct(), size, within)
-    return index.join(anchors, "term").where(F.size(F.array_except("window", "near")) == 0).select("doc", "pos", "window")
-
-
-def contamination(corpus: DataFrame, items: DataFrame, *, doc: str = "doc", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc, n_hit, items): per document with a match, its words inside matches and the items whose windows occur.
-
-    Items without an id or a word have no windows.
+    anchors = cut_lineage(rarest_terms(index, phrases))
+    n_bytes = anchors.agg(F.coalesce(F.sum(F.size("window") * 8 + F.lit(64)), F.lit(0))).first()[0]
+    before, after = F.get("window", F.col("offset") - 1), F.get("window", F.col("offset") + 1)
+    wanted = anchors.select("w", "term", "offset", F.transform("window", _term).alias("terms"), _side(F.when(F.col("offset") > 0, before)).alias("before"), _side(after).alias("after"))
+    agrees = (F.col("before") < 0) | (F.col("before") == F.col("left"))
+    agrees &= (F.col("after") < 0) | (F.col("after") == F.col("right"))
+    places = _postings(index).join(_sized(wanted, n_bytes), "term").where(agrees & (F.col("pos") >= F.col("offset")))
+    places = common.written(places.select("w", "uid", (F.col("pos") - F.col("offset")).alias("start"), "terms"))
+    # the other lists, shifted by their offsets, only of documents that have a place left
+    docs = _measured(places.select("uid").distinct(), 16)
+    lists = _postings(index).join(docs, "uid", "left_semi").select("uid", "pos", "term")
+    probes = places.select("w", "uid", "start", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
+    met = probes.select("w", "uid", "start", "length", (F.col("start") + F.col("offset")).alias("pos"), "term").join(lists, ["uid", "pos", "term"])
+    return met.groupBy("w", "uid", "start", "length").agg(F.count(F.lit(1)).alias("n")).where("n = length").drop("n")
+
+
+def proximity_matches(index: DataFrame, phrases: DataFrame, within: int) -> DataFrame:
+    """(w, uid, pos): places of a phrase's rarest term with all its other words at most ``within`` words away, in any order.
+
+    Every word counts once, however often the phrase has it.  Lists meet by blocks of positions.
     """
-    item_windows = cut_lineage(windows(items.where(F.col(item_id).isNotNull()), item_id=item_id, text=item_text, width=width))
-    hits = phrase_matches(corpus, item_windows, doc_id=doc, text=text, width=width)
-    hits = cut_lineage(hits.select("doc", "start", "length", F.xxhash64("window").alias("w")).distinct())
+    anchors = cut_lineage(rarest_terms(index, phrases))
+    width = F.lit(within + 1)
+    places = _postings(index).join(anchors.select("w", "term", F.array_distinct(F.transform("window", _term)).alias("terms")), "term").select("w", "uid", "pos", "terms")
+    around = F.array(*(F.floor(F.col("pos") / width) + d for d in (-1, 0, 1)))
+    probes = places.select("w", "uid", F.col("pos").alias("at"), F.size("terms").alias("n_terms"), F.explode("terms").alias("term"), around.alias("blocks"))
+    probes = probes.select("w", "uid", "at", "n_terms", "term", F.explode("blocks").alias("block"))
+    lists = _postings(index).select("uid", "term", "pos", F.floor(F.col("pos") / width).alias("block"))
+    met = probes.join(lists, ["uid", "term", "block"]).where(F.abs(F.col("pos") - F.col("at")) <= within)
+    found = met.select("w", "uid", "at", "n_terms", "term").distinct().groupBy("w", "uid", "at", "n_terms").agg(F.count(F.lit(1)).alias("n"))
+    return found.where("n = n_terms").select("w", "uid", F.col("at").alias("pos"))
+
+
+def contamination(index: DataFrame, item_windows: DataFrame) -> DataFrame:
+    """(uid, n_hit, items): per document with a match, its words inside matches and the ids of the items whose windows occur."""
+    hits = common.written(phrase_matches(index, item_windows))
     # words covered by a union of runs: each run adds what reaches beyond all runs before it
-    before = Window.partitionBy("doc").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
-    ends = hits.select("doc", "start", "length").distinct().withColumn("reached", F.coalesce(F.max(F.col("start") + F.col("length")).over(before), F.lit(0)))
-    covered = ends.groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", "reached"))).alias("n_hit"))
-    owners = item_windows.select("item_id", F.xxhash64("window").alias("w"))
-    named = hits.select("doc", "w").distinct().join(owners, "w").select("doc", F.col("item_id").cast("string").alias("item_id")).distinct()
-    listed = named.groupBy("doc").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    return covered.join(listed, "doc")
+    before = Window.partitionBy("uid").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    ends = hits.select("uid", "start", "length").distinct().withColumn("reached", F.coalesce(F.max(F.col("start") + F.col("length")).over(before), F.lit(0)))
+    covered = ends.groupBy("uid").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", "reached"))).alias("n_hit"))
+    owners = item_windows.where("item_id IS NOT NULL").select("item_id", F.xxhash64("window").alias("w"))
+    named = hits.select("uid", "w").distinct().join(owners, "w").select("uid", F.col("item_id").cast("string").alias("item_id")).distinct()
+    listed = named.groupBy("uid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    return covered.join(listed, "uid", "left")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -117,22 +157,23 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def contaminated_rows(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc): ``row_key`` of every row of the corpus that holds a window of an item."""
-    found = windows(items.where(F.col(item_id).isNotNull()), item_id=item_id, text=item_text, width=width)
-    rows = corpus.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
-    return phrase_matches(rows, found, doc_id="doc", width=width).select("doc").distinct()
+    """(doc): ``row_key`` of every row of the corpus that holds a window of an item; items without an id count."""
+    found = cut_lineage(windows(items, item_id=item_id, text=item_text, width=width))
+    index = index_for(corpus, found, doc_id=doc_id, text=text)
+    return documents_of(index).join(phrase_matches(index, found).select("uid").distinct(), "uid").select("doc").distinct()
 
 
-def report(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
+def report(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, items array<string>) for every row of the corpus.
 
     Null and empty texts have no words; ``items`` is empty where nothing matches.
-    Rows with one id and different texts are looked at apart, equal rows give
-    equal results.  Other columns are left behind, whatever their names.
+    Windows of items without an id are hit like others, but no id can be listed.
+    Every row is looked at by itself, so repeated ids and rows are fine.  Other
+    columns are left behind, whatever their names.
     """
-    rows = corpus.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
-    found = contamination(rows, items, **names)
-    joined = rows.select("doc", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(found, "doc", "left")
+    found = cut_lineage(windows(items, item_id=item_id, text=item_text, width=width))
+    index = index_for(corpus, found, doc_id=doc_id, text=text)
+    joined = documents_of(index).join(contamination(index, found), "uid", "left")
     return joined.select(F.col("doc.id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
@@ -151,7 +192,7 @@ doc_windows AS (SELECT doc_id, s, n, list_slice(words, s, s + n - 1) AS win FROM
 hits AS (SELECT DISTINCT d.doc_id, d.s, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.win = i.win),
 places AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hits),
 covered AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
-named AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits),
+named AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL),
 listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM named GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(l.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l.items, '')) AS items_sha256,
