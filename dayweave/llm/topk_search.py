@@ -30,18 +30,18 @@ LENGTH_STEP = 1.1
 #: Local cosine threshold from which coordinates prune, and how many of them.
 COORDINATE_FROM = 0.6
 COORDINATES = 4
-#: Components beyond this could take a product out of 64 bits.
-LARGEST = 2**28
+#: Whole numbers of this size and beyond are no 64-bit components.
+LARGEST = 2.0**63
 
 
 def quantize(df: DataFrame, scale: int = 64, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of every component as double.
 
     Rows whose id or vector is null, or that hold a null or non-finite
-    component, or one whose value leaves 2^28 and so could take a product out of 64 bits, are left out.
+    component, are left out, and so are components beyond 64 bits themselves.
     """
     x = F.transform(F.col(vector), lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    good = F.forall(F.col(vector), lambda c: F.coalesce(F.abs(c.cast("double")) * scale <= LARGEST, F.lit(False)))
+    good = F.forall(F.col(vector), lambda c: F.coalesce(F.abs(c.cast("double")) * scale < LARGEST, F.lit(False)))
     return df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & good).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("v"))
 
 
@@ -58,9 +58,28 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact products of whole numbers held as doubles."""
+    """Exact products of whole numbers held as doubles; those beyond 64 bits stand at its ends."""
     largest = max(np.abs(a).max(initial=0.0), 1.0) * max(np.abs(b).max(initial=0.0), 1.0) * a.shape[-1]
-    return a @ b.T if largest < 2**53 else a.astype(np.int64) @ b.astype(np.int64).T
+    if largest < 2**53:
+        return a @ b.T
+    if largest < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    # whole numbers of any size, for the few rows of a block that need them
+    wide = np.flatnonzero(np.abs(a).max(axis=-1, initial=0.0) >= 2**26) if a.ndim == 2 else None
+    if wide is not None and 0 < len(wide) < len(a):
+        out = np.empty((len(a), len(b)) if b.ndim == 2 else len(a), dtype=np.int64)
+        rest = np.setdiff1d(np.arange(len(a)), wide)
+        out[rest], out[wide] = _products(a[rest], b), _products(a[wide], b)
+        return out
+    whole = np.dot(_integers(a), _integers(b).T)
+    return np.vectorize(lambda x: min(max(x, -(2**63)), 2**63 - 1), otypes=[np.int64])(whole) if np.size(whole) else np.zeros(np.shape(whole), dtype=np.int64)
+
+
+def _integers(a: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers."""
+    out = np.empty(a.shape, dtype=object)
+    out.ravel()[:] = [int(x) for x in a.ravel().tolist()]
+    return out
 
 
 def _kth(scores: np.ndarray, k: int) -> np.ndarray:
@@ -94,7 +113,7 @@ def _search(qid: np.ndarray, q: np.ndarray, limit: np.ndarray, cid: np.ndarray,
         bound = part @ u[d] + left * np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", part, part)))
         rows = np.flatnonzero(bound * size * q_size[i] * (1 + 1e-9) >= safe[i])
         if len(rows):
-            _keep(qid[i], cid[rows], _products(c[rows], q[i]), limit[i], k, queries, found, scores)
+            _keep(qid[i], cid[rows], _products(c[rows], q[i]), safe[i], k, queries, found, scores)
     for a in range(0, len(by_length), 256):
         part = by_length[a : a + 256]
         lowest = np.min(np.where(safe[part] > 0, safe[part] / np.maximum(q_size[part], 1e-12), -np.inf))
@@ -102,7 +121,7 @@ def _search(qid: np.ndarray, q: np.ndarray, limit: np.ndarray, cid: np.ndarray,
         if n:
             products = _products(q[part], c[:n])
             for row, i in enumerate(part):
-                _keep(qid[i], cid[:n], products[row], limit[i], k, queries, found, scores)
+                _keep(qid[i], cid[:n], products[row], safe[i], k, queries, found, scores)
     return queries, found, scores
 
 
@@ -118,15 +137,15 @@ def _keep(qid: int, cid: np.ndarray, score: np.ndarray, limit: float, k: int, qu
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, *, query_block: int = QUERY_BLOCK, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products of each query.
 
-    Both inputs have (vec_id, v array<long>).  A query is never its own
-    candidate.  Ties go to the smaller id; fewer candidates give fewer rows;
+    Both inputs have (vec_id, v array<long>).  A product beyond 64 bits counts as the
+    end of their range.  A query is never its own candidate.  Ties go to the smaller id; fewer candidates give fewer rows;
     shorter vectors are filled with zeros; repeated ids are candidates once per
     row and queries once.  Candidates meet queries in blocks: a task holds one
     block of queries and one bucket.
     """
     spark = candidates.sparkSession
-    c = candidates.withColumn("squares", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).withColumn(
-        "length_class", F.when(F.col("squares") == 0, F.lit(-1)).otherwise(F.floor(F.log(F.col("squares").cast("double")) / (2 * math.log(LENGTH_STEP)))).cast("int")
+    c = candidates.withColumn("squares", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).withColumn(
+        "length_class", F.when(F.col("squares") == 0, F.lit(-1)).otherwise(F.floor(F.log("squares") / (2 * math.log(LENGTH_STEP)))).cast("int")
     )
     # one row per class of length: a few hundred at most, whatever the input
     classes = sorted(((r["length_class"], r["n"], r["w"]) for r in c.groupBy("length_class").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).collect()), reverse=True)

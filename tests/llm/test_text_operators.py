@@ -135,7 +135,7 @@ def test_language(spark, real, docs):
 
 def test_top_k(spark):
     rng = np.random.default_rng(3)
-    vectors = [rng.normal(0, s, 8).tolist() for s in rng.choice([0.1, 1, 5], 300)] + [[1.0] * 8] * 30 + [[0.0] * 8] * 3 + [[2e6] * 8]
+    vectors = [rng.normal(0, s, 8).tolist() for s in rng.choice([0.1, 1, 5], 300)] + [[1.0] * 8] * 30 + [[0.0] * 8] * 3 + [[2e6] * 8, [5e6] * 8, [1e12, -1e12, 1.0] + [0.0] * 5, [3e9] * 8, [-7e15] + [0.0] * 6 + [1.0], [0.5, 1e16] + [0.0] * 6]
     bad = [None, [1.0, None] * 4, [float("nan")] * 8, [float("inf")] * 8]
     rows = [(i, v, 7) for i, v in enumerate(vectors + bad)] + [(None, [1.0] * 8, 7)]
     df = topk_search.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>, low int"))
@@ -143,11 +143,12 @@ def test_top_k(spark):
     whole = [[int(np.floor(64 * x)) for x in v] for v in vectors]
     for sizes in ({}, {"query_block": 5, "bucket_rows": 40}):
         got = {}
-        for r in topk_search.top_k(df.where("vec_id % 20 = 0"), df, 20, **sizes).collect():
+        for r in topk_search.top_k(df.where("vec_id % 20 = 0 or vec_id > 330"), df, 20, **sizes).collect():
             got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-        assert len(got) == len(range(0, len(vectors), 20))
+        assert sorted(got) == [i for i in range(len(vectors)) if i % 20 == 0 or i > 330]
         for q, found in got.items():
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:20]
+            products = ((sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)
+            scores = sorted((-min(max(p, -(2**63)), 2**63 - 1), i) for p, i in products)[:20]
             assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
     assert topk_search.top_k(empty(df), df).count() == 0 and topk_search.top_k(df, empty(df)).count() == 0
     assert topk_search.top_k(df.where("vec_id = 0"), df.where("vec_id < 3"), 20).count() == 2
@@ -220,13 +221,49 @@ def brute_force_hits(text, items):
 def test_contamination(spark, docs):
     items = [(1, " ".join(f"wort{i}" for i in range(5, 18))), (2, "A B"), (10, "nie gesehen"), (3, None), (4, " "), (5, BASE), (None, "x"), (6, "漢字"), (6, "漢字")]
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc int")
-    named = [i for i in items if i[0] is not None]
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(docs, bench).collect())
-    assert got == sorted((i if i is not None else -1, *brute_force_hits(t, named)) for i, t in EDGE)
+    # the item without an id is hit, but cannot be listed
+    want = [(i if i is not None else -1, *brute_force_hits(t, items)) for i, t in EDGE]
+    assert got == sorted((i, n, hit, [x for x in seen if x != "None"]) for i, n, hit, seen in want)
+    assert any("None" in w[3] for w in want)
     assert decontaminate.report(empty(docs), bench).count() == 0
     assert decontaminate.report(docs, empty(bench)).where("n_hit > 0").count() == 0
     phrases = spark.createDataFrame([(["b", "a"],), (["a", "fehlt"],)], "window array<string>")
-    assert {r.doc for r in decontaminate.proximity_matches(docs, phrases, 3).collect()} == {5, 6}
+    index = decontaminate.index_for(docs, phrases)
+    near = decontaminate.proximity_matches(index, phrases, 3).join(decontaminate.documents_of(index), "uid")
+    assert {r.id for r in near.select("doc.id").collect()} == {5, 6}
+
+
+def test_contamination_without_broadcast(spark, docs, monkeypatch):
+    """Terms, anchors and documents beyond the broadcast bound are joined by a shuffle."""
+    bench = spark.createDataFrame([(1, BASE), (2, "a b")], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, decontaminate.report(docs, bench).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_contamination_splits_every_text_once(spark, monkeypatch):
+    plans = []
+    written = decontaminate.common.written
+    monkeypatch.setattr(decontaminate.common, "written", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df))[1])
+    bench = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    decontaminate.report(docs, bench).count()
+    assert sum(p.count("regexp_extract_all(translate(text") for p in plans) == 1
+
+
+def test_contamination_in_a_long_text(spark):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"wort{i}" for i in range(30))
+    text = " ".join(f"w{i}" for i in rng.integers(0, 300, 150_000)) + " " + passage + " " + "x" * 500_000
+    docs = spark.createDataFrame([(1, text), (2, passage + " end")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()}
+    assert got == {1: (150_031, 30, ["7"]), 2: (31, 30, ["7"])}
 
 
 def brute_force_lines(rows, least):
