@@ -18,8 +18,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (no letter in the text) and writes the found one to ``lang``."""
+    """Drops documents without a letter in their text and writes the found language to ``lang``.
+
+    Where no language could be learned, documents with letters stay as they are.
+    """
     prototypes = language_id.learn(docs.where(~language_id.held_out()))
+    if not prototypes:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(*COLUMNS)
     found = language_id.identify(docs.select(*COLUMNS), prototypes)
     kept = found.where(F.col("lang_pred") != language_id.UNDETERMINED)
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
