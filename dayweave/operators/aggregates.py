@@ -62,8 +62,8 @@ def usable_ratio(main: str, other: str) -> Column:
 
 def median_ratio(df: DataFrame, keys: Sequence[str], main: str, other: str) -> DataFrame:
     """Median of the usable daily ratios per key."""
-    value = usable_ratio(main, other)
-    return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("ratio"))
+    rows = df.select(*keys, usable_ratio(main, other).alias("_ratio"))
+    return ordered.exact_quantiles(rows, list(keys), "_ratio", {"ratio": 0.5}).drop("n_values")
 
 
 def mean_ratio(df: DataFrame, keys: Sequence[str], main: str, other: str, start=None, end=None) -> DataFrame:
@@ -147,28 +147,15 @@ def confusion_counts(df: DataFrame, truth: str, guess: str, labels: Sequence[str
     return rows.groupBy(truth).pivot(guess, list(labels)).agg(F.count(F.lit(1))).fillna(0)
 
 
-def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10, bounded: bool = False) -> DataFrame:
-    """Quartiles and spread of y in equal x bins over [0, max x).
-
-    By default a bin may be of any size: the quartiles come from the two-level
-    exact quantile, which never gathers a bin in one task.  ``bounded`` says
-    that a key is one day-grain series, so a plain percentile is enough.
-    """
+def binned_summary(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10) -> DataFrame:
+    """Quartiles and spread of y in equal x bins over [0, max x); a bin may be of any size."""
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top"))
     rows = ordered.attach(df, keys, top)
     width = F.col("_top") / F.lit(float(bins))
     rows = rows.withColumn("bin", F.floor(F.try_divide(F.col(x).cast("double"), width)).cast("int"))
     rows = rows.where((F.col(x) >= 0) & (F.col("bin") < bins) & F.col(y).isNotNull())
-    if bounded:
-        return rows.groupBy(*keys, "bin").agg(
-            F.count(y).alias("n_values"),
-            *[F.percentile(y, F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))],
-            F.stddev_pop(y).alias("sd"),
-        )
-    quart = ordered.exact_quantiles(rows, keys + ["bin"], y, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    spread = rows.groupBy(*keys, "bin").agg(F.stddev_pop(y).alias("sd"))
-    return quart.join(spread, keys + ["bin"])
+    return ordered.exact_quantiles(rows, keys + ["bin"], y, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, {"sd": F.stddev_pop(y)})
 
 
 def histogram_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: int = 10) -> DataFrame:

@@ -8,12 +8,12 @@ on a matrix as wide as the column list.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -308,7 +308,8 @@ def train_forest(
 ):
     """Split 80/20 twice, search tree count and depth by cross-validation.
 
-    Returns (model, confusion counts on the validation part, importances).
+    Returns (model, confusion counts on the validation part, importances,
+    mean accuracy over the folds per tree count and depth).
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -329,10 +330,13 @@ def train_forest(
         parallelism=parallelism,
         seed=seed,
     )
-    model = search.fit(train).bestModel
+    found = search.fit(train)
+    model = found.bestModel
     confusion = model.transform(check).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     weights = [(c, float(w)) for c, w in zip(features, model.featureImportances.toArray(), strict=True)]
-    return model, confusion, spark.createDataFrame(weights, "variable string, importance double")
+    scores = [(p[forest.numTrees], p[forest.maxDepth], float(a)) for p, a in zip(grid, found.avgMetrics, strict=True)]
+    importances = spark.createDataFrame(weights, "variable string, importance double")
+    return model, confusion, importances, spark.createDataFrame(scores, "trees int, depth int, accuracy double")
 
 
 def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
@@ -354,41 +358,92 @@ def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
     return out.withColumn("_i", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_o"), offset
 
 
-def shadow_selection(df: DataFrame, features: Sequence[str], label: str = "pain", rounds: int = 10, trees: int = 20, depth: int = 5, seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """Features that beat the best shuffled copy more often than chance.
+def permuted(i: Column, n: int, key: Column, rounds: int = 4) -> Column:
+    """Place of row ``i`` (0 to n - 1) under a pseudo-random permutation of n rows.
 
-    A shadow column is the real one under a random affine permutation of the
-    row numbers - an equi join, no global sort.
+    A Feistel network over the bits of the row number, keyed by ``key``: nothing is
+    drawn, stored or sorted, and any row is placed by itself.  Places outside
+    0 to n - 1 are walked on along their cycle; the domain is below 2 n, so 128
+    steps do not end inside only once in 2^128 rows.
     """
+    bits = max(2, (max(n, 1) - 1).bit_length())
+    low = bits // 2
+    low_mask, high_mask = (F.lit((1 << b) - 1).cast("long") for b in (low, bits - low))
+
+    def half(s: Column, r: Column) -> Column:
+        high, under = s["high"], s["under"]
+        return F.when(
+            r % 2 == 0, F.struct(high.bitwiseXOR(F.xxhash64(key, r, under).bitwiseAND(high_mask)).alias("high"), under.alias("under"))
+        ).otherwise(F.struct(high.alias("high"), under.bitwiseXOR(F.xxhash64(key, r, high).bitwiseAND(low_mask)).alias("under")))
+
+    def network(x: Column) -> Column:
+        start = F.struct(F.shiftright(x, low).alias("high"), x.bitwiseAND(low_mask).alias("under"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, half, lambda s: F.shiftleft(s["high"], low).bitwiseOR(s["under"]))
+
+    walk = F.sequence(F.lit(0), F.lit(128))
+    return F.aggregate(walk, i.cast("long"), lambda x, step: F.when((step > 0) & (x < n), x).otherwise(network(x)))
+
+
+def _binomial_tail(hits: int, rounds: int) -> float:
+    return sum(math.comb(rounds, i) for i in range(hits, rounds + 1)) / 2.0**rounds
+
+
+def sequential_verdict(hits: int, rounds: int, features: int, alpha: float = 0.05) -> str | None:
+    """confirmed, rejected or, as yet, neither, after some rounds.
+
+    One binomial test per feature and look; the level is shared out over the
+    features and the looks so far.
+    """
+    level = alpha / (features * rounds)
+    if _binomial_tail(hits, rounds) <= level:
+        return "confirmed"
+    return "rejected" if _binomial_tail(rounds - hits, rounds) <= level else None
+
+
+def _with_shadows(rows: DataFrame, n: int, features: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """Every feature's values once more in a random order per seed, by one join for all of them."""
+    names = [f"shadow_{r}_{c}" for r in range(len(seeds)) for c in features]
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    keys = F.array(*[F.lit(s).cast("long") for s in seeds])
+    long = rows.select("_i", values.alias("_x"), F.posexplode(keys).alias("_r", "_s")).select("_i", "_r", "_s", F.posexplode("_x").alias("_k", "_v"))
+    moved = long.select(permuted(F.col("_i"), n, F.col("_s") + F.col("_k")).alias("_i"), (F.col("_r") * len(features) + F.col("_k")).alias("_n"), "_v")
+    shadows = moved.groupBy("_i").agg(*[F.max(F.when(F.col("_n") == i, F.col("_v"))).alias(c) for i, c in enumerate(names)])
+    return rows.join(shadows, "_i")
+
+
+def shadow_selection(df: DataFrame, features: Sequence[str], label: str = "pain", max_rounds: int = 100, trees: int = 20, depth: int = 5, seed: int = 42, alpha: float = 0.05, together: int = 4) -> DataFrame:
+    """``variable, hits, rounds, verdict``: features that beat the best shuffled copy more often than chance.
+
+    Rounds go on until every feature is decided (see ``sequential_verdict``);
+    ``rounds`` is when that was, and ``hits`` how often it had won by then.  A feature still
+    open after ``max_rounds`` is tentative.  ``together`` rounds share one join for their
+    shadows and are fitted side by side.
+    """
+    from multiprocessing.pool import ThreadPool
+
     from pyspark.ml.classification import RandomForestClassifier
 
-    rng = random.Random(seed)
     features = list(features)
     rows, n = _numbered(df.select(*features, label).dropna())
-    hits = dict.fromkeys(features, 0)
-    for _ in range(rounds):
-        wide = rows
-        for c in features:
-            step = rng.randrange(1, max(n, 2))
-            while math.gcd(step, max(n, 1)) != 1:
-                step = rng.randrange(1, max(n, 2))
-            shift = rng.randrange(max(n, 1))
-            moved = rows.select(F.pmod(F.col("_i") * step + shift, F.lit(max(n, 1))).alias("_i"), F.col(c).alias(f"shadow_{c}"))
-            wide = wide.join(moved, "_i")
-        names = features + [f"shadow_{c}" for c in features]
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=rng.randrange(1 << 30)).fit(_assembled(wide, names, label))
-        weights = model.featureImportances.toArray()
-        bar = max(weights[len(features) :])
-        for c, w in zip(features, weights, strict=False):
-            hits[c] += int(w > bar)
-
-    def tail(k: int) -> float:
-        return sum(math.comb(rounds, i) for i in range(k, rounds + 1)) / 2.0**rounds
-
-    def verdict(k: int) -> str:
-        if tail(k) * len(features) <= alpha:
-            return "confirmed"
-        return "rejected" if tail(rounds - k) * len(features) <= alpha else "tentative"
-
-    table = [(c, k, verdict(k)) for c, k in hits.items()]
-    return df.sparkSession.createDataFrame(table, "variable string, hits int, verdict string")
+    rows = cut_lineage(rows)
+    hits, decided, done = dict.fromkeys(features, 0), {}, 0
+    while n and done < max_rounds and len(decided) < len(features):
+        numbers = range(done + 1, min(done + together, max_rounds) + 1)
+        wide = cut_lineage(_with_shadows(rows, n, features, [seed + r * (len(features) + 1) for r in numbers]))
+
+        @inheritable_thread_target(df.sparkSession)
+        def importances(i: int, wide: DataFrame = wide, numbers: range = numbers) -> np.ndarray:
+            names = features + [f"shadow_{i}_{c}" for c in features]
+            return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed + numbers[i]).fit(_assembled(wide, names, label)).featureImportances.toArray()
+
+        with ThreadPool(len(numbers)) as pool:
+            found = pool.map(importances, range(len(numbers)))
+        for done, weights in zip(numbers, found, strict=True):
+            bar = max(weights[len(features) :])
+            for c, w in zip(features, weights, strict=False):
+                if c not in decided:
+                    hits[c] += int(w > bar)
+                    if verdict := sequential_verdict(hits[c], done, len(features), alpha):
+                        decided[c] = (done, verdict)
+    table = [(c, k, *decided.get(c, (done, "tentative"))) for c, k in hits.items()]
+    return df.sparkSession.createDataFrame(table, "variable string, hits int, rounds int, verdict string")

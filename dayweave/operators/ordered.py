@@ -134,39 +134,43 @@ def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[st
     return _neighbour(df, keys, order, cols, bucket, suffix, "before")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], pieces: int = 32) -> DataFrame:
-    """Exact linear-interpolated quantiles of groups of any size.
-
-    Values are first counted per distinct value (combined map-side).  The
-    counts are then accumulated with :func:`running_sum` over ``pieces`` value
-    ranges of about equal weight, whose limits are a fixed-size approximate
-    sketch of the group, so no task holds a whole group.  The limits only place
-    the work; the result does not depend on them.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], extra: dict[str, Column] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size, with ``n_values`` and ``extra`` aggregates.
+
+    A first pass keeps a mergeable sketch per group, whose values at ranks a little
+    below and above a quantile surely enclose it.  A second pass counts what lies
+    under such a bracket and sorts only what lies inside: 4 / ``accuracy`` of a group.  Rows
+    are never shuffled for it; both passes combine before they send.  A
+    group of at most ``accuracy`` values is all bracket.  Groups without a value have
+    NULL quantiles.
     """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    sketch = known.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, F.lit(10 * pieces)).alias("_cuts"), F.count(F.lit(1)).alias("_total")
-    )
-    placed = attach(counts, keys, sketch)
-    place = F.size(F.filter("_cuts", lambda c: c <= F.col(value))).cast("long")
-    placed = placed.select(*keys, value, "_n", "_total", place.alias(BUCKET))
-    ranked = scan(placed, keys, [value], F.col(BUCKET), sums={"_n_hi": "_n"})
-    lo = F.col("_n_hi") - F.col("_n")
-    picks = []
-    for name, p in probs.items():
-        target = (F.col("_total") - 1) * F.lit(float(p))
-        below, above = F.floor(target), F.ceil(target)
-        picks += [
-            F.max(F.when((lo <= below) & (below < F.col("_n_hi")), F.col(value))).alias(f"_{name}_lo"),
-            F.max(F.when((lo <= above) & (above < F.col("_n_hi")), F.col(value))).alias(f"_{name}_hi"),
-        ]
-    out = ranked.groupBy(*keys).agg(F.max("_total").alias("n_values"), *picks)
-    for name, p in probs.items():
-        target = (F.col("n_values") - 1) * F.lit(float(p))
-        part = target - F.floor(target)
-        out = out.withColumn(
-            name, F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * part
-        ).drop(f"_{name}_lo", f"_{name}_hi")
-    return out
+    keys, v, reach = list(keys), F.col(value).cast("double"), 2.0 / accuracy
+    around = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs.values() for d in (-reach, reach)])
+    sketch = df.groupBy(*keys).agg(F.percentile_approx(v, around, F.lit(accuracy)).alias("_cuts"), F.count(v).alias("n_values"), *[c.alias(n) for n, c in (extra or {}).items()])
+    placed = attach(df.where(v.isNotNull()).select(*keys, v.alias("_v")), keys, sketch.select(*keys, "_cuts", "n_values"))
+
+    def bracket(i: int) -> Column:
+        low, high = F.get("_cuts", F.lit(2 * i)), F.get("_cuts", F.lit(2 * i + 1))
+        whole = F.col("n_values") <= accuracy
+        under = ~whole & (F.col("_v") < low)
+        return F.struct(F.lit(i).alias("_q"), F.when(~under, F.col("_v")).alias("_value"), (whole | (F.col("_v") <= high)).alias("_in"))
+
+    brackets = F.filter(F.array(*[bracket(i) for i in range(len(probs))]), lambda b: b["_in"])
+    counts = placed.select(*keys, "n_values", F.inline(brackets)).groupBy(*keys, "n_values", "_q", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys, "_q").orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_high", F.sum("_n").over(upto))
+
+    def at(i: int, rank: Column) -> Column:
+        hit = (F.col("_q") == i) & (F.col("_high") - F.col("_n") <= rank) & (rank < F.col("_high"))
+        return F.max(F.when(hit, F.col("_value")))
+
+    picks = {}
+    for i, (name, p) in enumerate(probs.items()):
+        rank = (F.col("n_values") - 1) * F.lit(float(p))
+        picks |= {f"_{name}_a": at(i, F.floor(rank)), f"_{name}_b": at(i, F.ceil(rank)), f"_{name}_part": F.max(rank - F.floor(rank))}
+    found = ranked.groupBy(*keys).agg(*[c.alias(n) for n, c in picks.items()])
+    out = attach(sketch.drop("_cuts"), keys, found, "left")
+    for name in probs:
+        a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+        out = out.withColumn(name, a + (b - a) * F.col(f"_{name}_part"))
+    return out.drop(*picks)

@@ -127,12 +127,9 @@ def sequence_traces(df: DataFrame, keys: Sequence[str], days: int = 20) -> DataF
     )
 
 
-def outcome_by_days(df: DataFrame, keys: Sequence[str], bins: int = 10, pooled: bool = False) -> DataFrame:
-    """Quartiles and spread of the pain shift per days-since-warning bin.
-
-    ``pooled`` says that a key holds many series, so bins may be of any size.
-    """
-    return binned_summary(df, keys, "days_since", "pain_shift", bins, bounded=not pooled)
+def outcome_by_days(df: DataFrame, keys: Sequence[str], bins: int = 10) -> DataFrame:
+    """Quartiles and spread of the pain shift per days-since-warning bin."""
+    return binned_summary(df, keys, "days_since", "pain_shift", bins)
 
 
 def all_warnings(df: DataFrame, keys: Sequence[str], head: int, rise_only: bool = True) -> DataFrame:

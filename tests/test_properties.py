@@ -332,8 +332,45 @@ def test_two_level_scan(spark):
     same(got["l"].astype(float), pdf.v.ffill())
     same(got["b"].astype(float), pdf.v.ffill().shift(1))
     same(got["a"].astype(float), pdf.v.bfill().shift(-1))
-    quart = ordered.exact_quantiles(df, ["k"], "v", {"q": 0.25, "m": 0.5}, pieces=8).first()
-    same([quart["q"], quart["m"]], np.nanquantile(pdf.v, [0.25, 0.5]))
+
+
+def test_permutation_and_sequential_verdicts(spark):
+    for n in (1, 2, 5, 64, 65, 1000):
+        places = [r.p for r in spark.range(n).select(md.permuted(F.col("id"), n, F.lit(7)).alias("p")).collect()]
+        assert sorted(places) == list(range(n))
+        other = [r.p for r in spark.range(n).select(md.permuted(F.col("id"), n, F.lit(8)).alias("p")).collect()]
+        assert n < 64 or (other != places and places != list(range(n)) and abs(np.corrcoef(places, range(n))[0, 1]) < 0.4)
+    assert md.sequential_verdict(3, 3, 5) is None
+    assert md.sequential_verdict(15, 15, 5) == "confirmed" and md.sequential_verdict(0, 15, 5) == "rejected"
+    assert all(md.sequential_verdict(k // 2, k, 5) is None for k in range(1, 200))
+
+
+def test_shadow_selection_finds_what_was_planted(spark):
+    rng = np.random.default_rng(31)
+    rows = [(float(x), float(rng.normal()), float(rng.integers(0, 3)), int(x + 0.05 * rng.normal() > 0)) for x in rng.normal(0, 1, 300)]
+    df = spark.createDataFrame(rows, "strong double, noise double, level double, pain int")
+    got = {r.variable: r for r in md.shadow_selection(df, ["strong", "noise", "level"], max_rounds=60, trees=5, depth=3, together=10).collect()}
+    assert got["strong"].verdict == "confirmed" and got["strong"].hits == got["strong"].rounds
+    assert got["noise"].verdict != "confirmed" and got["level"].verdict != "confirmed"
+    assert md.shadow_selection(df.limit(0), ["strong"]).first().verdict == "tentative"
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(12)
+    groups = {"ties": rng.integers(0, 9, 3000) * 1.0, "wide": np.exp(rng.normal(0, 40, 5000)), "few": rng.normal(0, 1, 7), "one": np.array([3.0]), "same": np.full(900, 2.5), "none": np.array([np.nan])}
+    rows = [(k, None if np.isnan(x) else float(x), 1) for k, v in groups.items() for x in v] + [("ties", None, 1)] * 5
+    df = spark.createDataFrame(rows, "k string, v double, _q int")
+    probs = {"low": 0.0, "q": 0.25, "m": 0.5, "u": 0.9, "high": 1.0}
+    for accuracy in (100, 500, 10_000):
+        got = {r.k: r for r in ordered.exact_quantiles(df, ["k"], "v", probs, {"rows": F.count(F.lit(1))}, accuracy).collect()}
+        for k, v in groups.items():
+            if k == "none":
+                assert got[k]["m"] is None and got[k]["n_values"] == 0 and got[k]["rows"] == 1
+            else:
+                np.testing.assert_allclose([got[k][n] for n in probs], np.quantile(v, list(probs.values())), rtol=1e-12)
+        every = np.concatenate([v for k, v in groups.items() if k != "none"])
+        total = ordered.exact_quantiles(df, [], "v", probs, accuracy=accuracy).first()
+        np.testing.assert_allclose([total[n] for n in probs], np.quantile(every, list(probs.values())), rtol=1e-12)
 
 
 def test_p_values(spark):
