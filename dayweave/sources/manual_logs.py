@@ -31,7 +31,7 @@ def carry_dates(cells: DataFrame, order: Sequence[str] = LINE_ORDER, keys: Seque
     return out.drop(*[f"_{p}" for p in parts], *[f"_c{p}" for p in parts])
 
 
-def pain_columns(rows: DataFrame, label: str, value: str, columns: Mapping[str, str], other: str, order: Sequence[str] = LINE_ORDER) -> DataFrame:
+def pain_columns(rows: DataFrame, label: str, value: str, columns: Mapping[str, str], other: str, order: Sequence[str] = LINE_ORDER, keys: Sequence[str] = ()) -> DataFrame:
     """One column per region; unknown labels go to ``other``; last write wins."""
     from dayweave.functions.expressions import lookup
 
@@ -39,10 +39,10 @@ def pain_columns(rows: DataFrame, label: str, value: str, columns: Mapping[str,
     names = list(dict.fromkeys([*columns.values(), other]))
     number = F.col(value).try_cast("double")
     rows = rows.where(F.col("day").isNotNull()).withColumns({"_t": target, "_v": number})
-    return rows.groupBy("day").agg(*[F.max_by("_v", F.when(F.col("_t") == n, F.struct(*order))).alias(n) for n in names])
+    return rows.groupBy(*keys, "day").agg(*[F.max_by("_v", F.when(F.col("_t") == n, F.struct(*order))).alias(n) for n in names])
 
 
-def sport_flags(rows: DataFrame, label: str, flags: Mapping[str, str], details: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+def sport_flags(rows: DataFrame, label: str, flags: Mapping[str, str], details: Mapping[str, tuple[str, str]] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """0/1 column per activity, and numeric details with bad cells as 0.
 
     ``details`` maps a new column to (activity, cell).
@@ -51,27 +51,27 @@ def sport_flags(rows: DataFrame, label: str, flags: Mapping[str, str], details:
     for name, (activity, cell) in (details or {}).items():
         value = F.when(F.col(label) == activity, numeric_or_zero(cell))
         aggs.append(F.coalesce(F.sum(value), F.lit(0.0)).alias(name))
-    return rows.where(F.col("day").isNotNull()).groupBy("day").agg(*aggs)
+    return rows.where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(*aggs)
 
 
-def eye_activities(rows: DataFrame, screen: Sequence[str], driving: str, scooter: Sequence[str], order: Sequence[str] = LINE_ORDER) -> DataFrame:
+def eye_activities(rows: DataFrame, screen: Sequence[str], driving: str, scooter: Sequence[str], order: Sequence[str] = LINE_ORDER, keys: Sequence[str] = ()) -> DataFrame:
     """Screen total, driving and scooter minutes per day; blanks are 0."""
 
     def total(cells: Sequence[str]) -> Column:
         return sum((numeric_or_zero(c) for c in cells), F.lit(0.0))
 
     last = F.struct(*order)
-    return rows.where(F.col("day").isNotNull()).groupBy("day").agg(
+    return rows.where(F.col("day").isNotNull()).groupBy(*keys, "day").agg(
         F.max_by(total(screen), last).alias("eye_total"),
         F.max_by(numeric_or_zero(driving), last).alias("driving"),
         F.max_by(total(scooter), last).alias("scooter"),
     )
 
 
-def mood_days(rows: DataFrame, score: Column, order: Sequence[str] = LINE_ORDER) -> DataFrame:
+def mood_days(rows: DataFrame, score: Column, order: Sequence[str] = LINE_ORDER, keys: Sequence[str] = ()) -> DataFrame:
     """(day, mood): the last known label of a day as a number."""
     rows = rows.withColumn("_s", score).where(F.col("day").isNotNull() & F.col("_s").isNotNull())
-    return rows.groupBy("day").agg(F.max_by("_s", F.struct(*order)).alias("mood"))
+    return rows.groupBy(*keys, "day").agg(F.max_by("_s", F.struct(*order)).alias("mood"))
 
 
 # --- typed log tables -----------------------------------------------------------------

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayweave.operators.aggregates import elevation_gain
 from dayweave.operators.ordered import time_bucket
-from dayweave.sources.files import date_in_name, read_lines
+from dayweave.sources.files import date_in_name, person_in_path, person_keys, read_lines
 
 ACTIVITY_SCHEMA = """_Sport STRING, Id TIMESTAMP, Lap ARRAY<STRUCT<_StartTime: TIMESTAMP, Calories: DOUBLE,
  DistanceMeters: DOUBLE, TotalTimeSeconds: DOUBLE,
@@ -28,7 +30,7 @@ def _climb(points: Column) -> tuple[Column, Column]:
     return total(1), total(-1)
 
 
-def read_activities(spark: SparkSession, path: str) -> DataFrame:
+def read_activities(spark: SparkSession, path: str, person: str | None = None) -> DataFrame:
     """(day, elevation_gain, elevation_loss, calories) per activity file.
 
     Other file types in the folder are skipped; altitude may be missing.
@@ -49,7 +51,9 @@ def read_activities(spark: SparkSession, path: str) -> DataFrame:
     calories = F.aggregate(
         F.transform(laps, lambda lap: F.coalesce(lap["Calories"], F.lit(0.0))), F.lit(0.0), lambda acc, v: acc + v
     )
+    who = [person_in_path(person).alias("person")] if person else []
     return raw.withColumn("_heights", heights).select(
+        *who,
         F.col("_Sport").alias("sport"),
         F.to_date("Id").alias("day"),
         gain.alias("elevation_gain"),
@@ -58,17 +62,24 @@ def read_activities(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def daily_activities(activities: DataFrame) -> DataFrame:
-    return activities.groupBy("day").agg(
+def daily_activities(activities: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return activities.groupBy(*keys, "day").agg(
         *[F.sum(c).alias(c) for c in ("elevation_gain", "elevation_loss", "calories")]
     )
 
 
-def read_track_points(spark: SparkSession, path: str) -> DataFrame:
-    """(file, time, lon, lat, elevation, lat_lon) of all tracks and segments."""
+def read_track_points(spark: SparkSession, path: str, person: str | None = None) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", "trkpt").schema(POINT_SCHEMA).load(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("file"))
+    raw = raw.withColumn("person", person_in_path(person, "file")) if person else raw
+    return track_points(raw, person_keys(person))
+
+
+def track_points(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(file, time, lon, lat, elevation, lat_lon) of all tracks and segments."""
     return raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        *keys,
+        "file",
         "time",
         F.col("_lon").alias("lon"),
         F.col("_lat").alias("lat"),
@@ -77,20 +88,26 @@ def read_track_points(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def track_gains(points: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """(file, start_time, elevation_gain) per track file."""
+def track_gains(points: DataFrame, bucket_seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
+    """(file, start_time, elevation_gain) per track file; points of one second in the order of their heights."""
+    piece = [*keys, "file"]
     known = points.where(F.col("elevation").isNotNull())
-    gains = elevation_gain(known, ["file"], ["time"], "elevation", time_bucket("time", bucket_seconds))
-    starts = points.groupBy("file").agg(F.min("time").alias("start_time"))
-    out = starts.join(gains, "file", "left")
-    return out.select("file", "start_time", F.coalesce("gain", F.lit(0.0)).alias("elevation_gain"))
+    gains = elevation_gain(known, piece, ["time", "elevation"], "elevation", time_bucket("time", bucket_seconds))
+    starts = points.groupBy(*piece).agg(F.min("time").alias("start_time"))
+    out = starts.join(gains, piece, "left")
+    return out.select(*piece, "start_time", F.coalesce("gain", F.lit(0.0)).alias("elevation_gain"))
+
+
+def daily_track_gain(gains: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return gains.groupBy(*keys, F.to_date("start_time").alias("day")).agg(F.sum("elevation_gain").alias("elevation_gain"))
 
 
-def daily_track_gain(gains: DataFrame) -> DataFrame:
-    return gains.groupBy(F.to_date("start_time").alias("day")).agg(F.sum("elevation_gain").alias("elevation_gain"))
+def read_altitude_traces(spark: SparkSession, path: str, skip: int = 6, field: int = 11, person: str | None = None) -> DataFrame:
+    lines = read_lines(spark, path, person)
+    return altitude_traces(lines.withColumn("day", date_in_name()), skip, field, person_keys(person))
 
 
-def read_altitude_traces(spark: SparkSession, path: str, skip: int = 6, field: int = 11) -> DataFrame:
+def altitude_traces(lines: DataFrame, skip: int = 6, field: int = 11, keys: Sequence[str] = ()) -> DataFrame:
     """(day, gain) from text traces dated by file name.
 
     The head lines and the last two points are dropped, heights must lie
@@ -98,7 +115,6 @@ def read_altitude_traces(spark: SparkSession, path: str, skip: int = 6, field: i
     """
     from pyspark.sql import Window
 
-    lines = read_lines(spark, path)
     order = [F.col("_block"), F.col("_line")]
     w = Window.partitionBy("_file").orderBy(*order)
     back = Window.partitionBy("_file").orderBy(*[c.desc() for c in order])
@@ -107,7 +123,7 @@ def read_altitude_traces(spark: SparkSession, path: str, skip: int = 6, field: i
     rows = rows.withColumn("z", height).where((F.col("z") > 1) & (F.col("z") < 10000))
     rows = rows.withColumn("_r", F.row_number().over(back)).where(F.col("_r") > 2)
     step = F.col("z") - F.lag("z").over(w)
-    rows = rows.withColumn("_step", step).withColumn("day", date_in_name())
-    return rows.groupBy("_file", "day").agg(
+    rows = rows.withColumn("_step", step)
+    return rows.groupBy("_file", *keys, "day").agg(
         F.coalesce(F.sum(F.greatest("_step", F.lit(0.0))), F.lit(0.0)).alias("gain")
     ).drop("_file")

@@ -169,3 +169,45 @@ def test_log_table_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "stage")).where("entity = 'p'").count() == 5
     sinks.write_result(sliced, str(tmp_path / "result"))
     assert spark.read.option("header", "true").csv(str(tmp_path / "result")).count() == 2
+
+
+def test_two_people_in_one_folder(spark, tmp_path):
+    """Each reader finds in the path whose file it reads; days and carried values of two people stay apart."""
+    who = r"/(ann|bob)/"
+    gpx = '<gpx><trk><trkseg><trkpt lat="1" lon="2"><ele>{0}</ele><time>2020-05-03T10:00:00Z</time></trkpt><trkpt lat="1" lon="2"><ele>{1}</ele><time>2020-05-03T10:01:00Z</time></trkpt></trkseg></trk></gpx>'
+    for n, name in ((1, "ann"), (3, "bob")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "tracker.csv").write_text(f'Date,Calories\n"03-05-2020","{n},000","{n * 10}","2,5","0","0","0","0","0","0"\n')
+        (folder / "moves_20200503.csv").write_text(f"walking,{n}00\ntransport,9\nwalking,{n}50\n")
+        (folder / "phone.csv").write_text(f'head\n"Date","Usage time"\n2020-05-03,00:0{n}:30\n2020-05-0{3 + n},00:09:00\n2020-05-0{4 + n},00:01:00\n')
+        (folder / "gain.csv").write_text(f"day,cycling\n2020-05-03,{n}.5\n")
+        (folder / "diary.csv").write_text(f"Note {name},2020-05-03\n")
+        (folder / "tap.csv").write_text(f"timestamp,a,b\n2020-05-03 10:00:00,x,{name}\n")
+        (folder / "fit.json").write_text('{"activities-steps": [{"dateTime": "2020-05-03", "value": "%d"}]}' % n)
+        (folder / "heart-1.json").write_text('[{"dateTime": "05/03/20 10:00:00", "value": {"bpm": %d}}]' % (60 + n))
+        (folder / "UDSFile_1.json").write_text('[{"calendarDate": "2020-05-03", "totalSteps": %d}]' % (n * 1000))
+        (folder / "track.gpx").write_text(gpx.format(10, 10 + n))
+        (folder / "alt_20200503.txt").write_text("h\n" * 6 + "".join(f"{'x,' * 10}{100 + n * k}\n" for k in range(5)))
+    both = f"{tmp_path}/*"
+
+    def by_person(df, *cols):
+        return {r.person: tuple(r[c] for c in cols) if len(cols) > 1 else r[cols[0]] for r in df.collect()}
+
+    assert by_person(cx.read_tracker_days(spark, f"{both}/tracker.csv", who), "calories", "steps") == {"ann": (1000, 10), "bob": (3000, 30)}
+    assert by_person(cx.read_walking_days(spark, f"{both}/moves_*.csv", ["activity", "steps"], who), "steps") == {"ann": 150.0, "bob": 350.0}
+    phone = cx.read_phone_days(spark, f"{both}/phone.csv", who).collect()
+    assert sorted((r.person, str(r.day), r.minutes) for r in phone) == [("ann", "2020-05-03", 1), ("ann", "2020-05-04", 9), ("bob", "2020-05-03", 3), ("bob", "2020-05-06", 9)]
+    assert by_person(cx.read_stored_gain(spark, f"{both}/gain.csv", ["cycling"], who), "cycling") == {"ann": 1.5, "bob": 3.5}
+    assert by_person(cx.read_diary(spark, f"{both}/diary.csv", who), "text") == {"ann": "note ann", "bob": "note bob"}
+    assert by_person(cx.read_taps(spark, [f"{both}/tap.csv"], who), "label") == {"ann": "ann", "bob": "bob"}
+    assert by_person(jx.read_api_steps(spark, f"{both}/fit.json", who), "steps") == {"ann": 1.0, "bob": 3.0}
+    assert by_person(jx.read_intraday(spark, both, "heart", who), "value") == {"ann": 61.0, "bob": 63.0}
+    assert by_person(jx.read_device_summaries(spark, both, who), "steps") == {"ann": 1000.0, "bob": 3000.0}
+    points = tr.read_track_points(spark, f"{both}/track.gpx", who)
+    daily = tr.daily_track_gain(tr.track_gains(points, keys=["person"]), ["person"])
+    assert by_person(daily, "elevation_gain") == {"ann": 1.0, "bob": 3.0}
+    assert by_person(tr.read_altitude_traces(spark, f"{both}/alt_*.txt", person=who), "gain") == {"ann": 2.0, "bob": 6.0}
+    assert cx.read_diary(spark, f"{both}/diary.csv", r"/(carl)/").where("person IS NULL").count() == 2
+    found = fl.last_file(fl.find_files(spark, str(tmp_path), ".csv", "t").withColumn("person", fl.person_in_path(who, "path")), ["person"])
+    assert {r.person: r.path.rpartition("/")[2] for r in found.collect()} == {"ann": "tracker.csv", "bob": "tracker.csv"}
