@@ -66,11 +66,18 @@ def positional_index(corpus: DataFrame, terms: DataFrame, *, doc_id: str = "doc_
     its term is null where the first word is not among ``terms``.
     """
     rows = corpus.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("body"), words(F.col(text)).alias("words"))
-    beside = F.transform("words", lambda w, i: F.struct(w.alias("word"), _side(F.get("words", i - 1)).alias("left"), _side(F.get("words", i + 1)).alias("right")))
-    # outer: an inner explode would add a filter on the size of the words and so split every text again
-    spread = rows.select("uid", "id", "body", F.size("words").alias("n"), F.posexplode_outer(beside).alias("pos", "w"))
+    rows = rows.select("*", F.size("words").alias("n"))
     n_bytes = terms.agg(F.coalesce(F.sum(F.octet_length("word") + F.lit(24)), F.lit(0))).first()[0]
-    known = spread.select("uid", "id", "body", "n", F.coalesce("pos", F.lit(0)).alias("pos"), "w.*").join(_sized(terms.withColumn("term", _term(F.col("word"))), n_bytes), "word", "left")
+    terms = _sized(terms.withColumn("term", _term(F.col("word"))), n_bytes)
+    left, right = (_side(F.get("words", F.coalesce("pos", F.lit(0)) + d)) for d in (-1, 1))
+    # outer: an inner explode would add a filter on the size of the words and so split every text again
+    spread = rows.select("*", F.posexplode_outer("words").alias("pos", "word"))
+    if n_bytes <= BROADCAST_BYTES:
+        # nothing is shuffled, so neighbours are looked up for postings only
+        known = spread.join(terms, "word", "left").withColumns({"left": left, "right": right})
+    else:
+        known = spread.withColumns({"left": left, "right": right}).drop("words").join(terms, "word", "left")
+    known = known.withColumn("pos", F.coalesce("pos", F.lit(0)))
     head = F.col("pos") == 0
     kept = known.where(F.col("term").isNotNull() | head)
     doc = F.when(head, F.struct(F.col("id"), F.col("body")))
