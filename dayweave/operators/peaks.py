@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dayweave.operators import rolling as ro
-from dayweave.operators.ordered import spread
+from dayweave.operators.ordered import attach, spread
 from dayweave.operators.scaling import minmax, ordered, weighted_strain, whole
 
 
@@ -628,7 +628,10 @@ def best_shift(df: DataFrame, keys: Sequence[str], strain: str, pain: str, shift
 
 
 def additive_model(df: DataFrame, keys: Sequence[str], environment: Mapping[str, float], symptom: str, n: int = 7, lags: int = 15, low: float = 0.1, day: str = "day") -> DataFrame:
-    """Circular cross-correlation of a symptom with weighted environment terms."""
+    """Circular cross-correlation of a symptom with weighted environment terms.
+
+    Rows times lags only exist between a window and the partial sums behind it; they are never shuffled.
+    """
     keys = list(keys)
     w, o = whole(keys), ordered(keys, day)
 
@@ -648,9 +651,16 @@ def additive_model(df: DataFrame, keys: Sequence[str], environment: Mapping[str,
         minmax("_x", w).alias("x"),
         minmax("_y", w).alias("y"),
     )
-    moved = df.select(*keys, "y", "_n", F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"), F.col("pos").alias("_from"))
-    moved = moved.select(*keys, "lag", "y", F.pmod(F.col("_from") + F.col("lag"), F.col("_n")).alias("pos"))
-    pairs = moved.join(df.select(*keys, "pos", "x"), keys + ["pos"])
+    # the values of the lags before a day come with it, those before the first day from the end of the series
+    n, pos = F.col("_n"), F.col("pos")
+    behind = F.collect_list(F.struct("y")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(-(lags - 1), 0))
+    end = F.greatest(n - lags + 1, F.lit(0))
+    ends = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(pos >= end, F.struct("pos", "y")))).alias("_ends"))
+    near = attach(df.select(*keys, "pos", "x", "_n", behind.alias("_behind")), keys, ends)
+    unfolded = near.select(*keys, "pos", "x", "_n", "_behind", "_ends", F.explode(F.sequence(F.lit(0), F.lit(lags - 1))).alias("lag"))
+    back = F.get("_behind", (F.size("_behind") - 1 - F.col("lag")).cast("int"))["y"]
+    round_the_end = F.get("_ends", (F.pmod(pos - F.col("lag"), n) - end).cast("int"))["y"]
+    pairs = unfolded.select(*keys, "lag", "x", F.when(F.col("lag") <= pos, back).otherwise(round_the_end).alias("y"))
     curve = pairs.groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("cross"), F.corr("x", "y").alias("r"))
     return curve.groupBy(*keys).agg(
         F.max_by("lag", F.struct(F.col("cross"), -F.col("lag"))).alias("shift"),

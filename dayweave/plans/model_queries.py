@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dayweave.operators import events as ev
 from dayweave.operators import models as md
 from dayweave.plans.base import DAILY, daily, r, sql_normal_p
+from dayweave.plans import registry
 from dayweave.plans.registry import query
 
 K = ["entity"]
@@ -54,6 +55,19 @@ def m03(spark, sf):
     return ev.event_matrix(daily(spark, sf), K, "a", ["a", "b"], START, 3, 30, SPIKE).withColumn("event_num", F.col("event_num").cast("long"))
 
 
+@query(
+    "m03_changed_events",
+    f"""WITH m AS ({registry.ORACLES["m03_event_matrix"]}), same AS (SELECT entity, day_1 AS d FROM m WHERE a_0 = a_1),
+kept AS (SELECT * FROM m WHERE a_0 <> a_1 AND NOT EXISTS (SELECT 1 FROM same s WHERE s.entity = m.entity AND m.day_1 BETWEEN s.d + 1 AND s.d + 29))
+SELECT entity, event_num, a_1 - a_0 AS pain_change, b_0, b_1, num_pain_events FROM kept WHERE b_0 IS NOT NULL AND b_1 IS NOT NULL AND num_pain_events IS NOT NULL AND day_0 IS NOT NULL""",
+)
+def m03_changed(spark, sf):
+    """Events without those that follow an unchanged one, as a regression frame."""
+    matrix = ev.event_matrix(daily(spark, sf), K, "a", ["a", "b"], START, 3, 30, SPIKE).withColumn("event_num", F.col("event_num").cast("long"))
+    frame = ev.model_frame(ev.drop_unchanged(matrix, K, "a"), regression_on="a", drop_fields=["day"])
+    return frame.select("entity", "event_num", "pain_change", "b_0", "b_1", "num_pain_events")
+
+
 def frame(spark, sf):
     return ev.event_matrix(daily(spark, sf), K, "pain", ["a", "b"], START, 3, 30, 0.5)
 
