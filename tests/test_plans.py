@@ -21,6 +21,16 @@ def test_smoothing_grid_shuffles_once(series):
     assert plan(grid).count("Exchange hashpartitioning") == 1
 
 
+def test_sweep_measures_each_series_once(series):
+    """More thresholds add no shuffle, no join and no reading of a series."""
+    filters = [(m, b, k) for m in (7, 9) for b in (0, 60) for k in (5, 7)]
+    grid = pk.smooth_grid(series, ["entity"], {"a": 1.0, "b": 0.5}, "pain", filters).select("entity", "filter_id", "pos", "strain", "pain")
+    measured = pk.measure_extrema(grid, ["entity", "filter_id"], ["pain", "strain"])
+    for sets in ([(0.05, 2.0)], [(p / 100, w) for p in range(1, 10) for w in range(1, 10)]):
+        text = plan(pk.extrema_by_thresholds(measured, sets))
+        assert text.count("FlatMapGroupsInPandas") == 1 and text.count("Exchange hashpartitioning") == 2 and "Join" not in text
+
+
 def test_device_plan_shuffles_once(series):
     steps = [
         ("repair", ("2020-03-01", "2020-06-30"), "a", "b", "steps"),
