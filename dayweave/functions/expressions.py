@@ -31,15 +31,11 @@ def recode(label: str | Column, table: Mapping[str, str]) -> Column:
 
 def pain_recode(x: str | Column) -> Column:
     """Pain intensity to its effect score; NULL stays NULL."""
-    x = _c(x)
-    return (
-        F.when(x < 2.5, 1.0)
-        .when(x < 3, 2.0)
-        .when(x < 3.3, 4.0)
-        .when(x == 3.3, 7.0)
-        .when(x <= 3.5, 8.0)
-        .when(x.isNotNull(), 10.0)
-    )
+    x, out = _c(x), F
+    for limit, score in vocab.PAIN_BELOW:
+        out = out.when(x < limit, score)
+    (value, at), (limit, up_to) = vocab.PAIN_AT, vocab.PAIN_UP_TO
+    return out.when(x == value, at).when(x <= limit, up_to).when(x.isNotNull(), vocab.PAIN_BEYOND)
 
 
 def cap(x: str | Column, limit: float) -> Column:
@@ -76,30 +72,38 @@ def add_low_level(x: str | Column, low: float) -> Column:
 
 # --- activity and energy ---------------------------------------------------------
 
-def corrected_steps(steps, scooter, swim, cycle, per_minute: float = 37.0) -> Column:
+def corrected_steps(steps, scooter, swim, cycle, per_minute: float = vocab.SCOOTER_STEPS) -> Column:
     """Steps without scooter, swim and cycling artefacts, never below zero."""
     return F.greatest(_c(steps) - F.lit(per_minute) * _c(scooter) - _c(swim) - _c(cycle), F.lit(0.0))
 
 
-def active_calories(total, bmr, divisor: float = 4.19002) -> Column:
+def active_calories(total, bmr, divisor: float = vocab.CALORIE_UNIT) -> Column:
     """(total - basal) in kilocalories."""
     return (_c(total) - _c(bmr)) / F.lit(divisor)
 
 
-def active_calories_from_minutes(total, minutes, basal_per_day: float = 2039.0) -> Column:
+def active_calories_from_minutes(total, minutes, basal_per_day: float = vocab.BASAL_PER_DAY) -> Column:
     return _c(total) - F.lit(basal_per_day / 1440.0) * _c(minutes)
 
 
-def jump_calories(minutes, per_minute: float = 3.3) -> Column:
+def jump_calories(minutes, per_minute: float = vocab.JUMP_PER_MINUTE) -> Column:
     return F.lit(per_minute) * _c(minutes)
 
 
+def _shared(first: Column | None, parts: Mapping[str, Column], shares: Mapping[str, float]) -> Column:
+    out = first
+    for name, share in shares.items():
+        part = F.lit(share) * _c(parts[name])
+        out = part if out is None else out + part
+    return out
+
+
 def knee_calories(total, swim, climb, cliff, ski) -> Column:
-    return _c(total) - _c(swim) - 0.75 * _c(climb) + 0.5 * _c(cliff) - 0.25 * _c(ski)
+    return _shared(_c(total), {"swim": swim, "climb": climb, "cliff": cliff, "ski": ski}, vocab.KNEE_SHARES)
 
 
 def arm_calories(swim, climb, cycle, cliff, ski) -> Column:
-    return _c(swim) + 0.75 * _c(climb) + 0.1 * _c(cycle) + 0.5 * _c(cliff) + 0.25 * _c(ski)
+    return _shared(None, {"swim": swim, "climb": climb, "cycle": cycle, "cliff": cliff, "ski": ski}, vocab.ARM_SHARES)
 
 
 def activity_bucket(sport, sub_sport, name) -> Column:

@@ -144,3 +144,14 @@ NAMED_ACTIVITIES = {"cliff jumping": "cliff", "backcountry skiing": "ski"}
 
 # Tap-log labels merged before matching.
 TAP_RECODE = {"Alpi Ski": "Ski", "Down Ski": "Ski", "Mt Bike": "Cycling"}
+
+# Pain intensity to effect score: below a limit, at one value, up to a limit, and beyond.
+PAIN_BELOW = [(2.5, 1.0), (3.0, 2.0), (3.3, 4.0)]
+PAIN_AT, PAIN_UP_TO, PAIN_BEYOND = (3.3, 7.0), (3.5, 8.0), 10.0
+
+# Steps per minute on a scooter, joules per calorie as exported, basal calories per day, calories per minute of jumping.
+SCOOTER_STEPS, CALORIE_UNIT, BASAL_PER_DAY, JUMP_PER_MINUTE = 37.0, 4.19002, 2039.0, 3.3
+
+# Share of an activity's calories that goes to the knees (after the total) and to the arms.
+KNEE_SHARES = {"swim": -1.0, "climb": -0.75, "cliff": 0.5, "ski": -0.25}
+ARM_SHARES = {"swim": 1.0, "climb": 0.75, "cycle": 0.1, "cliff": 0.5, "ski": 0.25}

@@ -150,6 +150,7 @@ def curve_measures(curves: DataFrame, keys: Sequence[str], half: int = 30) -> Da
     return m.withColumn("balance", F.col("after") - F.col("before")).drop("_l", "_r")
 
 
+# Days after a day whose mean a bucket takes.
 LAG_BUCKETS = {
     "same_day": [0],
     "next_day": [1],
