@@ -37,6 +37,8 @@ SIDE_SUPPORT = 0.05
 MAIN_SHARE, COPY_SHARE = 0.5, 0.75
 #: Templates are broadcast up to this size; beyond it pages and templates are joined by a shuffle.
 BROADCAST_BYTES = 32_000_000
+#: Levels of nesting that a place spells out; what lies deeper is named by a hash of its way there.
+DEEP = 100
 #: Token counts held by a task before it passes them on.
 HELD_TOKENS = 200_000
 
@@ -47,7 +49,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements without text for readers.
-SILENT = frozenset("head title script style noscript template textarea select option button iframe object svg canvas audio video map math".split())
+SILENT = frozenset("head title script style noscript template textarea select option button iframe object svg canvas audio video map".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 SIDE = frozenset("nav aside footer form menu dialog".split())
 CLOSED_BY_SIBLING = {
@@ -69,7 +71,7 @@ SIDE_WORDS = re.compile(rf"(?:{_PLAIN_WORD}[_-])*{_SIDE_WORD}(?:[_-](?:{_SIDE_WO
 COMMENT_IDS = re.compile(r"comments?|comment[_-]?list|disqus(?:_thread)?|respond|replies", re.I)
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WHITE = re.compile(r"\s+")
 
@@ -77,14 +79,18 @@ _WHITE = re.compile(r"\s+")
 class Element:
     """``strong`` and ``weak`` say that tag or role, or else class or id, mark a part beside the article; ``side`` is set by ``parsed``."""
 
-    __slots__ = ("name", "label", "path", "parent", "head", "main", "strong", "weak", "side", "slot", "silent", "chars")
+    __slots__ = ("name", "label", "path", "stem", "depth", "parent", "head", "main", "strong", "weak", "side", "slot", "silent", "chars")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
         own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         role = own.get("role", "").lower()
         self.name, self.parent = name, parent
         self.label = name + "".join(f"{mark}{own[a]}" for a, mark in (("class", "."), ("role", "@")) if own.get(a))
+        self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{self.label}" if parent else self.label
+        if self.depth > DEEP:
+            self.path = f"{parent.stem}/{self.label}@~{hashlib.blake2b(self.path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+        self.stem = self.path if self.depth <= DEEP else parent.stem
         inside = bool(parent and parent.main)
         self.head = name in MAIN or role == "main"
         self.main = inside or self.head
@@ -276,7 +282,8 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html", support
 
     counted = common.arrow_map(rows, count, "host string, token string, pages long, times long, print_a long, print_b long, chars long, side long, different double")
     counted = counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in names))
-    counted = counted.where("token = '' or different > 1.5")  # a token of a single page is never a template token
+    # a token of a single page is never a template token; written, as the sums below read it twice
+    counted = common.written(counted.where("token = '' or different > 1.5"))
     totals = counted.where("token = ''").select("host", F.col("different").alias("all_pages"), F.col("chars").alias("all_chars"))
     # a share of the pages holds at most its inverse times the tokens of a mean page, so a host's row stays small
     frequent = counted.where("token <> ''").join(totals, "host").where(F.col("all_pages") > least_pages - 0.5).where(F.col("different") > F.col("all_pages") * F.lit(min(support, SIDE_SUPPORT)) - 1e-6)
@@ -368,8 +375,9 @@ def extract_text(page: str | None, template: Template = NO_TEMPLATE) -> str:
     The main slot is the template's; on a page without it, or if the template
     has none within the body, the page's own article and main elements, and
     without these the body.  Texts of the template are left out, unless nearly
-    all of a main slot repeats, which means copies; so are side parts.  Outside
-    articles, blocks that are mostly links are left out too.
+    all of a main slot repeats, which means copies; so are side parts.  Where the
+    whole body is read, blocks without a letter outside links are left out too.
+    Character references are decoded within a text node.
     """
     if not page:
         return ""
@@ -391,27 +399,23 @@ def extract_text(page: str | None, template: Template = NO_TEMPLATE) -> str:
 
     blocks: list[str] = []
     pieces: list[str] = []
-    linked = written = 0
     in_link = 0
-    own = False
+    own = has_main
 
     def end_block() -> None:
-        nonlocal linked, written, own
-        text = clean("".join(pieces))
-        if text and (own or linked * 2 <= written):
+        nonlocal own
+        text = _WHITE.sub(" ", "".join(pieces)).strip()
+        if text and own:
             blocks.append(text)
         pieces.clear()
-        linked = written = 0
-        own = False
+        own = has_main
 
     for k, (kind, element, name, text) in enumerate(found):
         if kind == "text":
             if k in repeated or not reads(element):
                 continue
-            pieces.append(text)
-            own = own or bool(element and element.main)
-            written += len(text)
-            linked += len(text) if in_link else 0
+            pieces.append(html_codec.unescape(text))
+            own = own or not in_link and any(map(str.isalpha, pieces[-1]))
             continue
         if name == "a":
             in_link += 1 if kind == "open" else -1

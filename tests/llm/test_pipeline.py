@@ -45,3 +45,23 @@ def test_near_duplicates_of_ids_with_several_texts_and_repeated_rows(spark):
 def test_run_writes_and_rereads(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and {"doc_id", "ids", "sequence_id", "offset"} <= set(found.columns)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and letterless texts, repeated rows, further columns, no rows at all."""
+    rows = [(0, BASE, "de"), (0, BASE, "de"), (1, None, None), (2, "", "de"), (3, "12 ...", None), (None, "nur Text", None), (4, "漢字", None), (5, "x\ny\n" * 40, "de")]
+    docs = spark.createDataFrame([(i, t, x, None, None, "z") for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, kept_text string")
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    lettered = [(i, t) for i, t, _ in rows if any(c.isalpha() for c in t or "")]
+    assert texts(corpus_pipeline.identify_language(spark, docs, SF)) == sorted(lettered, key=str)
+    # without any label nothing can be learned, and documents with letters stay as they are
+    unlabelled = docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    assert texts(corpus_pipeline.identify_language(spark, unlabelled, SF)) == sorted(lettered, key=str)
+    assert corpus_pipeline.identify_language(spark, unlabelled, SF).where("lang IS NOT NULL").count() == 0
+    everything = sorted(((i, t) for i, t, _ in rows), key=str)
+    assert texts(corpus_pipeline.drop_contaminated(spark, docs, SF)) == everything
+    assert [(i, t or "") for i, t in texts(corpus_pipeline.drop_shared_lines(spark, docs, SF))] == [(i, t or "") for i, t in everything]
+    pieces = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    assert len(pieces) >= len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -68,6 +68,29 @@ def test_html_given_pages(spark):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
+def test_html_text_nodes_tags_and_links():
+    def body(x):
+        return html_template.extract_text(f"<html><body>{x}</body></html>")
+
+    assert body("<p>See <a href=x>the long linked list of things in it</a> now.</p><ul><li><a href=y>Home</a></li></ul>") == "See the long linked list of things in it now."
+    assert body("<article>a &<b>amp;</b> b &amp;lt; c</article>") == "a &amp; b &lt; c"
+    assert body("<article><p data-x=it's>One</p><p title='a > b' data-y=\"c > d\">Two</p></article>") == "One\n\nTwo"
+    assert body("<article><p>Let <math><mi>x</mi><mo>=</mo>1</math> hold.</p><button>Buy</button></article>") == "Let x=1 hold."
+    assert body("<p>12 %</p><p>Twelve</p>") == "Twelve"
+
+
+def test_html_deep_nesting():
+    import tracemalloc
+
+    page = "<html><body><article>" + "<font>" * 16_000 + "deep text</article></body></html>"
+    tracemalloc.start()
+    found = html_template.tokens(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 16_000 and peak < 200_000_000
+    assert html_template.extract_text(page) == "deep text"
+
+
 def test_html_template_decides(spark):
     def page(k, n=7):
         own = "".join(f"<p>Story {k} has sentence {j} of its own, number {k * j + 17}.</p>" for j in range(n + k % 3))
@@ -282,13 +305,16 @@ def brute_force_lines(rows, least):
     return sorted(out)
 
 
-def test_line_dedup(spark, docs):
+def test_line_dedup(spark, docs, monkeypatch):
     rows = [*EDGE, *((20 + k, f" Shared \nown {k}\nSHARED\t" + "\nlong" * (100 * (k == 3))) for k in range(6)), (20, "other text\nshared")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, n_lines string")
     for least in (2, 5):
         got = [(r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, least_documents=least).collect()]
         assert sorted(got) == brute_force_lines(rows, least)
     assert line_dedup.dedup_lines(empty(df)).count() == 0
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    got = [(r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, least_documents=2).collect()]
+    assert sorted(got) == brute_force_lines(rows, 2)
 
 
 def test_open_bins_close_the_fullest():
