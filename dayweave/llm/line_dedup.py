@@ -19,6 +19,8 @@ from dayweave.session import cut_lineage
 #: White space that is stripped from both ends of a line.
 STRIPPED = " \t\n\x0b\x0c\r"
 LEAST_DOCUMENTS, LEAST_CHARS = 10, 1
+#: Shared lines are broadcast up to this size; beyond it places are joined by a shuffle, whose large partitions Spark splits.
+BROADCAST_BYTES, HASH_BYTES = 16_000_000, 32
 
 
 def lines(text: Column) -> Column:
@@ -43,8 +45,10 @@ def keep_bitmaps(places: DataFrame, *, least_documents: int = LEAST_DOCUMENTS) -
     """
     run = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
     first = places.repartitionByRange("h1", "h2", "doc").withColumn("nth", F.row_number().over(run)).where("nth = 1")
-    shared = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("h1", "h2")
-    lost = places.join(shared, ["h1", "h2"], "left_semi")
+    shared = cut_lineage(first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("h1", "h2"))
+    # few shared lines are broadcast, so that a line of a third of all documents meets no other row of its own in one task
+    small = shared.count() * HASH_BYTES <= BROADCAST_BYTES
+    lost = places.join(F.broadcast(shared) if small else shared, ["h1", "h2"], "left_semi")
     words = lost.groupBy("doc", "body", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(_shifted(F.col("pos").bitwiseAND(63))).alias("bits"))
     return words.groupBy("doc", "body").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("keep")))).alias("keep"))
 
