@@ -35,7 +35,7 @@ _TURN = re.compile(r"<s>(.*?)\n(.*)</s>", re.S)
 
 TURNS_SCHEMA = (
     "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int, "
-    "attachments array<struct<kind:string,ref:string,tokens:int>>, expanded_tokens int"
+    "attachments array<struct<kind:string,ref:string,tokens:bigint>>, expanded_tokens long"
 )
 
 
@@ -121,8 +121,8 @@ def format_turns(df: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn",
                     pa.array([m[0] for m in made], pa.string()),
                     pa.array([m[1] if u else None for m, u in zip(made, under, strict=True)], pa.int32()),
                     pa.array([m[2] if u else None for m, u in zip(made, under, strict=True)], pa.int32()),
-                    pa.array([m[3] for m in made], pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())]))),
-                    pa.array([sum(a["tokens"] for a in m[3]) for m in made], pa.int32()),
+                    pa.array([m[3] for m in made], pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))),
+                    pa.array([sum(a["tokens"] for a in m[3]) for m in made], pa.int64()),
                 ],
                 names=["conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"],
             )
