@@ -100,11 +100,18 @@ def _solve(gram: DataFrame, keys: Sequence[str], schema: T.StructType, fn) -> Da
     return gram.groupBy(F.lit(1)).applyInPandas(lambda key, pdf: run((), pdf), schema)
 
 
+#: Largest relative difference of inflations that counts as none.
+VIF_TIE = 1e-9
+
+
 def vif_elimination(df: DataFrame, keys: Sequence[str], cols: Sequence[str], limit: float = 5.0) -> DataFrame:
     """Columns left after dropping the largest variance inflation until all fit.
 
     The inflation is that of a regression without intercept, so it is
-    ``G_jj * inverse(G)_jj`` of the plain cross products.
+    ``G_jj * inverse(G)_jj`` of the plain cross products, taken on columns of unit
+    length.  Of equal largest ones the first column goes: the last two columns
+    always inflate each other alike, so inflations that differ by less than their
+    last digits count as equal.
     """
     cols = list(cols)
     gram = gram_matrix(df.dropna(subset=cols), keys, cols)
@@ -114,8 +121,10 @@ def vif_elimination(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lim
         m, left, dropped = _square(pdf, len(cols)), list(range(len(cols))), []
         while True:
             part = m[np.ix_(left, left)]
+            d = np.sqrt(np.maximum(np.diag(part), 1e-300))
+            part = part / d[:, None] / d[None, :]
             vif = np.diag(part) * np.diag(np.linalg.pinv(part))
-            worst = int(np.argmax(vif))
+            worst = int(np.argmax(vif >= vif.max() * (1 - VIF_TIE)))
             if vif[worst] <= limit or len(left) == 1:
                 break
             dropped.append((left.pop(worst), float(vif[worst])))

@@ -522,6 +522,25 @@ def test_linear_models_against_numpy(series, days):
     assert abs(vif - 1 / (1 - r2)) < 1e-6
 
 
+def test_vif_ties_drop_the_first_column(spark):
+    """Two columns inflate each other alike, so the last bits of their sums must not choose."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for key in range(40):
+        base = rng.random(30) * 50 + 100
+        a, b = base + rng.random(30), (base + rng.random(30)) * 7e4
+        rows += [(key, float(p), float(q), float(p / 3 + q / 7e4 + rng.random())) for p, q in zip(a, b, strict=True)]
+    df = spark.createDataFrame(rows, "entity int, a double, b double, c double")
+    two = md.vif_elimination(df, K, ["a", "b"]).toPandas()
+    assert set(two[~two.kept].variable) == {"a"} and len(two) == 80
+    assert (md.vif_elimination(df, K, ["b", "a"]).where("NOT kept").toPandas().variable == "b").all()
+    three = md.vif_elimination(df, K, ["a", "b", "c"]).toPandas()
+    assert (three[three.kept].groupby("entity").variable.max() == three[three.kept].groupby("entity").variable.min()).all()
+    for _, got in three.groupby("entity"):
+        first = got.loc[got.vif.idxmax(), "variable"]
+        assert list(got[~got.kept].variable) == [first, min({"a", "b", "c"} - {first})]
+
+
 def test_unit_root(series, days):
     y = days[days.entity == "ann"].a.to_numpy()
     d = np.diff(y)
