@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,14 +51,20 @@ def fill_calendar(
     otherwise each its own.
     """
     keys = list(keys)
+    fills = {c: v for c, v in (defaults or {}).items() if v is not None}
     if shared_range:
         span = df.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
         who = attach(df.select(*keys).distinct(), [], span)
+        spine = calendar_spine(who, keys, F.col("_lo"), F.col("_hi"), day=day)
+        out = spine.join(df, keys + [day], "left")
     else:
-        who = df.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
-    spine = calendar_spine(who, keys, F.col("_lo"), F.col("_hi"), day=day)
-    out = spine.join(df, keys + [day], "left")
-    fills = {c: v for c, v in (defaults or {}).items() if v is not None}
+        # every row with the days up to the next one: what made the rows is worked out once
+        upto = F.date_sub(F.lead(day).over(Window.partitionBy(*keys).orderBy(day)), 1)
+        rows = df.withColumn("_upto", F.greatest(upto, F.col(day)))
+        rows = rows.withColumn("_day", F.explode(F.sequence(F.col(day), F.col("_upto"), F.expr("interval 1 day"))))
+        here = reduce(and_, [F.col(k).isNotNull() for k in keys], F.col("_day") == F.col(day))
+        kept = [c for c in df.columns if c not in (*keys, day)]
+        out = rows.select(*keys, F.col("_day").alias(day), *[F.when(here, F.col(c)).alias(c) for c in kept])
     return out.fillna(fills) if fills else out
 
 

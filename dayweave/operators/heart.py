@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
@@ -138,6 +139,16 @@ class SpillMap:
             share = _step(values[i], share, factor)
         return share
 
+    def packed(self) -> list[float]:
+        """The map as one list of numbers."""
+        return [self.base, self.slope, *self.limits, *self.ends]
+
+    @staticmethod
+    def unpacked(numbers: list[float]) -> tuple[list[float], list[float], float, float]:
+        """``limits, ends, base, slope`` of a packed map."""
+        middle = len(numbers) // 2 + 1
+        return numbers[2:middle], numbers[middle:], numbers[0], numbers[1]
+
     @staticmethod
     def apply(limits: Sequence[float], ends: Sequence[float], base: float, slope: float, share: float) -> float:
         k = bisect_left(limits, share)
@@ -167,7 +178,8 @@ def overflow_carry(
     ``col`` is one column or a mapping of columns to their factors, which share
     one shuffle.  Every time bucket of a series becomes a small map from the share
     it is handed to the share it hands on; the maps, a row per bucket, are applied
-    one after the other per key; then all buckets run side by side.  So one dense
+    one after the other per key, as a stream over all keys of a task; then all
+    buckets run side by side.  So one dense
     series is spread over its buckets.  A missing load stays missing and hands on
     nothing.  A share that lasts through a whole bucket may differ from a row by row sum
     in the last digits.
@@ -177,48 +189,58 @@ def overflow_carry(
         raise ValueError("factor must lie between 0 and 1")
     keys, order, cols = list(keys), list(order), list(factors)
     piece = [*keys, ordered.BUCKET]
-    rows = df.withColumn(ordered.BUCKET, time_bucket(order[0], bucket_seconds))
+    # filtered here as the join below would do it, so that maps and carry read one shuffle
+    rows = df.withColumn(ordered.BUCKET, time_bucket(order[0], bucket_seconds)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in piece))
     placed = ordered.spread(rows, *piece)
     key_fields = [df.schema[k] for k in keys]
     bucket_field = T.StructField(ordered.BUCKET, T.LongType())
-    parts = {"limits": "array<double>", "ends": "array<double>", "base": "double", "slope": "double"}
-    map_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(f"{p}_{i}", T._parse_datatype_string(t)) for i in range(len(cols)) for p, t in parts.items()]])
+    map_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(f"_map_{i}", T.ArrayType(T.DoubleType())) for i in range(len(cols))]])
     entry_schema = T.StructType([*key_fields, bucket_field, *[T.StructField(f"_entry_{i}", T.DoubleType()) for i in range(len(cols))]])
     out_schema = T.StructType([*df.schema.fields, *[T.StructField(f"{c}_carried", T.DoubleType()) for c in cols]])
     names = list(df.columns)
 
+    def maps_of(groups: list[tuple], series: list[list[list[float]]]) -> pd.DataFrame:
+        out = pd.DataFrame(groups, columns=piece)
+        for i, (f, stretches) in enumerate(zip(factors.values(), series, strict=True)):
+            out[f"_map_{i}"] = [SpillMap(values, f).packed() for values in stretches]
+        return out
+
     def summarise(frames):
+        # the stretch a frame ends in is held until the next one begins
         last, held = None, [[] for _ in cols]
-        found = [f.name for f in map_schema.fields]
-
-        def row():
-            maps = [SpillMap(values, f) for values, f in zip(held, factors.values(), strict=True)]
-            return (*last, *(getattr(m, p) for m in maps for p in parts))
-
         for pdf in frames:
-            names_of = list(pdf[piece].itertuples(index=False, name=None))
-            done = []
-            for group, *values in zip(names_of, *(pdf[c].astype(float).tolist() for c in cols), strict=True):
-                if group != last:
-                    if last is not None:
-                        done.append(row())
-                    last, held = group, [[] for _ in cols]
-                for series, v in zip(held, values, strict=True):
-                    series.append(v)
-            if done:
-                yield pd.DataFrame(done, columns=found)
+            ended = last
+            starts, last = _fresh(pdf, piece, last)
+            at = [i for i, fresh in enumerate(starts) if fresh]
+            values = [pdf[c].astype(float).tolist() for c in cols]
+            if not at:
+                held = [have + more for have, more in zip(held, values, strict=True)]
+                continue
+            groups = list(pdf[piece].iloc[at[:-1]].itertuples(index=False, name=None))
+            series = [[v[i:j] for i, j in itertools.pairwise(at)] for v in values]
+            if ended is not None:
+                groups.insert(0, ended)
+                for stretches, have, v in zip(series, held, values, strict=True):
+                    stretches.insert(0, have + v[: at[0]])
+            held = [v[at[-1] :] for v in values]
+            if groups:
+                yield maps_of(groups, series)
         if last is not None:
-            yield pd.DataFrame([row()], columns=found)
-
-    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordered.BUCKET)
-        for i in range(len(cols)):
-            share, entries = 0.0, []
-            for limits, ends, base, slope in zip(*(pdf[f"{p}_{i}"] for p in parts), strict=True):
-                entries.append(share)
-                share = SpillMap.apply(limits, ends, base, slope, share)
-            pdf[f"_entry_{i}"] = entries
-        return pdf[[f.name for f in entry_schema.fields]]
+            yield maps_of([last], [[have] for have in held])
+
+    def enter(frames):
+        last, shares = None, [0.0] * len(cols)
+        for pdf in frames:
+            starts, last = _fresh(pdf, keys, last) if keys else ([False] * len(pdf), None)
+            out = pdf[piece].copy()
+            for i in range(len(cols)):
+                share, entries = shares[i], []
+                for fresh, packed in zip(starts, pdf[f"_map_{i}"], strict=True):
+                    share = 0.0 if fresh else share
+                    entries.append(share)
+                    share = SpillMap.apply(*SpillMap.unpacked(packed.tolist()), share)
+                out[f"_entry_{i}"], shares[i] = entries, share
+            yield out
 
     def carry(frames):
         last, shares = None, [0.0] * len(cols)
@@ -234,9 +256,11 @@ def overflow_carry(
                 out[f"{c}_carried"], shares[i] = carried, share
             yield out
 
-    maps = placed.select(*piece, *order, *cols).sortWithinPartitions(*piece, *order).select(*piece, *cols).mapInPandas(summarise, map_schema)
-    entries = maps.groupBy(*keys).applyInPandas(enter, entry_schema)
-    entered = placed.join(entries, piece).sortWithinPartitions(*piece, *order)
+    maps = placed.sortWithinPartitions(*piece, *order).mapInPandas(summarise, map_schema)
+    maps = ordered.spread(maps, *keys) if keys else maps.repartition(1)
+    entries = maps.sortWithinPartitions(*piece).mapInPandas(enter, entry_schema)
+    # a broadcast of either side would leave a dense key in the one task of its entries
+    entered = placed.join(entries.hint("merge"), piece).sortWithinPartitions(*piece, *order)
     return entered.mapInPandas(carry, out_schema)
 
 

@@ -81,7 +81,10 @@ def _ranges(low: Column, high: Column, bits: int = LADDER_BITS, levels: int = LA
         cut = F.when((level + 1 < levels) & (inner <= outer), F.concat(run(first, inner), run(outer, stop))).otherwise(run(first, stop))
         return F.transform(F.when(first < stop, cut).otherwise(nothing), lambda block: F.struct(level.alias("level"), block.alias("block")))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
+    # no block is wider than the range
+    bit_length = F.length(F.bin(high - low))
+    widest = F.least(F.lit(levels - 1), F.floor((bit_length - 1) / bits).cast("int"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), widest), at))
 
 
 def _sums_of_ranges(ranges: DataFrame, segments: DataFrame, keys: list[str], interval_id: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -239,12 +242,14 @@ def count_rounded(intervals: DataFrame, samples: DataFrame, keys: Sequence[str],
 
 # --- covers: a tree of time blocks -----------------------------------------------------
 
-def _blocks(df: DataFrame, keys: list[str], low: Column, high: Column, seconds: int, *cols: str) -> DataFrame:
+def _blocks(df: DataFrame, keys: list[str], low: Column, high: Column, seconds: int, *cols: str, inner: bool = True, edges: bool = True) -> DataFrame:
     """Time blocks that together are ``low <= t <= high`` (microseconds), as rows ``level, block, low, high``.
 
     Whole blocks of the tree have a level and no limits; what is left of the two
     outer blocks has level -1 and keeps its limits.  However long a span is, it
     gives a few rows per level of the tree; one with a wrong year gives no more.
+    Where whole blocks and edges go separate ways, each is asked for alone, so that
+    the tree is worked out once.
     """
     span = F.lit(seconds * 1_000_000)
     df = df.select(*keys, *cols, low.alias("low"), high.alias("high")).where("low <= high")
@@ -256,17 +261,20 @@ def _blocks(df: DataFrame, keys: list[str], low: Column, high: Column, seconds:
         return F.struct(F.lit(-1).alias("level"), block.alias("block"), a.cast("long").alias("low"), b.cast("long").alias("high"))
 
     none = F.array().cast(kind)
-    inner = F.transform(_ranges(first, stop, TREE_BITS, TREE_LEVELS), lambda r: F.struct(r["level"].alias("level"), r["block"].alias("block"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")))
+    tree = F.transform(_ranges(first, stop, TREE_BITS, TREE_LEVELS), lambda r: F.struct(r["level"].alias("level"), r["block"].alias("block"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high")))
     left = F.when(F.col("low") < first * span, F.array(edge(first - 1, F.col("low"), first * span - 1))).otherwise(none)
     right = F.when(F.col("high") >= stop * span, F.array(edge(stop, stop * span, F.col("high")))).otherwise(none)
     inside = F.array(edge(first - 1, F.col("low"), F.col("high")))
-    parts = F.when(first > stop, inside).otherwise(F.concat(F.when(first < stop, inner).otherwise(none), left, right).cast(kind))
+    found = ([F.when(first < stop, tree).otherwise(none)] if inner else []) + ([left, right] if edges else [])
+    parts = F.when(first > stop, inside if edges else none).otherwise(F.concat(*found).cast(kind))
     return df.select(*keys, *cols, F.explode(parts).alias("_b")).select(*keys, *cols, "_b.*")
 
 
-def _up(df: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Every row of ``df`` with each level that ``pieces`` use and its block there, from its lowest ``block``."""
-    top = pieces.agg(F.max("level").alias("_top"))
+def _up(df: DataFrame, spans: DataFrame, low: Column, high: Column, seconds: int) -> DataFrame:
+    """Every row of ``df`` with each level that blocks inside the ``spans`` can have and its block there, from its lowest ``block``."""
+    width = F.max(F.when(low <= high, high - low + 1))
+    wide = [(width >= F.lit(min(seconds * 1_000_000 << TREE_BITS * level, FAR))).cast("int") for level in range(TREE_LEVELS)]
+    top = spans.agg((sum(wide, F.lit(0)) - 1).alias("_top"))
     levels = F.explode(F.sequence(F.lit(0), F.col("_top")))
     rows = ordered.attach(df, [], top).where("_top >= 0").withColumn("level", levels).drop("_top")
     return rows.withColumn("_block", F.expr(f"shiftright(block, {TREE_BITS} * level)"))
@@ -286,11 +294,11 @@ def covering(points: DataFrame, point_id: str, us: Column, spans: DataFrame, low
     """
     keys, names = list(keys), list(found)
     aggs = [fn(c).alias(c) for c, (fn, _) in found.items()]
-    pieces = _blocks(spans.withColumns({c: col for c, (_, col) in found.items()}), keys, low, high, seconds, *names)
-    whole = pieces.where("level >= 0").groupBy(*keys, "level", F.col("block").alias("_block")).agg(*aggs)
+    marked = spans.withColumns({c: col for c, (_, col) in found.items()})
+    whole = _blocks(marked, keys, low, high, seconds, *names, edges=False).groupBy(*keys, "level", F.col("block").alias("_block")).agg(*aggs)
     at = points.select(*keys, F.col(point_id).alias("_point"), us.alias("_us")).withColumn("block", _block_of(F.col("_us"), seconds))
-    above = _up(at.select(*keys, "block").distinct(), pieces).join(whole, [*keys, "level", "_block"]).groupBy(*keys, "block").agg(*aggs)
-    edges = pieces.where("level < 0").groupBy(*keys, "block", "low", "high").agg(*aggs)
+    above = _up(at.select(*keys, "block").distinct(), spans, low, high, seconds).join(whole, [*keys, "level", "_block"]).groupBy(*keys, "block").agg(*aggs)
+    edges = _blocks(marked, keys, low, high, seconds, *names, inner=False).groupBy(*keys, "block", "low", "high").agg(*aggs)
     ever = F.lit(None).cast("long")
     near = edges.unionByName(above.withColumns({"low": ever, "high": ever}))
     hits = at.join(near, [*keys, "block"]).where(F.col("low").isNull() | F.col("_us").between(F.col("low"), F.col("high")))
@@ -305,12 +313,12 @@ def within(spans: DataFrame, span_id: str, low: Column, high: Column, points: Da
     """
     keys, names = list(keys), list(found)
     aggs = [fn(c).alias(c) for c, (fn, _) in found.items()]
-    pieces = _blocks(spans.withColumn("_span", F.col(span_id)), keys, low, high, seconds, "_span")
+    marked = spans.withColumn("_span", F.col(span_id))
     at = points.select(*keys, us.alias("_us"), *[col.alias(c) for c, (_, col) in found.items()]).withColumn("block", _block_of(F.col("_us"), seconds))
     lowest = at.groupBy(*keys, "block").agg(*aggs)
-    tree = _up(lowest, pieces).groupBy(*keys, "level", "_block").agg(*aggs)
-    inner = pieces.where("level >= 0").withColumnRenamed("block", "_block").join(tree, [*keys, "level", "_block"])
-    outer = pieces.where("level < 0").join(at, [*keys, "block"]).where(F.col("_us").between(F.col("low"), F.col("high")))
+    tree = _up(lowest, marked, low, high, seconds).groupBy(*keys, "level", "_block").agg(*aggs)
+    inner = _blocks(marked, keys, low, high, seconds, "_span", edges=False).withColumnRenamed("block", "_block").join(tree, [*keys, "level", "_block"])
+    outer = _blocks(marked, keys, low, high, seconds, "_span", inner=False).join(at, [*keys, "block"]).where(F.col("_us").between(F.col("low"), F.col("high")))
     both = inner.select(*keys, "_span", *names).unionByName(outer.select(*keys, "_span", *names))
     return both.groupBy(*keys, "_span").agg(*aggs).withColumnRenamed("_span", span_id)
 

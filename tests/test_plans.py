@@ -55,6 +55,17 @@ def test_no_nested_loops_over_tables(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+def test_load_options_paint_and_carry_once(spark):
+    """Keys pass as a stream, not as Python groups; painting feeds one shuffle that maps and carry share; no gap filling repeats them."""
+    queries, _ = load_queries()
+    df = queries["k07_load_options"](spark, SF)
+    text = plan(df)
+    assert "FlatMapGroupsInPandas" not in text
+    assert text.count("MapInPandas carry") == text.count("MapInPandas enter") == text.count("MapInPandas summarise") == 1
+    df.collect()
+    assert any("ReusedExchange" in line and "REPARTITION_BY_NUM" in line for line in plan(df).split("\n"))
+
+
 def test_hot_entity_equals_brute_force(spark):
     """A third of the rows on one key, narrow buckets, overlapping intervals."""
     t0 = dt.datetime(2022, 1, 1)

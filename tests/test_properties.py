@@ -11,6 +11,7 @@ from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from dayweave.functions import pvalues as pv
+from dayweave.operators import calendar as cal
 from dayweave.operators import heart as ht
 from dayweave.operators import intervals as iv
 from dayweave.operators import lagcorr as lc
@@ -214,6 +215,41 @@ def test_overflow_against_loop(spark):
         ht.overflow_carry(df, K, "load", 1.0)
 
 
+def test_overflow_across_small_frames(spark):
+    """Keys, days and Arrow frames that end at different rows."""
+    rng = np.random.default_rng(9)
+    t0 = dt.datetime(2021, 1, 1)
+    rows = []
+    for key in range(150):
+        at = np.sort(rng.choice(6 * 86_400, int(rng.integers(1, 30)), replace=False)).tolist()
+        rows += [(key, t0 + dt.timedelta(seconds=s), i, float(rng.integers(0, 9))) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "entity long, ts timestamp, sample_id long, load double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in ("1", "3", "10000"):
+            spark.conf.set(size, n)
+            out = ht.overflow_carry(df, K, "load", 0.5).toPandas().sort_values(["entity", "sample_id"])
+            assert len(out) == len(rows)
+            for _, part in out.groupby("entity"):
+                same(part["load_carried"], carried(part["load"].to_numpy(), 0.5))
+            alone = ht.overflow_carry(df.where("entity = 3").drop("entity"), [], "load", 0.5).toPandas().sort_values("sample_id")
+            same(alone["load_carried"], out[out.entity == 3]["load_carried"])
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_days_between_rows(spark):
+    """Each key gets its own first to last day; rows without a key or day fill nothing, doubled days stay."""
+    day = lambda d: None if d is None else dt.date(2021, 1, d)
+    rows = [("a", 3, 1.0), ("a", 6, None), ("b", 9, 2.0), ("b", 9, 3.0), ("b", 11, 4.0), ("c", None, 5.0), (None, 1, 6.0), (None, 2, 7.0)]
+    df = spark.createDataFrame([(k, day(d), v) for k, d, v in rows], "entity string, day date, v double")
+    out = cal.fill_calendar(df, K, "day", {"v": 0.0}, shared_range=False)
+    got = sorted((str(r["entity"]), r["day"].day, r["v"]) for r in out.collect())
+    assert out.columns == ["entity", "day", "v"]
+    assert got == [("None", 1, 0.0), ("None", 2, 0.0), ("a", 3, 1.0), ("a", 4, 0.0), ("a", 5, 0.0), ("a", 6, 0.0), ("b", 9, 2.0), ("b", 9, 3.0), ("b", 10, 0.0), ("b", 11, 4.0)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st_.lists(st_.one_of(st_.floats(0, 4), st_.sampled_from([0.0, 1.0, 2.0, 50.0, float("nan")])), max_size=25), st_.floats(0, 20), st_.sampled_from([0.3, 0.5, 0.9]))
 def test_spill_map_is_the_run(values, share, factor):
